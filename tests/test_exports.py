@@ -1,0 +1,131 @@
+"""Reading UTF-16 exports."""
+
+import hashlib
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+from tallyhouse.sources import exports
+from tests.conftest import ITEM_COLUMNS, SUMMARY_COLUMNS, TX_COLUMNS, item, summary, tx, write_export
+
+
+@pytest.mark.parametrize("encoding", ["utf-16-le", "utf-16-be"])
+@pytest.mark.parametrize("newline", ["\n", "\r\n"])
+def test_reads_either_byte_order_and_line_end(spark, tmp_path, encoding, newline):
+    rows = [tx(Transaction_ID=f"TX-{n}", Dining_Option="Eat in") for n in range(50)]
+    path = write_export(tmp_path / "t.csv", TX_COLUMNS, rows, encoding, newline)
+    read = exports.read_export(spark, [path], "transactions").collect()
+    assert sorted(r["Transaction ID"] for r in read) == sorted(f"TX-{n}" for n in range(50))
+    assert {r["Net Sales"] for r in read} == {"£10.00"}
+
+
+def test_last_column_has_no_carriage_return(spark, tmp_path):
+    columns = [c for c in TX_COLUMNS if c != "Source"] + ["Source"]
+    path = write_export(tmp_path / "t.csv", columns, [tx()], newline="\r\n")
+    assert exports.read_export(spark, [path], "transactions").first()["Source"] == "Register"
+
+
+def test_private_columns_are_never_bound(spark, tmp_path):
+    path = write_export(tmp_path / "t.csv", TX_COLUMNS, [tx()])
+    read = exports.read_export(spark, [path], "transactions")
+    assert not {"Customer Name", "Staff Name"} & set(read.columns)
+    assert "Private" not in str(read.collect())
+
+
+def test_missing_optional_column_is_empty(spark, tmp_path):
+    columns = [c for c in TX_COLUMNS if c != "Dining Option"]
+    path = write_export(tmp_path / "t.csv", columns, [tx()])
+    assert exports.read_export(spark, [path], "transactions").first()["Dining Option"] == ""
+
+
+def test_files_with_different_headers_mix(spark, tmp_path):
+    a = write_export(tmp_path / "a.csv", TX_COLUMNS, [tx(Transaction_ID="A")])
+    b = write_export(tmp_path / "b.csv", TX_COLUMNS[::-1], [tx(Transaction_ID="B")],
+                     "utf-16-be", "\r\n")
+    read = exports.read_export(spark, [a, b], "transactions").collect()
+    assert {(r["Transaction ID"], r["Source"]) for r in read} == {
+        ("A", "Register"), ("B", "Register")}
+
+
+def test_quoted_cells_keep_tabs_and_quotes(spark, tmp_path):
+    path = write_export(tmp_path / "i.csv", ITEM_COLUMNS, [item(Item='"Say ""hi""\there"')])
+    assert exports.read_export(spark, [path], "items_detail").first()["Item"] == 'Say "hi"\there'
+
+
+def test_line_breaks_in_quotes_need_multiline(spark, tmp_path):
+    path = write_export(tmp_path / "i.csv", ITEM_COLUMNS,
+                        [item(Modifiers_Applied='"oat\nextra hot"'), item()])
+    read = exports.read_export(spark, [path], "items_detail", multiline=True).collect()
+    assert len(read) == 2
+    assert sorted(r["Modifiers Applied"] for r in read) == ["", "oat\nextra hot"]
+
+
+@pytest.mark.parametrize("encoding, mark, told", [
+    ("utf-8", True, "spreadsheet"), ("utf-8", False, "no UTF-16")])
+def test_other_encodings_are_refused(spark, tmp_path, encoding, mark, told):
+    path = write_export(tmp_path / "t.csv", TX_COLUMNS, [tx()], encoding, mark=mark)
+    with pytest.raises(exports.SourceFormatError, match=told):
+        exports.read_export(spark, [path], "transactions")
+
+
+def test_comma_separated_is_refused(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_bytes("Date,Time\n1,2\n".encode("utf-16"))
+    with pytest.raises(exports.SourceFormatError, match="TAB"):
+        exports.read_export(spark, [str(path)], "transactions")
+
+
+def test_items_file_is_not_a_transactions_file(spark, tmp_path):
+    path = write_export(tmp_path / "i.csv", ITEM_COLUMNS, [item()])
+    with pytest.raises(exports.SourceSchemaError, match="Gross Sales.*Source"):
+        exports.read_export(spark, [path], "transactions")
+
+
+def test_checksum_is_of_the_bytes(spark, tmp_path, monkeypatch):
+    path = write_export(tmp_path / "t.csv", TX_COLUMNS, [tx()])
+    expected = hashlib.sha256(Path(path).read_bytes()).hexdigest()
+    assert exports.file_manifest(spark, [path]).first()["checksum"] == expected
+    # Files too large to hold are streamed and must give the same answer.
+    whole = exports.file_manifest(spark, [path]).first()
+    monkeypatch.setattr(exports, "WHOLE_FILE_BYTES", 10)
+    assert exports.file_manifest(spark, [path]).first() == whole
+
+
+def test_row_numbers_follow_the_file_across_splits(spark, tmp_path):
+    rows = [tx(Transaction_ID=f"TX-{n}") for n in range(2, 3002)]
+    path = write_export(tmp_path / "t.csv", TX_COLUMNS, rows)
+    other = write_export(tmp_path / "u.csv", TX_COLUMNS, [tx(Transaction_ID="TX-2")])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        read = exports.read_export(spark, [path, other], "transactions")
+        assert read.select("_split").distinct().count() > 3
+        numbered = exports.with_row_numbers(read, exports.row_number_offsets(read))
+        wrong = numbered.filter(
+            F.concat(F.lit("TX-"), F.col("row_number")) != F.col("Transaction ID"))
+        assert numbered.count() == 3001 and wrong.count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_discovers_monthly_triples(spark, tmp_path):
+    for month in ("2026-01", "2026-02"):
+        write_export(tmp_path / f"transactions-{month}.csv", TX_COLUMNS, [tx()])
+        write_export(tmp_path / f"items-{month}.csv", ITEM_COLUMNS, [item()])
+        write_export(tmp_path / f"item-sales-summary-{month}.csv", SUMMARY_COLUMNS, [summary()])
+    found = exports.discover_batches(spark, str(tmp_path)).collect()
+    assert [r["month"] for r in found] == ["2026-01", "2026-02"]
+    assert found[0]["items_detail"].endswith("items-2026-01.csv")
+
+    (tmp_path / "items-2026-03.csv").write_bytes(b"x")
+    assert exports.discover_batches(spark, str(tmp_path)).count() == 2
+    (tmp_path / "transactions-2026-03.csv").write_bytes(b"x")
+    with pytest.raises(FileNotFoundError, match="2026-03"):
+        exports.discover_batches(spark, str(tmp_path))
+
+
+def test_folder_without_exports(spark, tmp_path):
+    (tmp_path / "notes.csv").write_bytes(b"x")
+    with pytest.raises(FileNotFoundError):
+        exports.discover_batches(spark, str(tmp_path))
