@@ -138,16 +138,17 @@ def is_fixed_holiday(day: Column) -> Column:
 
 def zone_of(alias: Column) -> Column:
     """IANA zone of an export's zone name; NULL when the name is not known."""
-    name = stripped(alias)
-    found = F.lit(None).cast("string")
-    for known, zone in ZONE_ALIASES.items():
-        found = F.when(name == known, F.lit(zone)).otherwise(found)
-    return found
+    return F.try_element_at(
+        F.create_map(*[F.lit(x) for pair in ZONE_ALIASES.items() for x in pair]),
+        stripped(alias))
 
 
 def wall_time(day: Column, clock: Column) -> Column:
     """ISO date plus ``HH:MM[:SS]`` (blank is midnight); NULL when either cannot be read."""
-    d, t = stripped(day), stripped(clock)
+    return clean_wall_time(stripped(day), stripped(clock))
+
+
+def clean_wall_time(d: Column, t: Column) -> Column:
     iso = F.when(d.rlike(r"^\d{4}-\d{2}-\d{2}$"), d).when(
         d.rlike(r"^\d{8}$"),
         F.concat_ws("-", d.substr(1, 4), d.substr(5, 2), d.substr(7, 2)),

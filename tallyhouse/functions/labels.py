@@ -28,20 +28,24 @@ NO_CATEGORY = ("", "none", "uncategorised", "uncategorized")
 # --- end of fixed values ----------------------------------------------------------------
 
 
-def _folded(value: Column) -> Column:
+def folded(value: Column) -> Column:
     return F.lower(stripped(value))
 
 
 def dining_key(dining: Column) -> Column:
     """Comma list as an order-free set key; empty when no option is given."""
-    parts = F.transform(F.split(F.coalesce(dining, F.lit("")), ","), _folded)
+    parts = F.transform(F.split(F.coalesce(dining, F.lit("")), ","), folded)
     kept = F.filter(parts, lambda part: part != "")
     return F.array_join(F.array_sort(F.array_distinct(kept)), "+")
 
 
 def channel_of(source: Column, dining: Column) -> Column:
     """Channel, or NULL where the source and dining option do not settle one."""
-    origin, options = _folded(source), dining_key(dining)
+    return keyed_channel(folded(source), dining_key(dining))
+
+
+def keyed_channel(origin: Column, options: Column) -> Column:
+    """The same from a folded source and a dining key held in columns."""
     mapping = F.create_map(*[F.lit(x) for pair in DINING_CHANNELS.items() for x in pair])
     dined = F.try_element_at(mapping, options)
     return (
@@ -52,10 +56,9 @@ def channel_of(source: Column, dining: Column) -> Column:
     )
 
 
-def channel_reason(source: Column, dining: Column) -> Column:
-    """Why :func:`channel_of` gave the answer it did, for issue messages."""
-    origin, options = _folded(source), dining_key(dining)
-    named = F.concat(F.lit("'"), F.coalesce(source, F.lit("")), F.lit("'"))
+def channel_reason(source: Column, origin: Column, options: Column) -> Column:
+    """Why :func:`keyed_channel` gave the answer it did, for issue messages."""
+    named = F.concat(F.lit("'"), source, F.lit("'"))
     option = F.concat(F.lit("'"), options, F.lit("'"))
     return (
         F.when(origin.endswith(PICKUP_SUFFIX), F.concat(F.lit("pickup source "), named))
@@ -74,12 +77,12 @@ def channel_reason(source: Column, dining: Column) -> Column:
 
 
 def kind_of(name: Column) -> Column:
-    folded = _folded(name)
+    text = folded(name)
     voucher = F.lit(False)
     for marker in VOUCHER_MARKERS:
-        voucher = voucher | folded.contains(marker)
+        voucher = voucher | text.contains(marker)
     return (
-        F.when(folded == CUSTOM_AMOUNT_NAME, F.lit("custom_amount"))
+        F.when(text == CUSTOM_AMOUNT_NAME, F.lit("custom_amount"))
         .when(voucher, F.lit("gift_voucher"))
         .otherwise(F.lit("menu_item"))
     )
@@ -87,9 +90,9 @@ def kind_of(name: Column) -> Column:
 
 def category_of(raw: Column) -> Column:
     """Category text, or NULL for the spellings that mean there is none."""
-    return F.when(~_folded(raw).isin(*NO_CATEGORY), stripped(raw))
+    return F.when(~folded(raw).isin(*NO_CATEGORY), stripped(raw))
 
 
 def event_of(raw: Column) -> Column:
-    folded = _folded(raw)
-    return F.when(folded.isin("payment", "refund"), folded)
+    text = folded(raw)
+    return F.when(text.isin("payment", "refund"), text)

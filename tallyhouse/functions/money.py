@@ -20,7 +20,11 @@ QUANTITY_SHAPE = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 
 def money_to_pence(raw: Column) -> Column:
     """Pence as BIGINT; blank is 0, and NULL marks a malformed or sub-penny cell."""
-    text = stripped(raw)
+    return clean_pence(stripped(raw))
+
+
+def clean_pence(text: Column) -> Column:
+    """The same for text already stripped; a column, because it is used several times."""
     digits = F.regexp_replace(text, r"[^0-9.]", "")
     sub_penny = digits.rlike(r"\.\d{2}\d*[1-9]")
     pence = digits.try_cast("decimal(36,2)") * F.lit(100)
@@ -34,7 +38,10 @@ def money_to_pence(raw: Column) -> Column:
 
 def whole_quantity(raw: Column) -> Column:
     """Units as BIGINT; NULL for a blank, malformed or fractional cell."""
-    text = stripped(raw)
+    return clean_quantity(stripped(raw))
+
+
+def clean_quantity(text: Column) -> Column:
     value = text.try_cast("decimal(38,10)")
     # The cast rounds past its scale, so a plain fraction is looked for in the text as well.
     fraction = (value != F.floor(value)) | text.rlike(r"^[^eE]*\.\d*[1-9]\d*$")

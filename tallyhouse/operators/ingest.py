@@ -1,7 +1,9 @@
 """Export rows to canonical orders, lines and issues.
 
 Each row is parsed once into typed columns plus at most one skipping ``issue``; everything
-after that is filters and joins over the parsed rows.
+after that is filters and joins over the parsed rows. Store the parsed rows before building
+on them: many branches read them, and a filter on ``issue`` would otherwise be pushed into
+the text parsing of each.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.functions import clock, labels, money
-from tallyhouse.functions.text import blank_to_null, stripped
+from tallyhouse.functions.text import stripped
 from tallyhouse.schemas import SKIP, WARN
 from tallyhouse.sources.exports import ROW_KEYS
 
@@ -34,19 +36,25 @@ def _quoted(lead: str, value: Column) -> Column:
 
 def parse_transactions(raw: DataFrame) -> DataFrame:
     """Typed transaction rows; ``issue`` is the first structural fault, in checking order."""
-    zone = clock.zone_of(F.col("Time Zone"))
-    wall = clock.wall_time(F.col("Date"), F.col("Time"))
-    typed = raw.select(
+    # Three projections: each keeps what the next one reads several times in a column, so no
+    # expression is repeated inside another.
+    clean = raw.select(*ROW_KEYS, *[stripped(F.col(c)).alias(c) for c in (
+        "Date", "Time", "Time Zone", "Discounts", "Net Sales", "Transaction ID", "Payment ID",
+        "Event Type", "Source")], labels.dining_key(F.col("Dining Option")).alias("options"),
+        labels.folded(F.col("Source")).alias("origin"))
+    origin, options = F.col("origin"), F.col("options")
+    typed = clean.select(
         *ROW_KEYS,
-        stripped(F.col("Transaction ID")).alias("source_order_id"),
-        blank_to_null(F.col("Payment ID")).alias("source_payment_id"),
+        F.col("Transaction ID").alias("source_order_id"),
+        F.nullif("Payment ID", F.lit("")).alias("source_payment_id"),
         labels.event_of(F.col("Event Type")).alias("event_type"),
-        zone.alias("zone"), wall.alias("wall"),
-        money.money_to_pence(F.col("Net Sales")).alias("net_amount"),
+        clock.zone_of(F.col("Time Zone")).alias("zone"),
+        clock.clean_wall_time(F.col("Date"), F.col("Time")).alias("wall"),
+        money.clean_pence(F.col("Net Sales")).alias("net_amount"),
         # Exports write discounts negative; negating keeps the sign aligned on refunds.
-        (-money.money_to_pence(F.col("Discounts"))).alias("discount_amount"),
-        labels.channel_of(F.col("Source"), F.col("Dining Option")).alias("own_channel"),
-        labels.channel_reason(F.col("Source"), F.col("Dining Option")).alias("reason"),
+        (-money.clean_pence(F.col("Discounts"))).alias("discount_amount"),
+        labels.keyed_channel(origin, options).alias("own_channel"),
+        labels.channel_reason(F.col("Source"), origin, options).alias("reason"),
         "Event Type", "Time Zone", "Date", "Time", "Net Sales", "Discounts",
     )
     wall, zone = F.col("wall"), F.col("zone")
@@ -82,31 +90,37 @@ def parse_transactions(raw: DataFrame) -> DataFrame:
 
 def parse_items(raw: DataFrame) -> DataFrame:
     """Typed item rows; checked for id, quantity, money, then zero quantity."""
-    quantity = money.whole_quantity(F.col("Qty"))
-    total = money.money_to_pence(F.col("Product Sales"))
-    discount = -money.money_to_pence(F.col("Discounts"))
-    name = stripped(F.col("Item"))
-    order_id = stripped(F.col("Transaction ID"))
+    clean = raw.select(*ROW_KEYS, "Category", *[stripped(F.col(c)).alias(c) for c in (
+        "Item", "Price Point Name", "Modifiers Applied", "Qty", "Product Sales", "Discounts",
+        "Transaction ID")])
+    typed = clean.select(
+        *ROW_KEYS, F.col("Transaction ID").alias("source_order_id"), F.col("Item").alias("name"),
+        F.col("Price Point Name").alias("variation"),
+        labels.category_of(F.col("Category")).alias("category"),
+        labels.kind_of(F.col("Item")).alias("kind"),
+        money.clean_quantity(F.col("Qty")).alias("quantity"),
+        money.clean_pence(F.col("Product Sales")).alias("line_total"),
+        (-money.clean_pence(F.col("Discounts"))).alias("discount_amount"),
+        F.nullif("Modifiers Applied", F.lit("")).alias("modifiers"),
+        "Qty", "Product Sales", "Discounts",
+    )
+    quantity, total = F.col("quantity"), F.col("line_total")
     issue = (
-        F.when(order_id == "", _issue(
+        F.when(F.col("source_order_id") == "", _issue(
             "missing_transaction_id", "item row has no Transaction ID", "Transaction ID"))
         .when(quantity.isNull(), _issue(
             "unparsable_quantity", _quoted("not a whole quantity:", F.col("Qty")), "Qty"))
-        .when(total.isNull() | discount.isNull(), _issue(
+        .when(total.isNull() | F.col("discount_amount").isNull(), _issue(
             "unparsable_money",
             F.concat(_quoted("cannot read", F.col("Product Sales")),
                      _quoted(" or", F.col("Discounts"))), "Product Sales/Discounts"))
         .when(quantity == 0, _issue(
             "unparsable_quantity", "item row has zero quantity", "Qty"))
     )
-    return raw.select(
-        *ROW_KEYS, order_id.alias("source_order_id"), name.alias("name"),
-        stripped(F.col("Price Point Name")).alias("variation"),
-        labels.category_of(F.col("Category")).alias("category"),
-        labels.kind_of(name).alias("kind"), quantity.alias("quantity"),
-        money.unit_price(total, quantity).alias("unit_price"), total.alias("line_total"),
-        discount.alias("discount_amount"),
-        blank_to_null(F.col("Modifiers Applied")).alias("modifiers"), issue.alias("issue"),
+    return typed.select(
+        *ROW_KEYS, "source_order_id", "name", "variation", "category", "kind", "quantity",
+        money.unit_price(total, quantity).alias("unit_price"), "line_total", "discount_amount",
+        "modifiers", issue.alias("issue"),
     )
 
 

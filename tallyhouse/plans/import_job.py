@@ -72,13 +72,11 @@ def import_exports(
     files = {"transactions": transactions, "items_detail": items}
     if summary:
         files["items_summary"] = summary
-    manifests = {role: exports.file_manifest(spark, paths) for role, paths in files.items()}
-    _reject_known(warehouse, manifests)
-
     batch_id = warehouse.next_batch_id()
+    manifest = _manifest(spark, warehouse, files, batch_id)
+    _reject_known(warehouse, manifest)
     try:
-        return _run(spark, warehouse, files, manifests, batch_id, label, source, zone,
-                    multiline)
+        return _run(spark, warehouse, files, manifest, batch_id, label, source, zone, multiline)
     except (ImportFailed, SourceFormatError, SourceSchemaError) as error:
         # No checksums are recorded for a failed batch, so it can be tried again.
         log = f"{type(error).__name__}: {error}\n\nfiles supplied:\n" + "\n".join(
@@ -91,23 +89,24 @@ def _now() -> datetime:
     return datetime.now(timezone.utc)
 
 
-def _files_by_role(manifests: dict[str, DataFrame]) -> DataFrame:
-    parts = [m.select(F.lit(role).alias("role"), "path", "name", "checksum")
-             for role, m in manifests.items()]
+def _manifest(spark, warehouse: Warehouse, files: dict[str, list[str]],
+              batch_id: int) -> DataFrame:
+    """Every supplied file with its role and checksum, staged: hashing reads all bytes."""
+    parts = [exports.file_manifest(spark, paths).withColumn("role", F.lit(role))
+             for role, paths in files.items()]
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part)
-    return whole
+    return warehouse.staged(whole, batch_id, "manifest")
 
 
-def _reject_known(warehouse: Warehouse, manifests: dict[str, DataFrame]) -> None:
-    supplied = _files_by_role(manifests)
+def _reject_known(warehouse: Warehouse, manifest: DataFrame) -> None:
     known = warehouse.import_files().select(F.col("file_checksum").alias("checksum"))
-    again = supplied.join(known, "checksum", "left_semi").take(REPORTED)
+    again = manifest.join(known, "checksum", "left_semi").take(REPORTED)
     if again:
         raise ImportRejected("already imported: " + ", ".join(
             f"{r['role']} file {r['name']}" for r in again))
-    twice = supplied.groupBy("checksum").agg(
+    twice = manifest.groupBy("checksum").agg(
         F.count(F.lit(1)).alias("n"), F.min("name").alias("name")).filter("n > 1").take(REPORTED)
     if twice:
         raise ImportRejected("supplied twice: " + ", ".join(r["name"] for r in twice))
@@ -120,9 +119,12 @@ def _fail_if_any(problems: DataFrame, error: type[Exception], told, what: str) -
         raise error(f"{problems.count()} {what}: " + "; ".join(told(r) for r in first))
 
 
-def _run(spark, warehouse, files, manifests, batch_id, label, source, zone, multiline):
-    raw = {role: exports.read_export(spark, paths, role, manifests[role], multiline)
-           for role, paths in files.items()}
+def _run(spark, warehouse, files, manifest, batch_id, label, source, zone, multiline):
+    raw = {
+        role: exports.read_export(
+            spark, paths, role, manifest.filter(F.col("role") == role), multiline)
+        for role, paths in files.items()
+    }
     parsed = warehouse.staged(
         ingest.parse_transactions(raw["transactions"]), batch_id, "transactions")
     items = warehouse.staged(ingest.parse_items(raw["items_detail"]), batch_id, "items")
@@ -176,7 +178,7 @@ def _run(spark, warehouse, files, manifests, batch_id, label, source, zone, mult
 
     issues = _all_issues(parsed, items, built, compared)
     warehouse.append(issues, "issues", batch_id)
-    _append_files(warehouse, batch_id, manifests, raw, parsed, items, kept, kept_lines)
+    _append_files(warehouse, batch_id, manifest, raw, parsed, items, kept, kept_lines)
     return _commit(warehouse, batch_id, label, zone, kept_lines, fresh, reconciled)
 
 
@@ -237,7 +239,7 @@ def _all_issues(parsed, items, built, compared) -> DataFrame:
     )
 
 
-def _append_files(warehouse, batch_id, manifests, raw, parsed, items, kept, lines) -> None:
+def _append_files(warehouse, batch_id, manifest, raw, parsed, items, kept, lines) -> None:
     """Per file: rows read, rows that became orders or lines, and the rest."""
     def per_file(frame: DataFrame, name: str) -> DataFrame:
         return frame.groupBy("_file").agg(F.count(F.lit(1)).alias(name))
@@ -251,7 +253,7 @@ def _append_files(warehouse, batch_id, manifests, raw, parsed, items, kept, line
     counted = read.join(used, "_file", "left").select(
         F.regexp_replace("_file", r"^[a-z0-9]+:/*", "").alias("tail"), "row_count",
         F.coalesce("rows_imported", F.lit(0)).cast("bigint").alias("rows_imported"))
-    rows = _files_by_role(manifests).withColumn("tail", tail).join(counted, "tail", "left")
+    rows = manifest.withColumn("tail", tail).join(counted, "tail", "left")
     read_rows = F.coalesce("row_count", F.lit(0)).cast("bigint")
     used_rows = F.coalesce("rows_imported", F.lit(0)).cast("bigint")
     warehouse.append(rows.select(

@@ -123,23 +123,25 @@ def _stream_digests():
     return digests
 
 
-def check_files(manifest: DataFrame, role: str) -> None:
-    """Raise for files of the wrong encoding, separator or columns, naming up to five."""
-    wrong = manifest.filter(F.coalesce("encoding", F.lit("")).isin("", "UTF-8")).take(5)
-    if wrong:
-        told = [f"{r['name']}: " + ("found a UTF-8 mark; probably re-saved by a spreadsheet"
-                                    if r["encoding"] else "no UTF-16 byte-order mark")
-                for r in wrong]
-        raise SourceFormatError("expected UTF-16 exports; " + "; ".join(told))
-    flat = manifest.filter(~F.contains("header", F.lit("\t"))).take(5)
-    if flat:
-        raise SourceFormatError(
-            "header without TAB in " + ", ".join(r["name"] for r in flat))
-    for row in manifest.groupBy("header").agg(F.min("name").alias("name")).collect():
-        missing = set(REQUIRED[role]) - set(_columns(row["header"]))
+def file_kinds(manifest: DataFrame, role: str) -> list:
+    """The distinct (encoding, header, line_end) of a role's files, checked.
+
+    Raises for the wrong encoding, separator or columns, naming a file of each wrong kind.
+    """
+    kinds = manifest.groupBy("encoding", "header", "line_end").agg(
+        F.min("name").alias("name"), F.count(F.lit(1)).alias("files")).collect()
+    for kind in kinds:
+        if kind["encoding"] in (None, "UTF-8"):
+            found = ("a UTF-8 mark; the file was probably re-saved by a spreadsheet"
+                     if kind["encoding"] else "no UTF-16 byte-order mark")
+            raise SourceFormatError(f"{kind['name']}: expected a UTF-16 export, found {found}")
+        if "\t" not in kind["header"]:
+            raise SourceFormatError(f"{kind['name']}: no TAB in the header")
+        missing = set(REQUIRED[role]) - set(_columns(kind["header"]))
         if missing:
             raise SourceSchemaError(
-                f"{row['name']}: not a {role} export, missing {', '.join(sorted(missing))}")
+                f"{kind['name']}: not a {role} export, missing {', '.join(sorted(missing))}")
+    return kinds
 
 
 def _columns(header: str) -> list[str]:
@@ -178,11 +180,11 @@ def read_export(spark: SparkSession, paths: list[str], role: str,
     """The bound columns of a role's files as strings, with each row's place in its file.
 
     ``multiline`` is for files with line breaks inside quotes; those are read one task per
-    file, everything else is split. A bound column a file lacks is empty.
+    file, everything else is split. A bound column a file lacks is empty. Pass a stored
+    ``manifest`` where there is one: computing it reads every byte.
     """
     manifest = file_manifest(spark, paths) if manifest is None else manifest
-    check_files(manifest, role)
-    kinds = manifest.select("encoding", "header", "line_end").distinct().collect()
+    kinds = file_kinds(manifest, role)
     parts = []
     for kind in kinds:
         wanted = paths
