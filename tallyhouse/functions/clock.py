@@ -161,17 +161,25 @@ def clean_wall_time(d: Column, t: Column) -> Column:
     return F.try_to_timestamp(F.concat_ws(" ", iso, hms), F.lit("yyyy-MM-dd H:m:s"))
 
 
+def _in_zone(zone: Column, shift) -> Column:
+    """Apply a shift with the zone as a literal, which Spark resolves once and not per row."""
+    shifted = F.lit(None).cast("timestamp")
+    for name in sorted(set(ZONE_ALIASES.values())):
+        shifted = F.when(zone == name, shift(F.lit(name))).otherwise(shifted)
+    return shifted
+
+
 def first_instant(wall: Column, zone: Column) -> Column:
     """UTC instant of a wall time; the earlier one where the clock shows it twice."""
-    return F.to_utc_timestamp(wall, zone)
+    return _in_zone(zone, lambda z: F.to_utc_timestamp(wall, z))
 
 
-def in_clock_gap(wall: Column, zone: Column) -> Column:
-    """True when clocks jumped over the wall time."""
-    return F.from_utc_timestamp(first_instant(wall, zone), zone) != wall
+def in_clock_gap(wall: Column, instant: Column, zone: Column) -> Column:
+    """True when clocks jumped over the wall time that gave this first instant."""
+    return _in_zone(zone, lambda z: F.from_utc_timestamp(instant, z)) != wall
 
 
-def occurs_twice(wall: Column, zone: Column) -> Column:
-    """True when the same wall time is shown again one hour later."""
-    again = first_instant(wall, zone) + F.expr("INTERVAL 1 HOUR")
-    return F.from_utc_timestamp(again, zone) == wall
+def occurs_twice(wall: Column, instant: Column, zone: Column) -> Column:
+    """True when the same wall time is shown again one hour after its first instant."""
+    again = instant + F.expr("INTERVAL 1 HOUR")
+    return _in_zone(zone, lambda z: F.from_utc_timestamp(again, z)) == wall

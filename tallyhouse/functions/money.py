@@ -9,11 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyhouse.functions.text import stripped
+from tallyhouse.functions.text import SPACES, stripped
 
 # Accepted shapes of a money cell (optional pound sign, a minus on either
 # side of it, optional thousands groups) and of a quantity cell.
-MONEY_SHAPE = r"^-?(?U:\s*)£?(?U:\s*)(-?\d{1,3}(,\d{3})*(\.\d+)?|-?\d+(\.\d+)?)$"
+MONEY_SHAPE = (
+    f"^-?[{SPACES}]*£?[{SPACES}]*"
+    r"(-?\d{1,3}(,\d{3})*(\.\d+)?|-?\d+(\.\d+)?)$"
+)
 QUANTITY_SHAPE = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 
 
@@ -25,8 +28,10 @@ def money_to_pence(raw: Column) -> Column:
 
 def clean_pence(text: Column) -> Column:
     """The same for text already stripped; a column, because it is used several times."""
-    digits = F.regexp_replace(text, r"[^0-9.]", "")
-    sub_penny = digits.rlike(r"\.\d{2}\d*[1-9]")
+    digits = F.translate(text, "£,-" + SPACES, "")
+    point = F.instr(digits, ".")
+    # Past two decimals only zeros are whole pence; short fractions skip the pattern.
+    sub_penny = (point > 0) & (F.length(digits) > point + 2) & digits.rlike(r"\.\d{2}\d*[1-9]")
     pence = digits.try_cast("decimal(36,2)") * F.lit(100)
     # One minus before the sign and one after cancel out.
     minuses = F.length(text) - F.length(F.replace(text, F.lit("-")))

@@ -36,8 +36,8 @@ def _quoted(lead: str, value: Column) -> Column:
 
 def parse_transactions(raw: DataFrame) -> DataFrame:
     """Typed transaction rows; ``issue`` is the first structural fault, in checking order."""
-    # Three projections: each keeps what the next one reads several times in a column, so no
-    # expression is repeated inside another.
+    # One projection after another: each keeps what the next reads several times in a column,
+    # so no expression is repeated inside another.
     clean = raw.select(*ROW_KEYS, *[stripped(F.col(c)).alias(c) for c in (
         "Date", "Time", "Time Zone", "Discounts", "Net Sales", "Transaction ID", "Payment ID",
         "Event Type", "Source")], labels.dining_key(F.col("Dining Option")).alias("options"),
@@ -57,7 +57,8 @@ def parse_transactions(raw: DataFrame) -> DataFrame:
         labels.channel_reason(F.col("Source"), origin, options).alias("reason"),
         "Event Type", "Time Zone", "Date", "Time", "Net Sales", "Discounts",
     )
-    wall, zone = F.col("wall"), F.col("zone")
+    wall, zone, instant = F.col("wall"), F.col("zone"), F.col("occurred_at")
+    typed = typed.withColumn("occurred_at", clock.first_instant(wall, zone))
     clock_read = F.concat_ws(" ", "Date", "Time")
     issue = (
         F.when(F.col("source_order_id") == "", _issue(
@@ -70,21 +71,22 @@ def parse_transactions(raw: DataFrame) -> DataFrame:
             "Time Zone"))
         .when(wall.isNull(), _issue(
             "unparsable_timestamp", _quoted("cannot read date and time", clock_read), "Time"))
-        .when(clock.in_clock_gap(wall, zone), _issue(
+        .when(clock.in_clock_gap(wall, instant, zone), _issue(
             "nonexistent_local_time", _quoted("clocks skipped", clock_read), "Time"))
         .when(F.col("net_amount").isNull() | F.col("discount_amount").isNull(), _issue(
             "unparsable_money",
             F.concat(_quoted("cannot read", F.col("Net Sales")),
                      _quoted(" or", F.col("Discounts"))), "Net Sales/Discounts"))
     )
-    timed = ~F.coalesce(
-        issue["code"].isin("missing_transaction_id", "unknown_event_type", "unknown_time_zone",
-                           "unparsable_timestamp", "nonexistent_local_time"), F.lit(False))
-    return typed.select(
-        *ROW_KEYS, "source_order_id", "source_payment_id", "event_type",
-        clock.first_instant(wall, zone).alias("occurred_at"),
-        F.coalesce(timed & clock.occurs_twice(wall, zone), F.lit(False)).alias("ambiguous"),
-        "net_amount", "discount_amount", "own_channel", "reason", issue.alias("issue"),
+    # A row that fails on money has a sound clock, and its ambiguity is still reported.
+    checked = typed.withColumn("issue", issue)
+    code = F.coalesce(F.col("issue.code"), F.lit(""))
+    timed = code.isin("", "unparsable_money")
+    return checked.select(
+        *ROW_KEYS, "source_order_id", "source_payment_id", "event_type", "occurred_at",
+        F.coalesce(timed & clock.occurs_twice(wall, instant, zone), F.lit(False))
+        .alias("ambiguous"),
+        "net_amount", "discount_amount", "own_channel", "reason", "issue",
     )
 
 

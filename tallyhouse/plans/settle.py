@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def settled(frame: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the session's ``spark.checkpoint.dir``.
+    """The frame written once as Parquet under the session's ``spark.checkpoint.dir``.
 
-    A temporary folder is set only where the session names none, as in local tests.
+    Columnar, so later readers fetch only the columns they use. A temporary folder is set
+    only where the session names none, as in local tests.
     """
-    context = frame.sparkSession.sparkContext
+    spark = frame.sparkSession
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
-    return frame.checkpoint()
+    target = f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
+    frame.write.parquet(target)
+    return spark.read.schema(frame.schema).parquet(target)

@@ -58,9 +58,10 @@ def test_means_round_half_away_from_zero(spark):
 def _clock(spark, rows):
     wall = clock.wall_time(F.col("d"), F.col("t"))
     zone = clock.zone_of(F.col("z"))
+    instant = clock.first_instant(wall, zone)
     both = F.struct(
-        clock.first_instant(wall, zone).alias("utc"), clock.in_clock_gap(wall, zone).alias("gap"),
-        clock.occurs_twice(wall, zone).alias("twice"))
+        instant.alias("utc"), clock.in_clock_gap(wall, instant, zone).alias("gap"),
+        clock.occurs_twice(wall, instant, zone).alias("twice"))
     return apply(spark, rows, "d string, t string, z string", both)
 
 
