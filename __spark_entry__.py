@@ -250,12 +250,15 @@ def _registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "pair_totals": lambda s, d: baskets.pair_totals(
             _merged(_sales(s, d), ALL)[0], PAIR_MINIMUM),
         "product_attachments": attachments,
+        "attachment_totals": lambda s, d: baskets.attachment_totals(
+            baskets.basket_lines(*_sales(s, d), ALL), _leader(s, d)),
         "strongest_attachments": lambda s, d: baskets.strongest_attachments(
             *_merged(_sales(s, d), ALL), PAIR_MINIMUM),
         # product evidence and result helpers
         "menu_evidence": evidence,
         "menu_evidence_cheapest": lambda s, d: menu.sort_evidence(
             evidence(s, d), "average_price", "asc").limit(50),
+        "evidence_totals": lambda s, d: menu.evidence_totals(*_sales(s, d), LATER),
         "leading_products": lambda s, d: menu.leading_products(evidence(s, d)),
         "undefined_flags": lambda s, d: results.undefined_flags(evidence(s, d)),
         "limited_counts": lambda s, d: results.limited(

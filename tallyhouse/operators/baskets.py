@@ -228,6 +228,15 @@ def product_attachments(
     return ranked if limit is None else ranked.limit(limit)
 
 
+def attachment_totals(lines: DataFrame, anchor_id: int) -> DataFrame:
+    """Orders that hold the anchor, and all eligible orders."""
+    anchored = F.when(F.col("product_id") == anchor_id, F.lit(1))
+    return lines.agg(
+        F.count(anchored).alias("anchor_order_count"),
+        F.count_distinct("order_id").alias("eligible_order_count"),
+    )
+
+
 def strongest_attachments(
     baskets: Baskets, products: DataFrame, min_pair_orders: int = 5
 ) -> DataFrame:

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from tallyhouse.functions import money, ratios
 from tallyhouse.functions.clock import Period
 from tallyhouse.operators import baskets as basket_ops
-from tallyhouse.operators.products import IDENTITY, _MEASURES, two_period_totals, whole_of
+from tallyhouse.operators.products import (
+    IDENTITY, MEASURES, performance_totals, two_period_totals, whole_of,
+)
 from tallyhouse.schemas import DEFAULT_KINDS
 
 # Sortable columns of the evidence table.
@@ -40,14 +42,14 @@ def menu_evidence(
     both = two_period_totals(orders, items, products, period, kinds)
     current = both.filter("in_period")
     whole = whole_of(current, *[c for c in current.columns
-                                if c in _MEASURES or c.startswith("previous_")])
+                                if c in MEASURES or c.startswith("previous_")])
     merged = basket_ops.baskets_of(
         basket_ops.basket_lines(orders, items, products, period, kinds))
     best = basket_ops.strongest_attachments(merged, products, min_pair_orders)
 
     now, then = F.col("net_sales_pence"), F.col("previous_net_sales_pence")
     rows = current.join(best, "product_id", "left").select(
-        *IDENTITY, *_MEASURES,
+        *IDENTITY, *MEASURES,
         money.selling_price(now, F.col("net_units")).alias("average_selling_price_pence"),
         ratios.percent(F.col("discounts_pence"), F.col("gross_sales_pence"), 4)
         .alias("discount_rate_percent"),
@@ -67,6 +69,17 @@ def menu_evidence(
     return rows if limit is None else rows.limit(limit)
 
 
+def evidence_totals(
+    orders: DataFrame, items: DataFrame, products: DataFrame, period: Period,
+    kinds: Sequence[str] = DEFAULT_KINDS,
+) -> DataFrame:
+    """What the evidence rows are a breakdown of: net sales, units and eligible orders."""
+    merged = basket_ops.baskets_of(
+        basket_ops.basket_lines(orders, items, products, period, kinds))
+    return performance_totals(orders, items, products, period, kinds).withColumn(
+        "eligible_order_count", merged.eligible_orders().scalar())
+
+
 def sort_evidence(rows: DataFrame, column: str, direction: str | None = None) -> DataFrame:
     """Order by any table column; undefined values come last in both directions."""
     if column not in COLUMNS:

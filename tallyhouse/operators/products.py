@@ -111,7 +111,7 @@ def whole_of(totals: DataFrame, *columns: str) -> Column:
     return totals.agg(F.struct(*sums).alias("whole")).scalar()
 
 
-_MEASURES = (
+MEASURES = (
     "gross_sales_pence", "discounts_pence", "net_sales_pence", "net_units",
     "payment_order_count",
 )
@@ -125,9 +125,9 @@ def product_performance(
     if sort not in SORTS:
         raise ValueError(f"sort must be one of {sorted(SORTS)}, got {sort!r}")
     totals = product_totals(orders, items, products, period, kinds)
-    whole = whole_of(totals, *_MEASURES)
+    whole = whole_of(totals, *MEASURES)
     ranked = totals.select(
-        *IDENTITY, *_MEASURES,
+        *IDENTITY, *MEASURES,
         money.selling_price(F.col("net_sales_pence"), F.col("net_units"))
         .alias("average_selling_price_pence"),
         ratios.percent(F.col("net_sales_pence"), whole["net_sales_pence"])
@@ -206,16 +206,16 @@ def product_trends(
     # Zero rows are unioned in and merged by the aggregate, so the calendar never joins.
     zeros = found.select("product_id").distinct().select(
         "product_id", F.explode(F.sequence(first, last, step)).alias("period_start"),
-        *[F.lit(0).cast("bigint").alias(c) for c in _MEASURES],
+        *[F.lit(0).cast("bigint").alias(c) for c in MEASURES],
     )
     return found.unionByName(zeros).groupBy("product_id", "period_start").agg(
-        *[F.sum(c).alias(c) for c in _MEASURES])
+        *[F.sum(c).alias(c) for c in MEASURES])
 
 
 def trend_totals(trend: DataFrame) -> DataFrame:
     """A product's series added up; an order falls in one bucket, so counts add too."""
     sums = trend.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c)
-                       for c in _MEASURES])
+                       for c in MEASURES])
     return sums.select("*", money.selling_price(F.col("net_sales_pence"), F.col("net_units"))
                        .alias("average_selling_price_pence"))
 

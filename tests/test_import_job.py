@@ -5,6 +5,7 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
+from tallyhouse import schemas
 from tallyhouse.operators import ingest
 from tallyhouse.plans import import_job as job
 from tallyhouse.sources import exports
@@ -213,6 +214,10 @@ def test_every_bad_row_is_reported_with_its_row_number(run, warehouse):
         (3, "missing_transaction_id", "skip"), (4, "unparsable_quantity", "skip"),
         (5, "unparsable_money", "skip"), (6, "unparsable_quantity", "skip")])
     assert outcome.rows_skipped == 10 and outcome.orders_created == 4
+    assert {code for _, code, _ in found} <= set(schemas.ISSUE_CODES)
+    stored = warehouse.orders().select("channel", "event_type").collect()
+    assert {r["channel"] for r in stored} <= set(schemas.CHANNELS)
+    assert {r["event_type"] for r in stored} <= set(schemas.EVENT_TYPES)
 
 
 def test_coverage_is_in_local_days(run):

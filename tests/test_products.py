@@ -136,6 +136,8 @@ def test_menu_evidence(evidence):
     # Lift prefers the rare exclusive partner to the frequent one.
     assert (a["attachment_product_name"], a["attachment_pair_orders"]) == ("Rare", 2)
     assert (a["attachment_rate_percent"], a["attachment_lift"]) == (25.0, 1.875)
+    totals = menu.evidence_totals(*tables(evidence), WINDOW).first()
+    assert tuple(totals) == (3180, 23, 15)
     alone = by_name["Alone"]
     assert alone["attachment_product_id"] is None and alone["discount_rate_percent"] is None
     assert (alone["movement_status"], alone["net_sales_percent_change"]) == (
@@ -259,6 +261,7 @@ def test_attachments(four_baskets):
                 "reverse_attachment_rate_percent", "support_percent", "lift") == [
         ("B", 2, 3, 66.6667, 66.6667, 50.0, 0.8889), ("C", 1, 2, 33.3333, 50.0, 25.0, 0.6667)]
     assert baskets.product_attachments(lines, four_baskets.products, 99) is None
+    assert tuple(baskets.attachment_totals(lines, 1).first()) == (3, 4)
     few = baskets.product_attachments(lines, four_baskets.products, 1, min_pair_orders=2)
     assert few.count() == 1
 
