@@ -19,7 +19,7 @@ from tallyhouse.operators import (  # noqa: E402
 )
 from tallyhouse.plans import backtest, boosting, forecast  # noqa: E402
 from tallyhouse.plans.settle import settled  # noqa: E402
-from tallyhouse.session import configure  # noqa: E402
+from tallyhouse.session import configure, ship  # noqa: E402
 from tallyhouse.sources import derived_exports, warehouse_tables  # noqa: E402
 
 # The orders' whole span in London days; its later half, whose previous period is the
@@ -299,16 +299,27 @@ def _registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+def _added():
+    """(queries, SQL) of the training-data operators and the pipeline, where they are present."""
+    try:
+        import corpus_pipeline
+        from tallyhouse.llm import queries as llm
+    except ImportError:
+        return {}, {}
+    pipeline_sql = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return {**llm.queries(), "pipeline": corpus_pipeline.run}, {**llm.oracle_sql(), **pipeline_sql}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One entry per operation; each takes the session and a table folder."""
     def configured(run):
-        return lambda spark, folder: run(configure(spark), folder)
+        return lambda spark, folder: run(ship(configure(spark)), folder)
 
-    return {name: configured(run) for name, run in _registry().items()}
+    return {name: configured(run) for name, run in (_registry() | _added()[0]).items()}
 
 
 def oracle_sql() -> dict[str, str]:
     """Equivalent DuckDB SQL; fitted models have none."""
     from oracles import statements
 
-    return statements()
+    return statements() | _added()[1]

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 # Runtime re-planning does the skew and join-strategy work at scale. A hot order or
@@ -11,9 +16,6 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    # Methods past this size are never compiled to machine code by the JVM; row parsing is
-    # faster as many small methods.
-    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
@@ -23,3 +25,18 @@ def configure(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
     return spark
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Gives Python workers this package, once for each Spark application."""
+    context = spark.sparkContext
+    if getattr(context, "_tallyhouse_shipped", False):
+        return spark
+    package = Path(__file__).resolve().parent
+    archive = os.path.join(tempfile.mkdtemp(prefix="tallyhouse-"), "tallyhouse_package.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(package.rglob("*.py")):
+            out.write(path, path.relative_to(package.parent).as_posix())
+    context.addPyFile(archive)
+    context._tallyhouse_shipped = True
+    return spark
