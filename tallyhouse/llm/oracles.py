@@ -27,4 +27,24 @@ reach AS (
 SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, min(root) AS component_id,
   s.doc_id = min(root) AS kept
 FROM sets s JOIN reach USING (doc_id) GROUP BY s.doc_id, s.g""",
+    "op6_substring_dedup": f"""
+WITH cut AS (
+  SELECT doc_id, coalesce({WORDS.format("text")}, []) AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM cut),
+windows AS (SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS x FROM starts),
+firsts AS (SELECT x, min(doc_id) AS first_doc FROM windows GROUP BY x),
+hit AS (
+  SELECT doc_id, list(i) AS begins FROM windows JOIN firsts USING (x)
+  WHERE first_doc < doc_id GROUP BY doc_id),
+gone AS (
+  SELECT DISTINCT doc_id, s + o AS i
+  FROM (SELECT doc_id, unnest(begins) AS s FROM hit), (SELECT unnest(range(13)) AS o)),
+words AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM cut),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t, count(*) AS n
+  FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
+  CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM cut LEFT JOIN kept USING (doc_id)""",
 }

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyhouse.llm.common import table
 from tallyhouse.llm.near_dedup import near_dedup
+from tallyhouse.llm.substring_dedup import substring_dedup
 
 
 def op1_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -16,8 +17,13 @@ def op1_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_shingles", "component_id", "kept")
 
 
+def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the 13-word passages that smaller documents hold."""
+    return substring_dedup(table(spark, folder, "documents", "doc_id", "text")).drop("kept_text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup,)}
+    return {f.__name__: f for f in (op1_near_dedup, op6_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
