@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyhouse.llm.common import table
+from tallyhouse.llm.common import held_out, table
+from tallyhouse.llm.language import detect_language, fit_filters
 from tallyhouse.llm.near_dedup import near_dedup
 from tallyhouse.llm.substring_dedup import substring_dedup
 
@@ -22,8 +24,17 @@ def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup(table(spark, folder, "documents", "doc_id", "text")).drop("kept_text")
 
 
+def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, learnt from two thirds of the labelled ones."""
+    docs = table(spark, folder, "documents", "doc_id", "text", "lang")
+    filters = fit_filters(docs.filter(~held_out("doc_id")).select(
+        F.col("doc_id").alias("key"), "text", "lang"))
+    return detect_language(docs, filters).select(
+        "doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op6_substring_dedup)}
+    return {f.__name__: f for f in (op1_near_dedup, op6_substring_dedup, op7_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
