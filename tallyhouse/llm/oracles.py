@@ -47,4 +47,24 @@ kept AS (
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
   CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM cut LEFT JOIN kept USING (doc_id)""",
+    # Every alignment of an item in a document that shares enough words, without any seed.
+    "op10_decontamination": r"""
+WITH d AS (
+  SELECT doc_id, unnest(w) AS x, unnest(range(len(w))) AS i
+  FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents)),
+b AS (
+  SELECT item_id, len(w) AS n, unnest(w) AS x, unnest(range(len(w))) AS j
+  FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark)
+  WHERE len(w) >= 5),
+same AS (
+  SELECT doc_id, item_id, n, i - j AS shift, list(j) AS js, count(*) AS matched
+  FROM d JOIN b USING (x) GROUP BY doc_id, item_id, n, i - j
+  HAVING count(*) >= least(n, 11)),
+held AS (
+  SELECT * FROM same WHERE len(list_filter(range(n - least(n, 13) + 1), lambda s:
+    len(list_filter(js, lambda j: j >= s AND j < s + least(n, 13)))
+      >= CASE WHEN n < 13 THEN n ELSE 11 END)) > 0)
+SELECT doc_id, item_id, CAST(arg_max(shift, matched * 1000000000 - shift) AS BIGINT) AS start,
+  CAST(max(matched) AS BIGINT) AS n_matched, CAST(max(n) AS BIGINT) AS n_item_words
+FROM held GROUP BY doc_id, item_id""",
 }

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.llm.common import held_out, table
+from tallyhouse.llm.decontaminate import contaminated
 from tallyhouse.llm.language import detect_language, fit_filters
 from tallyhouse.llm.near_dedup import near_dedup
 from tallyhouse.llm.substring_dedup import substring_dedup
@@ -33,8 +34,15 @@ def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with the benchmark items whose passages they hold."""
+    return contaminated(table(spark, folder, "documents", "doc_id", "text"),
+                        table(spark, folder, "benchmark", "item_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op6_substring_dedup, op7_language_id)}
+    return {f.__name__: f for f in (op1_near_dedup, op6_substring_dedup, op7_language_id,
+                                      op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
