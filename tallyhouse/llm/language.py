@@ -17,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyhouse.llm.wordstream import mix, pieces, text_buffers
 from tallyhouse.session import ship
@@ -160,23 +161,24 @@ def _predictor(filters: Filters):
 
 
 def detect_language(docs: DataFrame, filters: Filters, id_col: str = "doc_id",
-                    text_col: str = "text") -> DataFrame:
-    """One row per row: id, lang_pred, score, coverage.
+                    text_col: str = "text", carry: bool = False) -> DataFrame:
+    """One row per row: id, lang_pred, score, coverage; with `carry`, all columns come along
+    as the struct `row` in place of the id.
 
     `score` is the winner's share of all languages' hits, `coverage` the part of the text's
     n-grams that the winner knows. Texts that are null or hold no letter, and all texts if
     nothing was learnt, are `und` with 0 in both. Equal hits go to the first language by name.
-    Null ids and repeated rows are judged like others; other columns are not read.
+    Null ids and repeated rows are judged like others; without `carry`, other columns are not
+    read.
     """
     ship(docs.sparkSession)
-    kind = docs.schema[id_col].dataType.simpleString()
+    name, source = ("row", F.struct("*")) if carry else (id_col, F.col(id_col))
     read = docs.select(
-        F.col(id_col).alias("doc"), F.col(text_col).alias("text"),
+        source.alias(name), F.col(text_col).alias("text"),
         F.coalesce(F.col(text_col).rlike("\\p{L}"), F.lit(False)).alias("lettered"))
     if not filters.languages:
-        found = read.select("doc", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"),
-                            F.lit(0.0).alias("coverage"))
-    else:
-        found = read.mapInArrow(
-            _predictor(filters), f"doc {kind}, lang_pred string, score double, coverage double")
-    return found.withColumnRenamed("doc", id_col)
+        return read.select(name, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"),
+                           F.lit(0.0).alias("coverage"))
+    schema = T.StructType([read.schema[name], *T.StructType.fromDDL(
+        "lang_pred string, score double, coverage double").fields])
+    return read.mapInArrow(_predictor(filters), schema)

@@ -67,4 +67,44 @@ held AS (
 SELECT doc_id, item_id, CAST(arg_max(shift, matched * 1000000000 - shift) AS BIGINT) AS start,
   CAST(max(matched) AS BIGINT) AS n_matched, CAST(max(n) AS BIGINT) AS n_item_words
 FROM held GROUP BY doc_id, item_id""",
+    # The same programme over all pairs of lengths, layer by layer; every bucket is one shard
+    # below 100,000 texts.
+    "op5_packing": f"""
+WITH RECURSIVE sized AS (
+  SELECT doc_id, coalesce(len({WORDS.format("text")}), 0) AS t FROM documents),
+h AS (SELECT t AS size, count(*) AS c FROM sized WHERE t > 0 GROUP BY t),
+p AS (
+  SELECT row_number() OVER (ORDER BY size) AS m, size,
+    CAST(sum(c) OVER (ORDER BY size) AS BIGINT) AS num,
+    CAST(sum(c * size) OVER (ORDER BY size) AS BIGINT) AS tok FROM h),
+dp AS (
+  SELECT 1 AS layer, m, size * num - tok AS cost, CAST(0 AS BIGINT) AS split FROM p
+  UNION ALL
+  SELECT layer, m, best.c, best.m FROM (
+    SELECT dp.layer + 1 AS layer, q.m, min(struct_pack(
+      c := dp.cost + q.size * (q.num - i.num) - (q.tok - i.tok), m := dp.m)) AS best
+    FROM dp JOIN p i ON i.m = dp.m JOIN p q ON q.m > dp.m WHERE dp.layer < 16
+    GROUP BY dp.layer, q.m)),
+used AS (
+  SELECT layer, m FROM dp WHERE m = (SELECT max(m) FROM p) ORDER BY cost, layer LIMIT 1),
+back AS (
+  SELECT dp.layer, dp.m, dp.split FROM dp JOIN used USING (layer, m)
+  UNION ALL
+  SELECT dp.layer, dp.m, dp.split FROM back JOIN dp
+    ON dp.layer = back.layer - 1 AND dp.m = back.split),
+bounds AS (
+  SELECT CAST(row_number() OVER (ORDER BY size) - 1 AS INTEGER) AS bucket,
+    CAST(size AS BIGINT) AS padded_to FROM back JOIN p USING (m)),
+placed AS (
+  SELECT doc_id, t, (SELECT min(bucket) FROM bounds WHERE padded_to >= t) AS bucket FROM sized),
+numbered AS (
+  SELECT doc_id, t, bucket, padded_to, (row_number() OVER (
+    PARTITION BY bucket ORDER BY t, doc_id) - 1) // greatest(1, 32768 // padded_to) AS number
+  FROM placed JOIN bounds USING (bucket) WHERE t > 0)
+SELECT doc_id, CAST(t AS BIGINT) AS n_tokens, bucket, padded_to,
+  bucket || '-0-' || number AS batch,
+  count(*) OVER (PARTITION BY bucket, number) AS n_in_batch, padded_to - t AS n_padding
+FROM numbered
+UNION ALL
+SELECT doc_id, 0, NULL, NULL, NULL, NULL, 0 FROM sized WHERE t = 0""",
 }

@@ -11,6 +11,7 @@ from tallyhouse.llm.common import held_out, table
 from tallyhouse.llm.decontaminate import contaminated
 from tallyhouse.llm.language import detect_language, fit_filters
 from tallyhouse.llm.near_dedup import near_dedup
+from tallyhouse.llm.packing import pack
 from tallyhouse.llm.substring_dedup import substring_dedup
 
 
@@ -20,6 +21,11 @@ def op1_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_shingles", "component_id", "kept")
 
 
+def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's length bucket and batch."""
+    return pack(table(spark, folder, "documents", "doc_id", "text"))
+
+
 def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document without the 13-word passages that smaller documents hold."""
     return substring_dedup(table(spark, folder, "documents", "doc_id", "text")).drop("kept_text")
@@ -41,7 +47,7 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op6_substring_dedup, op7_language_id,
+    return {f.__name__: f for f in (op1_near_dedup, op5_packing, op6_substring_dedup, op7_language_id,
                                       op10_decontamination)}
 
 
