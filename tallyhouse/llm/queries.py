@@ -12,6 +12,7 @@ from tallyhouse.llm.decontaminate import contaminated
 from tallyhouse.llm.language import detect_language, fit_filters
 from tallyhouse.llm.near_dedup import near_dedup
 from tallyhouse.llm.packing import pack
+from tallyhouse.llm.quality import fit_quality, score_quality
 from tallyhouse.llm.substring_dedup import substring_dedup
 
 
@@ -21,6 +22,14 @@ def op1_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_shingles", "component_id", "kept")
 
 
+def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document, learnt from two thirds of the labelled ones."""
+    docs = table(spark, folder, "documents", "doc_id", "text", "n_chars")
+    labels = table(spark, folder, "labels", "doc_id", "quality").filter(~held_out("doc_id"))
+    return score_quality(docs, fit_quality(docs, labels)).select(
+        "doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's length bucket and batch."""
     return pack(table(spark, folder, "documents", "doc_id", "text"))
@@ -47,7 +56,7 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op5_packing, op6_substring_dedup, op7_language_id,
+    return {f.__name__: f for f in (op1_near_dedup, op2_quality, op5_packing, op6_substring_dedup, op7_language_id,
                                       op10_decontamination)}
 
 
