@@ -276,8 +276,11 @@ def substring_dedup(
     held = sole.select("doc", F.explode("anchors").alias("anchor"))
     common = held.groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter(
         "a < b").select("anchor")
-    shared = held.join(common, "anchor", "left_semi").groupBy("doc").agg(
-        F.collect_set("anchor").alias("shared"))
+    shared = scratch.put("shared", held.join(common, "anchor", "left_semi").groupBy("doc").agg(
+        F.collect_set("anchor").alias("shared")))
+    digests = scratch.put("digests", summary.drop("anchors"))
+    firsts = scratch.put("firsts", firsts)
+    scratch.drop("summaries")
     affected = scratch.put("affected", texts.join(shared, "doc"))
 
     spans = scratch.put("spans", affected.mapInArrow(
@@ -285,8 +288,8 @@ def substring_dedup(
         "doc long, start int, windows int, anchor long, span string, k1 long, k2 long"))
     distinct = scratch.put("distinct", spans.groupBy("anchor", "span", "k1", "k2").agg(
         F.min("doc").alias("low"), F.max("doc").alias("high")))
-    large = distinct.groupBy("anchor").agg(F.count("*").alias("n")).filter(
-        F.col("n") > max_group).select("anchor")
+    large = scratch.put("large", distinct.groupBy("anchor").agg(F.count("*").alias("n")).filter(
+        F.col("n") > max_group).select("anchor"))
     trees = distinct.join(large, "anchor", "left_anti").repartition("anchor") \
         .sortWithinPartitions("anchor").mapInArrow(
         _tree_builder(min_words), "k1 long, k2 long, firsts array<long>")
@@ -299,19 +302,22 @@ def substring_dedup(
         F.array_sort(F.collect_list(F.struct("place", "first"))).alias("at")
     ).select("k1", "k2", F.expr("transform(at, x -> x.first)").alias("firsts"), "high") \
         .filter(F.array_min("firsts") < F.col("high")).drop("high")
-    nodes = trees.union(whole)
+    nodes = scratch.put("nodes", trees.union(whole))
+    scratch.drop("distinct")
 
     covered = spans.select("doc", "start", "k1", "k2").join(nodes, ["k1", "k2"]).select(
         "doc", F.expr("filter(transform(firsts, (f, i) -> if(f < doc, start + i, -1)), s -> s >= 0)")
         .alias("starts")).filter("size(starts) > 0")
-    starts = covered.groupBy("doc").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    starts = scratch.put("starts", covered.groupBy("doc").agg(
+        F.flatten(F.collect_list("starts")).alias("starts")))
+    scratch.drop("spans", "nodes")
     cut = affected.select("doc", "text").join(starts, "doc").mapInArrow(
         _cutter(min_words), "doc long, n_removed long, kept_text string, kept_sha256 string")
     cut = scratch.put("cut", cut.groupBy("doc").agg(F.min(
         F.struct("kept_sha256", "n_removed", "kept_text")).alias("cut")))
-    scratch.drop("affected", "spans", "distinct")
+    scratch.drop("affected", "starts")
 
-    one = named.groupBy("doc").agg(F.min(F.struct("sha", "n_words")).alias("own")).select(
+    one = digests.filter("doc is not null").groupBy("doc").agg(F.min(F.struct("sha", "n_words")).alias("own")).select(
         "doc", "own.sha", "own.n_words").join(firsts, "sha", "left").join(cut, "doc", "left")
     copy = F.col("first_doc") < F.col("doc")
     result = one.select(
@@ -321,7 +327,7 @@ def substring_dedup(
         F.when(copy, F.lit(NOTHING)).otherwise(F.coalesce("cut.kept_sha256", "sha"))
         .alias("kept_sha256"),
         F.when(copy, F.lit("")).otherwise(F.col("cut.kept_text")).alias("kept_text"))
-    nameless = summary.filter("doc is null").select(
+    nameless = digests.filter("doc is null").select(
         F.col("doc").alias(id_col), "n_words", F.lit(0).cast("long").alias("n_removed"),
         F.col("sha").alias("kept_sha256"), F.lit(None).cast("string").alias("kept_text"))
     return result.union(nameless)
