@@ -11,6 +11,7 @@ from tallyhouse.llm.common import held_out, table
 from tallyhouse.llm.decontaminate import contaminated
 from tallyhouse.llm.language import detect_language, fit_filters
 from tallyhouse.llm.near_dedup import near_dedup
+from tallyhouse.llm.neighbours import nearest
 from tallyhouse.llm.packing import pack
 from tallyhouse.llm.quality import fit_quality, score_quality
 from tallyhouse.llm.substring_dedup import substring_dedup
@@ -30,6 +31,11 @@ def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
+def op3_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth one."""
+    return nearest(table(spark, folder, "embeddings", "vec_id", "embedding"))
+
+
 def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's length bucket and batch."""
     return pack(table(spark, folder, "documents", "doc_id", "text"))
@@ -56,7 +62,7 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_quality, op5_packing, op6_substring_dedup, op7_language_id,
+    return {f.__name__: f for f in (op1_near_dedup, op2_quality, op3_neighbours, op5_packing, op6_substring_dedup, op7_language_id,
                                       op10_decontamination)}
 
 
