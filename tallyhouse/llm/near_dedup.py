@@ -9,12 +9,15 @@ Groups never become all their pairs:
 
 * texts with equal shingle sets are one class, represented by the smallest id;
 * in a bucket every class is compared with the bucket's hub, the smallest id (a star);
-* verified links form components, and only classes of one bucket that are still in
-  different components are compared pair by pair. A missing link inside a component cannot
-  change the result, so no component is lost to the shortcut.
+* verified links form components; where a bucket still holds several, its classes are
+  compared with a few pivots of it, and components are formed again;
+* only classes outside a bucket's largest component are compared with all others of the bucket
+  that are in different components even then. A missing link inside a component cannot change the result, so no component is lost
+  to the shortcut.
 
-Candidates are compared on their full sets. With 40 bands of 6 slots, a pair of similarity
-0.8 shares no bucket with a chance of about 5 in a million.
+Candidates must agree in enough of `SKETCH_BITS` single bits of their signatures, and are then
+compared on their full sets. With 40 bands of 6 slots, a pair of similarity 0.8 shares no
+bucket with a chance of about 5 in a million; the bits turn it away with one of 1 in a million.
 """
 
 from __future__ import annotations
@@ -35,7 +38,9 @@ _TURN = 0x9E3779B97F4A7C15
 _LOW = np.uint64(0xFFFFFFFF)
 _HALF = np.uint64(32)
 SPARSE_RANKS = 6
-SIGNATURE = "doc long, n int, k1 long, k2 long, bands array<long>"
+SKETCH_BITS = 128
+PIVOTS = 4
+SIGNATURE = "doc long, n int, k1 long, k2 long, s1 long, s2 long, bands array<long>"
 
 
 def superminhash(values: np.ndarray, text: np.ndarray, texts: int, slots: int) -> np.ndarray:
@@ -88,6 +93,9 @@ def _signer(size: int, bands: int, rows: int):
                 count = np.diff(bounds)
                 table = superminhash(values, text, n_texts, bands * rows).reshape(
                     n_texts, bands, rows)
+                spots = table.reshape(n_texts, -1)[:, np.arange(SKETCH_BITS) % (bands * rows)]
+                sketch = np.packbits((mix(spots) & np.uint64(1)).astype(bool), axis=1)
+                sketch = np.ascontiguousarray(sketch).view(np.int64)
                 names = np.zeros((n_texts, bands), np.uint64)
                 for r in range(rows):
                     names = mix(names + table[:, :, r])
@@ -101,11 +109,24 @@ def _signer(size: int, bands: int, rows: int):
                     pa.array(names[filled].ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
                     [piece.column("doc"), pa.array(count, pa.int32()),
-                     pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), lists],
-                    names=["doc", "n", "k1", "k2", "bands"])
+                     pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)),
+                     pa.array(sketch[:, 0]), pa.array(sketch[:, 1]), lists],
+                    names=["doc", "n", "k1", "k2", "s1", "s2", "bands"])
     return sign
 
 
+def _set_lister(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, "text"):
+                values, _, bounds = shingle_sets(words_of(piece.column("text"), True), size)
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column("doc"), pa.ListArray.from_arrays(
+                        pa.array(bounds, pa.int32()), pa.array(values.view(np.int64)))],
+                    names=["doc", "members"])
+    return run
+
+
 def _checker(size: int, percent: int):
     """Keeps the pairs (a, b) whose full sets are similar enough."""
     def sets_of(ids: pa.Array, texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
@@ -163,44 +184,73 @@ def near_dedup(
     classes = scratch.put(
         "classes", sets.groupBy("k1", "k2", "n").agg(F.min("doc").alias("class_id")))
 
-    distinct = sets.select("doc", "n", "bands").join(
+    distinct = sets.select("doc", "n", "s1", "s2", "bands").join(
         classes.select(F.col("class_id").alias("doc")).distinct(), "doc", "left_semi")
-    buckets = distinct.select("doc", "n", F.posexplode("bands").alias("band", "name"))
+    buckets = distinct.select("doc", "n", "s1", "s2", F.posexplode("bands").alias("band", "name"))
     hubs = buckets.groupBy("band", "name").agg(
-        F.min(F.struct("doc", "n")).alias("hub"), F.max("doc").alias("last")
+        F.min(F.struct("doc", "n", "s1", "s2")).alias("hub"), F.max("doc").alias("last")
     ).filter("hub.doc < last").drop("last")
     shared = scratch.put("buckets", buckets.join(hubs, ["band", "name"]))
 
+    # Bits of unequal slots differ by a coin's toss; five deviations are allowed on top.
+    apart = SKETCH_BITS * (1 - percent / 100) / 2
+    most = apart + 5 * (SKETCH_BITS * (1 - percent / 100) / 2 * (1 + percent / 100) / 2) ** 0.5
+
     def near(x: str, y: str):
-        """Sets whose sizes differ more can't be similar enough."""
-        return F.expr(f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})")
+        """Sets whose sizes or sketches differ more can't be similar enough."""
+        return F.expr(
+            f"100 * least({x}n, {y}n) >= {percent} * greatest({x}n, {y}n) and "
+            f"bit_count({x}s1 ^ {y}s1) + bit_count({x}s2 ^ {y}s2) <= {int(most)}")
 
-    star = scratch.put("stars", shared.filter("doc <> hub.doc").filter(near("n", "hub.n")).select(
-        F.col("doc").alias("a"), F.col("hub.doc").alias("b")).distinct())
+    star = shared.filter("doc <> hub.doc").filter(near("", "hub.")).select(
+        F.col("doc").alias("a"), F.col("hub.doc").alias("b")).distinct()
     found = scratch.put("links-0", _verified(star, texts, words, percent))
-    linked = components(found, scratch, "first")
-
-    placed = shared.join(linked.select(F.col("node").alias("doc"), "component"), "doc", "left") \
-        .withColumn("component", F.coalesce("component", "doc"))
-    torn = placed.groupBy("band", "name").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"),
-        F.first("hub.doc").alias("hub_doc")).filter("low < high").select("band", "name", "hub_doc")
-    open_ = scratch.put("open", placed.drop("hub").join(torn, ["band", "name"]))
-    at_hub = open_.filter("doc = hub_doc").select(
-        "band", "name", F.col("component").alias("hub_component")).distinct()
-    apart = open_.join(at_hub, ["band", "name"]).filter("component <> hub_component").select(
-        "band", "name", F.col("doc").alias("a"), F.col("n").alias("n_a"),
-        F.col("component").alias("component_a"))
-    others = open_.filter("doc <> hub_doc").select(
-        "band", "name", F.col("doc").alias("b"), F.col("n").alias("n_b"),
-        F.col("component").alias("component_b"))
-    rest = apart.join(others, ["band", "name"]).filter("component_a <> component_b").filter(
-        near("n_a", "n_b")).select(
-        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(
-        star, ["a", "b"], "left_anti")
-    rest = scratch.put("rest", rest)
-    more = scratch.put("links-1", _verified(rest, texts, words, percent))
-    links = found.union(more)
+
+    def torn(frame: DataFrame, links: DataFrame, name: str) -> DataFrame:
+        """Rows of the buckets that hold several components of these links."""
+        reached = components(links, scratch, f"{name}-components").select(
+            F.col("node").alias("doc"), "component")
+        placed = frame.join(reached, "doc", "left").withColumn(
+            "component", F.coalesce("component", "doc"))
+        several = placed.groupBy("band", "name").agg(
+            F.min("component").alias("low"), F.max("component").alias("high")
+        ).filter("low < high").select("band", "name")
+        return scratch.put(f"{name}-torn", placed.join(several, ["band", "name"]))
+
+    open_ = torn(shared.drop("hub"), found, "first")
+    ids = open_.select("doc").distinct()
+    texts = scratch.put("open-texts", texts.join(ids, "doc", "left_semi"))
+    pivots = open_.groupBy("band", "name").agg(F.array_distinct(F.array(*[
+        F.min(F.struct(F.xxhash64("doc", F.lit(i)).alias("draw"), "doc", "n", "s1", "s2",
+                       "component")) for i in range(PIVOTS)])).alias("pivots")
+    ).select("band", "name", F.explode("pivots").alias("p"))
+    drawn = open_.join(pivots, ["band", "name"]).filter(
+        "component <> p.component").filter(near("", "p.")).select(
+        F.greatest("doc", "p.doc").alias("a"), F.least("doc", "p.doc").alias("b")).distinct()
+    more = scratch.put("links-1", _verified(drawn, texts, words, percent))
+
+    open_ = torn(open_.drop("component"), found.union(more), "second")
+    largest = open_.groupBy("band", "name", "component").agg(F.count("*").alias("size")).groupBy(
+        "band", "name").agg(F.max(F.struct("size", "component")).alias("most"))
+    minor = open_.join(largest, ["band", "name"]).filter("component <> most.component")
+    # Rows that have no partner left go first; the others get their sets, and the join tells
+    # links from mere candidates itself, so that only links come out of it.
+    x, y = minor.alias("x"), open_.alias("y")
+    likely = (F.col("x.component") != F.col("y.component")) & near("x.", "y.")
+    place = (F.col("x.band") == F.col("y.band")) & (F.col("x.name") == F.col("y.name"))
+    left = scratch.put("left", x.join(y, place & likely, "left_semi"))
+    right = scratch.put("right", y.join(left.alias("x"), place & likely, "left_semi"))
+    ids = left.select("doc").union(right.select("doc")).distinct()
+    full = scratch.put("sets", texts.join(ids, "doc", "left_semi").dropDuplicates(["doc"]).mapInArrow(
+        _set_lister(words), "doc long, members array<long>").join(
+        distinct.select("doc", "bands").dropDuplicates(["doc"]), "doc"))
+    x, y = left.join(full, "doc").alias("x"), right.join(full, "doc").alias("y")
+    alike = F.expr(f"size(array_intersect(x.members, y.members)) * {100 + percent}L >= "
+                   f"{percent}L * (x.n + y.n)")
+    first = F.expr("array_position(zip_with(x.bands, y.bands, (p, q) -> p = q), true) = x.band + 1")
+    last = scratch.put("links-2", x.join(y, place & likely & first & alike).select(
+        F.greatest("x.doc", "y.doc").alias("a"), F.least("x.doc", "y.doc").alias("b")).distinct())
+    links = found.union(more).union(last).distinct()
     final = components(links, scratch, "last")
 
     degree = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy(

@@ -15,6 +15,8 @@ from tallyhouse.llm.neighbours import nearest
 from tallyhouse.llm.packing import pack
 from tallyhouse.llm.quality import fit_quality, score_quality
 from tallyhouse.llm.substring_dedup import substring_dedup
+from tallyhouse.llm.token_counts import count_tokens, load_vocabulary
+from tallyhouse.llm.url_filter import judge_urls
 
 
 def op1_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -36,6 +38,11 @@ def op3_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return nearest(table(spark, folder, "embeddings", "vec_id", "embedding"))
 
 
+def op4_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """A verdict on every page's URL."""
+    return judge_urls(table(spark, folder, "pages", "page_id", "url")).drop("block_score")
+
+
 def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's length bucket and batch."""
     return pack(table(spark, folder, "documents", "doc_id", "text"))
@@ -55,6 +62,11 @@ def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Pre-tokens and tokens of every document."""
+    return count_tokens(table(spark, folder, "documents", "doc_id", "text"), load_vocabulary())
+
+
 def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with the benchmark items whose passages they hold."""
     return contaminated(table(spark, folder, "documents", "doc_id", "text"),
@@ -62,8 +74,9 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_quality, op3_neighbours, op5_packing, op6_substring_dedup, op7_language_id,
-                                      op10_decontamination)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_quality, op3_neighbours, op4_url_filter,
+                                      op5_packing, op6_substring_dedup, op7_language_id,
+                                      op9_token_counts, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
