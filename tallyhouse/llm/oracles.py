@@ -107,4 +107,13 @@ SELECT doc_id, CAST(t AS BIGINT) AS n_tokens, bucket, padded_to,
 FROM numbered
 UNION ALL
 SELECT doc_id, 0, NULL, NULL, NULL, NULL, 0 FROM sized WHERE t = 0""",
+    "op8_web_archive": """
+WITH p AS (
+  SELECT page_id, sha256(coalesce(html, '')) AS digest,
+    CAST(strlen(coalesce(html, '')) AS BIGINT) AS n FROM pages),
+f AS (SELECT digest, min(page_id) AS first_id FROM p GROUP BY digest)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+  CASE WHEN n >= 100 AND first_id < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND first_id < page_id THEN first_id END AS refers_to
+FROM p JOIN f USING (digest)""",
 }

@@ -17,6 +17,7 @@ from tallyhouse.llm.quality import fit_quality, score_quality
 from tallyhouse.llm.substring_dedup import substring_dedup
 from tallyhouse.llm.token_counts import count_tokens, load_vocabulary
 from tallyhouse.llm.url_filter import judge_urls
+from tallyhouse.llm.web_archive import archived
 
 
 def op1_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -62,6 +63,11 @@ def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op8_web_archive(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page's record, written to WARC packages and read back."""
+    return archived(table(spark, folder, "pages", "page_id", "url", "html")).drop("url")
+
+
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Pre-tokens and tokens of every document."""
     return count_tokens(table(spark, folder, "documents", "doc_id", "text"), load_vocabulary())
@@ -76,7 +82,7 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_near_dedup, op2_quality, op3_neighbours, op4_url_filter,
                                       op5_packing, op6_substring_dedup, op7_language_id,
-                                      op9_token_counts, op10_decontamination)}
+                                      op8_web_archive, op9_token_counts, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
