@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from datetime import date, datetime, time, timedelta, timezone
 from zoneinfo import ZoneInfo
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.text import stripped
@@ -66,13 +66,27 @@ class Period:
         return (instant >= F.lit(self.start_utc)) & (instant < F.lit(self.end_utc))
 
     def months(self) -> list[str]:
-        """Local ``yyyy-MM`` months touched, for partition pruning."""
-        found, cursor = [], self.start.replace(day=1)
-        while cursor <= self.end:
+        """``yyyy-MM`` months that an instant of the period can have in any zone.
+
+        Two days are added on either side: clocks of two places differ by up to 26 hours.
+        """
+        last = self.end + timedelta(days=2)
+        found, cursor = [], (self.start - timedelta(days=2)).replace(day=1)
+        while cursor <= last:
             found.append(cursor.strftime("%Y-%m"))
             cursor = (cursor + timedelta(days=32)).replace(day=1)
         return found
 
+    def orders(self, orders: DataFrame) -> DataFrame:
+        """Orders of the period; stored ones are first cut to its month partitions."""
+        return self.stored(orders).filter(self.contains(F.col("occurred_at")))
+
+    def stored(self, rows: DataFrame) -> DataFrame:
+        """Rows of the month partitions the period can touch; all rows if there are none."""
+        if "local_month" not in rows.columns:
+            return rows
+        return rows.filter(F.col("local_month").isin(self.months()))
+
 
 def period(
     start: date, end: date, zone: str = DEFAULT_ZONE, max_days: int | None = MAX_PERIOD_DAYS

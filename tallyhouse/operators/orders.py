@@ -51,11 +51,11 @@ def overview(orders: DataFrame, period: Period, compare: bool = False) -> DataFr
     Both periods come from one scan through conditional aggregates.
     """
     if not compare:
-        totals = orders.filter(period.contains(F.col("occurred_at"))).agg(*measures())
+        totals = period.orders(orders).agg(*measures())
         return totals.select("*", _average_order())
 
     before = period.previous()
-    both = orders.filter(before.through(period).contains(F.col("occurred_at")))
+    both = before.through(period).orders(orders)
     totals = both.agg(
         *measures(period.contains(F.col("occurred_at"))),
         *measures(before.contains(F.col("occurred_at")), "previous_"),
@@ -80,7 +80,7 @@ def revenue_series(orders: DataFrame, period: Period, granularity: str = "day")
     """Local day or week totals; buckets without trade are zero rows."""
     start = clock.bucket(F.col("occurred_at"), period.zone, granularity)
     found = (
-        orders.filter(period.contains(F.col("occurred_at")))
+        period.orders(orders)
         .groupBy(start.alias("period_start")).agg(*measures())
         .drop("refund_event_count")
     )
@@ -92,7 +92,7 @@ def day_of_week(orders: DataFrame, period: Period) -> DataFrame:
     """Seven rows, Monday first."""
     day = clock.iso_weekday(F.col("occurred_at"), period.zone)
     found = (
-        orders.filter(period.contains(F.col("occurred_at")))
+        period.orders(orders)
         .groupBy(day.alias("iso_weekday")).agg(*measures())
     )
     filled = calendar.fill_gaps(
@@ -163,7 +163,7 @@ def hour_intensity(grid: DataFrame, steps: int = 4) -> DataFrame:
 def channel_mix(orders: DataFrame, period: Period) -> DataFrame:
     """Channels richest first with their shares of payment orders and of net sales."""
     totals = (
-        orders.filter(period.contains(F.col("occurred_at")))
+        period.orders(orders)
         .groupBy("channel").agg(*measures())
     )
     whole = totals.agg(F.struct(

@@ -29,11 +29,9 @@ IDENTITY = ("product_id", "product_name", "product_variation", "kind")
 
 def lines_in_period(orders: DataFrame, items: DataFrame, period: Period) -> DataFrame:
     """Lines of the period's orders with the order's instant and event."""
-    windowed = orders.filter(period.contains(F.col("occurred_at")))
-    if "local_month" in items.columns:
-        # Lines carry no instant; the month partition keeps the scan to the period.
-        items = items.filter(F.col("local_month").isin(period.months()))
-    lines = items.select(
+    windowed = period.orders(orders)
+    # Lines carry no instant; the month partition keeps the scan to the period.
+    lines = period.stored(items).select(
         "order_id", "product_id", "quantity", "line_total", "discount_amount")
     return lines.join(windowed.select("order_id", "occurred_at", "event_type"), "order_id")
 

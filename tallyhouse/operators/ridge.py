@@ -6,19 +6,15 @@ the function below only fits small matrices.
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.operators.features import LAGS, MIN_HISTORY
-
-# The fitting helpers travel inside the task, so executors need numpy but not this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from tallyhouse.session import ship
 
 # Penalty grid, inner validation blocks, targets that cannot go below zero.
 ALPHAS = (0.1, 1.0, 10.0, 100.0)
@@ -108,8 +104,8 @@ def forecast_paths(
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
             for row in batch.itertuples(index=False):
+                out = []
                 values, origins = np.asarray(row.values, dtype=float), set(row.origins)
                 floor = row.target in FLOORED
                 for cut in row.cuts:
@@ -118,10 +114,10 @@ def forecast_paths(
                     held_out = values[cut:cut + horizon]
                     out += [(row.series_id, row.target, int(cut), alpha, cut in origins,
                              path[i], held_out) for i, alpha in enumerate(alphas)]
-            yield pd.DataFrame(out, columns=[
-                "series_id", "target", "cut", "alpha", "is_origin", "forecast", "actual"])
+                yield pd.DataFrame(out, columns=[
+                    "series_id", "target", "cut", "alpha", "is_origin", "forecast", "actual"])
 
-    spark = histories.sparkSession
+    spark = ship(histories.sparkSession)
     count = tasks or max(spark.sparkContext.defaultParallelism,
                          int(spark.conf.get("spark.sql.shuffle.partitions")))
     return rows.repartition(count, "series_id", "target").mapInPandas(fit, PATHS_SCHEMA)

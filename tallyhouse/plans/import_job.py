@@ -66,7 +66,7 @@ class ImportOutcome:
 def import_exports(
     spark: SparkSession, warehouse: Warehouse, transactions: list[str], items: list[str],
     summary: list[str] | None = None, label: str | None = None, source: str = "till",
-    zone: str = DEFAULT_ZONE, multiline: bool = False,
+    zone: str = DEFAULT_ZONE, multiline: bool | None = None,
 ) -> ImportOutcome:
     """Import one extraction. Each role takes any number of files."""
     files = {"transactions": transactions, "items_detail": items}
@@ -79,8 +79,9 @@ def import_exports(
         return _run(spark, warehouse, files, manifest, batch_id, label, source, zone, multiline)
     except (ImportFailed, SourceFormatError, SourceSchemaError) as error:
         # No checksums are recorded for a failed batch, so it can be tried again.
+        supplied = manifest.select("role", "name", "checksum").orderBy("role", "name").collect()
         log = f"{type(error).__name__}: {error}\n\nfiles supplied:\n" + "\n".join(
-            f"  {role}: {', '.join(paths[:REPORTED])}" for role, paths in files.items())
+            f"  {r['role']}: {r['name']} sha256 {r['checksum']}" for r in supplied)
         warehouse.append_batch((batch_id, label, None, None, "failed", _now(), log))
         raise
 
@@ -179,7 +180,9 @@ def _run(spark, warehouse, files, manifest, batch_id, label, source, zone, multi
     issues = _all_issues(parsed, items, built, compared)
     warehouse.append(issues, "issues", batch_id)
     _append_files(warehouse, batch_id, manifest, raw, parsed, items, kept, kept_lines)
-    return _commit(warehouse, batch_id, label, zone, kept_lines, fresh, reconciled)
+    outcome = _commit(warehouse, batch_id, label, zone, kept_lines, fresh, reconciled)
+    warehouse.clear_staging(batch_id)
+    return outcome
 
 
 def _compared(warehouse: Warehouse, built: DataFrame, lines: DataFrame,

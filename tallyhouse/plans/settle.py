@@ -2,23 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 
+from tallyhouse.session import shared_folder
+
 
 def settled(frame: DataFrame) -> DataFrame:
     """The frame written once as Parquet under the session's ``spark.checkpoint.dir``.
 
-    Columnar, so later readers fetch only the columns they use. A temporary folder is set
-    only where the session names none, as in local tests.
+    Columnar, so later readers fetch only the columns they use. Without that setting a
+    cluster session is refused; a local one gets a temporary folder.
     """
     spark = frame.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
-    target = f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
+    target = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
     frame.write.parquet(target)
     return spark.read.schema(frame.schema).parquet(target)

@@ -27,6 +27,22 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_LOCAL_FOLDER: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; a temporary folder only where driver and tasks are one process."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if not _LOCAL_FOLDER:
+        _LOCAL_FOLDER.append(f"file://{tempfile.mkdtemp(prefix='tallyhouse-')}")
+    return _LOCAL_FOLDER[0]
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Gives Python workers this package, once for each Spark application."""
     context = spark.sparkContext

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import csv
 import hashlib
+import re
+import urllib.parse
 from collections.abc import Iterator
 
 import pandas as pd
@@ -50,7 +52,7 @@ FILE_NAMES = {
 # --- end of fixed values --------------------------------------------------------------
 
 ROW_KEYS = ("_file", "_split", "_seq")
-_HEADER_BYTES = 1 << 14
+_HEADER_BYTES = 1 << 20
 # Larger files are hashed as a stream instead of being held in memory as one value.
 WHOLE_FILE_BYTES = 256 << 20
 
@@ -94,7 +96,10 @@ def file_manifest(spark: SparkSession, paths: list[str]) -> DataFrame:
     for name, (newline, carriage) in feed.items():
         line = F.regexp_extract(units, f"^((?:[0-9A-F]{{4}})*?)(?:{carriage})?{newline}", 1)
         whole = F.when(line == "", units).otherwise(line)
-        header = F.when(encoding == name, F.decode(F.unhex(whole), name)).otherwise(header)
+        # A first line that the bytes looked at do not end has no known columns.
+        cut = (line == "") & (F.col("length") > _HEADER_BYTES)
+        found = F.when(~cut, F.decode(F.unhex(whole), name))
+        header = F.when(encoding == name, found).otherwise(header)
         ends = F.substring(units, F.length(line) + 1, F.lit(8)) == carriage + newline
         line_end = F.when((encoding == name) & ends, F.lit("\r\n")).otherwise(line_end)
     return files.select(
@@ -135,6 +140,9 @@ def file_kinds(manifest: DataFrame, role: str) -> list:
             found = ("a UTF-8 mark; the file was probably re-saved by a spreadsheet"
                      if kind["encoding"] else "no UTF-16 byte-order mark")
             raise SourceFormatError(f"{kind['name']}: expected a UTF-16 export, found {found}")
+        if kind["header"] is None:
+            raise SourceFormatError(
+                f"{kind['name']}: the header line does not end within {_HEADER_BYTES} bytes")
         if "\t" not in kind["header"]:
             raise SourceFormatError(f"{kind['name']}: no TAB in the header")
         missing = set(REQUIRED[role]) - set(_columns(kind["header"]))
@@ -176,12 +184,13 @@ def discover_batches(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_export(spark: SparkSession, paths: list[str], role: str,
-                manifest: DataFrame | None = None, multiline: bool = False) -> DataFrame:
+                manifest: DataFrame | None = None, multiline: bool | None = None) -> DataFrame:
     """The bound columns of a role's files as strings, with each row's place in its file.
 
-    ``multiline`` is for files with line breaks inside quotes; those are read one task per
-    file, everything else is split. A bound column a file lacks is empty. Pass a stored
-    ``manifest`` where there is one: computing it reads every byte.
+    Files with a line break inside quotes are found by a line with an odd number of quotes
+    and read one task per file, everything else is split; ``multiline`` says so for all files
+    without looking. A bound column a file lacks is empty. Pass a stored ``manifest`` where
+    there is one: computing it reads every byte.
     """
     manifest = file_manifest(spark, paths) if manifest is None else manifest
     kinds = file_kinds(manifest, role)
@@ -192,13 +201,35 @@ def read_export(spark: SparkSession, paths: list[str], role: str,
             same = (F.col("header") == kind["header"]) & (F.col("encoding") == kind["encoding"])
             same = same & (F.col("line_end") == kind["line_end"])
             wanted = [r["path"] for r in manifest.filter(same).select("path").collect()]
-        parts.append(_scan(spark, wanted, role, kind, multiline))
+        whole = wanted if multiline else []
+        if multiline is None:
+            broken = _with_broken_lines(spark, wanted, kind)
+            whole = [path for path in wanted if _tail(path) in broken]
+        split = [path for path in wanted if path not in whole]
+        parts += [_scan(spark, own, role, kind, together)
+                  for own, together in ((split, False), (whole, True)) if own]
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)
     return rows
 
 
+def _tail(path: str) -> str:
+    """A path without its scheme; the scan and the caller may spell that differently."""
+    return re.sub("^[a-z0-9]+:/*", "", path).lstrip("/")
+
+
+def _with_broken_lines(spark: SparkSession, paths: list[str], kind) -> set[str]:
+    """Files in which a line has an odd number of quotes."""
+    lines = spark.read.schema("line string").options(
+        header=False, sep="\u0001", quote="", encoding=kind["encoding"],
+        lineSep=kind["line_end"]).csv(paths)
+    quotes = F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
+    found = lines.filter(quotes % 2 == 1).select(
+        F.col("_metadata.file_path").alias("path")).distinct().collect()
+    return {_tail(urllib.parse.unquote(row["path"])) for row in found}
+
+
 def _scan(spark: SparkSession, paths: list[str], role: str, kind, multiline: bool) -> DataFrame:
     columns = _columns(kind["header"])
     schema = ", ".join(f"`{c.replace('`', '``')}` string" for c in columns)

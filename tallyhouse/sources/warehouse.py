@@ -97,6 +97,11 @@ class Warehouse:
         frame.write.mode("overwrite").parquet(target)
         return self.spark.read.parquet(target)
 
+    def clear_staging(self, batch_id: int) -> None:
+        """Deletes what a finished import staged."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path("_staging", str(batch_id)))
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
     def numbered(self, staged: DataFrame, column: str, base: int) -> DataFrame:
         """Dense ids above ``base`` for a staged table, from each row's place in its file.
 

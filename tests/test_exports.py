@@ -53,7 +53,28 @@ def test_quoted_cells_keep_tabs_and_quotes(spark, tmp_path):
     assert exports.read_export(spark, [path], "items_detail").first()["Item"] == 'Say "hi"\there'
 
 
-def test_line_breaks_in_quotes_need_multiline(spark, tmp_path):
+@pytest.mark.parametrize("encoding", ["utf-16-le", "utf-16-be"])
+@pytest.mark.parametrize("newline", ["\n", "\r\n"])
+def test_line_breaks_in_quotes_are_found(spark, tmp_path, encoding, newline):
+    broken = write_export(tmp_path / "i 1.csv", ITEM_COLUMNS, [
+        item(Modifiers_Applied='"oat\nextra hot"', Product_Sales="£9.99"), item()],
+        encoding, newline)
+    sound = write_export(tmp_path / "i2.csv", ITEM_COLUMNS, [item()] * 3, encoding, newline)
+    read = exports.read_export(spark, [broken, sound], "items_detail").collect()
+    assert len(read) == 5 and sum(r["Product Sales"] == "£9.99" for r in read) == 1
+    assert {r["Transaction ID"] for r in read} == {"TX-1"}
+
+
+def test_long_header_is_read_to_its_end_or_refused(spark, tmp_path, monkeypatch):
+    columns = ["x" * 9000, *TX_COLUMNS]
+    path = write_export(tmp_path / "t.csv", columns, [tx()] * 40)
+    assert exports.read_export(spark, [path], "transactions").first()["Dining Option"] == "Eat in"
+    monkeypatch.setattr(exports, "_HEADER_BYTES", 4096)
+    with pytest.raises(exports.SourceFormatError, match="does not end"):
+        exports.read_export(spark, [path], "transactions")
+
+
+def test_line_breaks_in_quotes_with_multiline(spark, tmp_path):
     path = write_export(tmp_path / "i.csv", ITEM_COLUMNS,
                         [item(Modifiers_Applied='"oat\nextra hot"'), item()])
     read = exports.read_export(spark, [path], "items_detail", multiline=True).collect()

@@ -172,3 +172,21 @@ def test_window_predicate_reaches_the_scan(spark, august, tmp_path):
     plan = ops.overview(stored, AUGUST)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(occurred_at" in plan and "LessThan(occurred_at" in plan
     assert "channel" not in plan.split("ReadSchema")[1]
+
+
+def test_month_partitions_serve_periods_of_another_zone(spark):
+    """Half past midnight in London on the first is still the month before in New York."""
+    from datetime import datetime, timezone
+
+
+
+    orders_ = spark.createDataFrame(
+        [(1, datetime(2026, 2, 1, 0, 30, tzinfo=timezone.utc), "payment", 1, 500, 500, 0, "2026-02")],
+        "order_id long, occurred_at timestamp, event_type string, net_units long,"
+        " net_amount long, gross_amount long, discount_amount long, local_month string")
+    items = spark.createDataFrame(
+        [(1, 7, 1, 500, 0, "2026-02")], "order_id long, product_id long, quantity long,"
+        " line_total long, discount_amount long, local_month string")
+    january = period(date(2026, 1, 1), date(2026, 1, 31), "America/New_York")
+    assert ops.overview(orders_, january).first()["net_sales_pence"] == 500
+    assert products.lines_in_period(orders_, items, january).count() == 1
