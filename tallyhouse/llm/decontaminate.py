@@ -39,11 +39,6 @@ def _seeds(frame: DataFrame, masks: list[str]) -> DataFrame:
     return each.select("*", both).select(*each.columns, "s.*").filter("seed is not null")
 
 
-def _matching(item: str, words: str, shift: str) -> Column:
-    """For each word of the item, 1 if the document has it at the aligned place, else 0."""
-    return F.expr(f"transform({item}, (x, i) -> if(get({words}, {shift} + i) <=> x, 1, 0))")
-
-
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     item_col: str = "item_id", item_text_col: str = "text",
@@ -76,9 +71,16 @@ def contaminated(
     read = docs.select(F.col(id_col).alias("doc"), word_hashes(F.col(text_col)).alias("words"))
     hits = _seeds(read.filter("doc is not null"), masks).join(seeds, "seed").filter(
         ~F.coalesce(F.col("before") == F.col("item_before"), F.lit(False)))
-    aligned = hits.withColumn("shift", F.col("at") - F.col("item_at")).select(
-        "doc", "item", "shift", F.size("item_words").alias("n"),
-        _matching("item_words", "words", "shift").alias("same"))
+    # A hit leaves the join with the few words beside it and not with the whole text, and each
+    # alignment is looked at once.
+    shift, n = F.col("at") - F.col("item_at"), F.size("item_words")
+    beside = F.slice("words", F.greatest(shift, F.lit(0)) + 1, n + F.least(shift, F.lit(0)))
+    aligned = hits.select("doc", "item", "item_words", shift.alias("shift"), beside.alias("beside")) \
+        .groupBy("doc", "item", "shift").agg(
+        F.first("item_words").alias("item_words"), F.first("beside").alias("beside")
+    ).select("doc", "item", "shift", F.size("item_words").alias("n"), F.expr(
+        "transform(item_words, (x, i) -> if(get(beside, i + least(shift, 0)) <=> x, 1, 0))"
+    ).alias("same"))
     length = f"least(n, {PASSAGE})"
     need = f"if(n < {PASSAGE}, n, {PASSAGE - SUBSTITUTIONS})"
     total = "aggregate(slice(same, s + 1, {}), 0, (a, x) -> a + x)"
