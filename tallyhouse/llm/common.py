@@ -3,16 +3,12 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.session import ship
-
-WORD = "[^\\x20\\x09-\\x0D]+"
-_LOCAL_FOLDER: list[str] = []
+from tallyhouse.session import shared_folder, ship
 
 
 def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
@@ -20,18 +16,6 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{folder}/{name}.parquet").select(*columns)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir`; a temporary folder only where driver and tasks are one process."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    if not _LOCAL_FOLDER:
-        _LOCAL_FOLDER.append(f"file://{tempfile.mkdtemp(prefix='tallyhouse-')}")
-    return _LOCAL_FOLDER[0]
-
-
 class Scratch:
     """Tables written between the steps of one run; what is lost is read again from there.
 

@@ -8,12 +8,17 @@ is padded to the boundary, and batches take as many texts as the token budget al
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tallyhouse.llm.common import WORD
+from tallyhouse.llm.common import Scratch
+from tallyhouse.llm.wordstream import count_words, pieces
 
 HISTOGRAM_ROWS = 1 << 16
 
@@ -60,9 +65,12 @@ def bucket_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) ->
     return bounds[::-1]
 
 
-def word_count(text):
-    """Words of a text; 0 for null."""
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for piece in pieces(batch, "text"):
+            yield pa.RecordBatch.from_arrays(
+                [piece.column("doc"), pa.array(count_words(piece.column("text")))],
+                names=["doc", "n_tokens"])
 
 
 def pack(
@@ -81,7 +89,10 @@ def pack(
     n_in_batch are null, n_padding is 0. Null ids and repeated rows are texts like others. Past 65,536
     distinct lengths, lengths are rounded up to a common step for choosing boundaries.
     """
-    sized = docs.select(F.col(id_col).alias("doc"), word_count(F.col(text_col)).alias("n_tokens"))
+    scratch = Scratch(docs.sparkSession, "packing")
+    read = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+    sized = scratch.put("sizes", read.mapInArrow(_counter, T.StructType(
+        [read.schema["doc"], T.StructField("n_tokens", T.LongType())])))
     longest = sized.agg(F.max("n_tokens")).first()[0] or 0
     step = max(1, -(-longest // HISTOGRAM_ROWS))
     rounded = (F.ceil(F.col("n_tokens") / step) * step).cast("long")

@@ -102,6 +102,21 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE_BYTES) -> Iter
         at = upto
 
 
+def count_words(texts: pa.Array) -> np.ndarray:
+    """Number of words of every text."""
+    data, offsets = text_buffers(texts)
+    begins = ~_SPACE[data]
+    begins[1:] &= ~begins[:-1] | _starts(offsets, len(data))[1:]
+    return np.diff(np.concatenate([[0], np.cumsum(begins)])[offsets])
+
+
+def _starts(offsets: np.ndarray, size: int) -> np.ndarray:
+    """Whether a text begins at each byte."""
+    edge = np.zeros(size, bool)
+    edge[offsets[:-1][offsets[:-1] < size]] = True
+    return edge
+
+
 def words_of(texts: pa.Array, fold: bool = False) -> Words:
     """Words of every text; `fold` lower-cases A-Z and nothing else."""
     data, offsets = text_buffers(texts)
