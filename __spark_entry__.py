@@ -203,8 +203,8 @@ def _registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         return baskets.basket_pairs(
             *_merged(_brand_sales(s, d), ALL), BRAND_MINIMUM, sort="lift")
 
-    def evidence(s, d):
-        return menu.menu_evidence(*_sales(s, d), LATER, PAIR_MINIMUM)
+    def evidence(s, d, window=ALL):
+        return menu.menu_evidence(*_sales(s, d), window, PAIR_MINIMUM)
 
     def attachments(s, d):
         o, i, p = _sales(s, d)
@@ -255,10 +255,10 @@ def _registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "strongest_attachments": lambda s, d: baskets.strongest_attachments(
             *_merged(_sales(s, d), ALL), PAIR_MINIMUM),
         # product evidence and result helpers
-        "menu_evidence": evidence,
+        "menu_evidence": lambda s, d: evidence(s, d, LATER),
         "menu_evidence_cheapest": lambda s, d: menu.sort_evidence(
-            evidence(s, d), "average_price", "asc").limit(50),
-        "evidence_totals": lambda s, d: menu.evidence_totals(*_sales(s, d), LATER),
+            evidence(s, d), "average_price", "asc"),
+        "evidence_totals": lambda s, d: menu.evidence_totals(*_sales(s, d), ALL),
         "leading_products": lambda s, d: menu.leading_products(evidence(s, d)),
         "undefined_flags": lambda s, d: results.undefined_flags(evidence(s, d)),
         "limited_counts": lambda s, d: results.limited(

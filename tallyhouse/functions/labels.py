@@ -61,18 +61,18 @@ def channel_reason(source: Column, origin: Column, options: Column) -> Column:
     named = F.concat(F.lit("'"), source, F.lit("'"))
     option = F.concat(F.lit("'"), options, F.lit("'"))
     return (
-        F.when(origin.endswith(PICKUP_SUFFIX), F.concat(F.lit("pickup source "), named))
-        .when(origin.isin(*DELIVERY_SOURCES), F.concat(F.lit("delivery platform "), named))
-        .when(origin.isin(*ONLINE_SOURCES), F.concat(F.lit("online source "), named))
+        F.when(origin.endswith(PICKUP_SUFFIX), F.concat(F.lit("collected, by its source "), named))
+        .when(origin.isin(*DELIVERY_SOURCES), F.concat(F.lit("carried by "), named))
+        .when(origin.isin(*ONLINE_SOURCES), F.concat(F.lit("ordered on "), named))
         .when(
             origin.isin(*COUNTER_SOURCES) & (options == ""),
-            F.concat(F.lit("counter source "), named, F.lit(" without a dining option")),
+            F.concat(F.lit("till "), named, F.lit(", which says nothing of where it is eaten")),
         )
         .when(
             origin.isin(*COUNTER_SOURCES),
-            F.concat(F.lit("counter source "), named, F.lit(" with dining option "), option),
+            F.concat(F.lit("till "), named, F.lit(" and its option "), option),
         )
-        .otherwise(F.concat(F.lit("unmapped source "), named))
+        .otherwise(F.concat(F.lit("unknown source "), named))
     )
 
 

@@ -62,7 +62,7 @@ def parse_transactions(raw: DataFrame) -> DataFrame:
     clock_read = F.concat_ws(" ", "Date", "Time")
     issue = (
         F.when(F.col("source_order_id") == "", _issue(
-            "missing_transaction_id", "transaction has no Transaction ID", "Transaction ID"))
+            "missing_transaction_id", "row carries no order id", "Transaction ID"))
         .when(F.col("event_type").isNull(), _issue(
             "unknown_event_type", _quoted("unrecognised Event Type", F.col("Event Type")),
             "Event Type"))
@@ -109,7 +109,7 @@ def parse_items(raw: DataFrame) -> DataFrame:
     quantity, total = F.col("quantity"), F.col("line_total")
     issue = (
         F.when(F.col("source_order_id") == "", _issue(
-            "missing_transaction_id", "item row has no Transaction ID", "Transaction ID"))
+            "missing_transaction_id", "line carries no order id", "Transaction ID"))
         .when(quantity.isNull(), _issue(
             "unparsable_quantity", _quoted("not a whole quantity:", F.col("Qty")), "Qty"))
         .when(total.isNull() | F.col("discount_amount").isNull(), _issue(
@@ -117,7 +117,7 @@ def parse_items(raw: DataFrame) -> DataFrame:
             F.concat(_quoted("cannot read", F.col("Product Sales")),
                      _quoted(" or", F.col("Discounts"))), "Product Sales/Discounts"))
         .when(quantity == 0, _issue(
-            "unparsable_quantity", "item row has zero quantity", "Qty"))
+            "unparsable_quantity", "line of nothing", "Qty"))
     )
     return typed.select(
         *ROW_KEYS, "source_order_id", "name", "variation", "category", "kind", "quantity",
@@ -165,7 +165,7 @@ def unresolved_payments(parsed: DataFrame) -> DataFrame:
     """Valued payments whose channel could not be derived; they stop an import."""
     valued, _ = _payments(parsed)
     return _noted(valued.filter(F.col("own_channel").isNull()), _issue(
-        "unresolved_channel", F.concat(F.lit("cannot derive channel: "), F.col("reason")),
+        "unresolved_channel", F.concat(F.lit("no channel follows from "), F.col("reason")),
         "Source/Dining Option"))
 
 
@@ -347,7 +347,7 @@ def summary_rows(summary: DataFrame) -> DataFrame:
 
     return summary.select(
         money.money_to_pence(F.col("Net Sales")).alias("net_sales"),
-        # Refund columns are negative and therefore added.
+        # A summary writes refunds below zero, so its columns are summed as they are.
         (money.money_to_pence(F.col("Product Sales")) + money.money_to_pence(F.col("Refunds")))
         .alias("line_totals"),
         (units("Units Sold") + units("Items Refunded")).alias("units"),

@@ -27,8 +27,8 @@ def run(spark, warehouse, export_dir):
 
 
 SAMPLE_TX = [
-    tx(Transaction_ID="T1", Payment_ID="P1", Net_Sales="£7.30"),
-    tx(Transaction_ID="T2", Payment_ID="P2", Net_Sales="£3.65", Dining_Option="Takeaway"),
+    tx(Transaction_ID="T1", Payment_ID="P1", Net_Sales="£8.40"),
+    tx(Transaction_ID="T2", Payment_ID="P2", Net_Sales="£4.20", Dining_Option="Takeaway"),
     tx(Transaction_ID="T3", Payment_ID="P3", Net_Sales="£9.00", Source="Uber Eats",
        Dining_Option=""),
     tx(Transaction_ID="T4", Payment_ID="P4", Net_Sales="£8.00",
@@ -36,14 +36,14 @@ SAMPLE_TX = [
     tx(Transaction_ID="T5", Payment_ID="P5", Net_Sales="£5.00", Source="Square Online",
        Dining_Option=""),
     tx(Transaction_ID="T6", Payment_ID="P6", Net_Sales="£20.00", Source="Deliveroo Pickup"),
-    tx(Transaction_ID="T7", Payment_ID="P7", Net_Sales="£2.65", Discounts="-£1.00"),
+    tx(Transaction_ID="T7", Payment_ID="P7", Net_Sales="£3.20", Discounts="-£1.00"),
     # A refund rung at the till inherits the delivery channel of its payment.
     tx(Transaction_ID="T8", Payment_ID="P3", Net_Sales="-£9.00", Event_Type="Refund",
        Dining_Option=""),
     tx(Transaction_ID="T9", Payment_ID="P9", Net_Sales="£0.00"),
 ]
 SAMPLE_ITEMS = [
-    item(Transaction_ID="T1", Qty="2.0", Product_Sales="£7.30"),
+    item(Transaction_ID="T1", Qty="2.0", Product_Sales="£8.40"),
     item(Transaction_ID="T2"),
     item(Transaction_ID="T3", Item="Brunch", Price_Point_Name="", Product_Sales="£9.00"),
     item(Transaction_ID="T4", Item="Cake", Product_Sales="£8.00", Category="None"),
@@ -56,7 +56,7 @@ SAMPLE_ITEMS = [
          Product_Sales="-£9.00"),
 ]
 SAMPLE_SUMMARY = [
-    summary(Units_Sold="4.0", Product_Sales="£14.60", Net_Sales="£13.60"),
+    summary(Units_Sold="4.0", Product_Sales="£16.80", Net_Sales="£15.80"),
     summary(Item_Name="Brunch", Units_Sold="1", Items_Refunded="-1", Product_Sales="£9.00",
             Refunds="-£9.00", Net_Sales="£0.00"),
     summary(Item_Name="Cake", Product_Sales="£8.00", Net_Sales="£8.00"),
@@ -70,7 +70,7 @@ def test_sample_reconciles_and_is_stored(run, warehouse):
     assert outcome.reconciled
     assert (outcome.orders_created, outcome.order_items_created) == (8, 8)
     assert (outcome.products_created, outcome.products_reused) == (5, 0)
-    assert outcome.net_sales_pence == 4660
+    assert outcome.net_sales_pence == 4880
     assert outcome.rows_skipped == 1
     assert outcome.issue_counts == {"zero_value_transaction": 1, "refund_channel_inherited": 1}
     assert (outcome.period_start, outcome.period_end) == (date(2026, 8, 15),) * 2
@@ -79,7 +79,7 @@ def test_sample_reconciles_and_is_stored(run, warehouse):
     assert {k: r["channel"] for k, r in orders.items()} == {
         "T1": "in_store", "T2": "in_store", "T3": "delivery", "T4": "mixed", "T5": "online",
         "T6": "collection", "T7": "in_store", "T8": "delivery"}
-    assert orders["T7"]["gross_amount"] == 365 and orders["T7"]["discount_amount"] == 100
+    assert orders["T7"]["gross_amount"] == 420 and orders["T7"]["discount_amount"] == 100
     assert orders["T1"]["occurred_at"] == datetime(2026, 8, 15, 11, 30)
     assert orders["T1"]["item_count"] == 2 and orders["T8"]["item_count"] == -1
     assert all(r["gross_amount"] - r["discount_amount"] == r["net_amount"]
@@ -95,7 +95,7 @@ def test_sample_reconciles_and_is_stored(run, warehouse):
     assert {r["order_id"] for r in lines} == {r["order_id"] for r in orders.values()}
     first = [r for r in lines if r["order_id"] == orders["T1"]["order_id"]][0]
     assert (first["unit_price"], first["product_id"]) == (
-        365, products["Caffe Latte"]["product_id"])
+        420, products["Ginger Tea"]["product_id"])
 
     files = {r["role"]: r for r in warehouse.import_files().collect()}
     assert [(files[r]["row_count"], files[r]["rows_imported"], files[r]["rows_skipped"])
@@ -119,11 +119,11 @@ def test_one_file_in_two_roles_is_rejected(spark, warehouse, tmp_path):
 
 
 def test_overlap_skips_identical_orders_and_reuses_products(run, warehouse):
-    run([tx(Transaction_ID="A", Net_Sales="£3.65")],
+    run([tx(Transaction_ID="A", Net_Sales="£4.20")],
         [item(Transaction_ID="A"), item(Transaction_ID="A", Item="Cake")], tag="1")
     # The same order comes again with its lines in another sequence, next to a new one.
     again = run(
-        [tx(Transaction_ID="A", Net_Sales="£3.65"), tx(Transaction_ID="B", Net_Sales="£3.65")],
+        [tx(Transaction_ID="A", Net_Sales="£4.20"), tx(Transaction_ID="B", Net_Sales="£4.20")],
         [item(Transaction_ID="A", Item="Cake"), item(Transaction_ID="A"),
          item(Transaction_ID="B")], tag="2")
     assert again.orders_created == 1 and again.issue_counts == {"duplicate_order": 1}
@@ -134,8 +134,8 @@ def test_overlap_skips_identical_orders_and_reuses_products(run, warehouse):
 
 
 def test_changed_order_conflicts(run, warehouse):
-    run([tx(Net_Sales="£3.65")], [item()], tag="1")
-    with pytest.raises(job.ConflictingOrder, match="net_amount incoming=400 stored=365"):
+    run([tx(Net_Sales="£4.20")], [item()], tag="1")
+    with pytest.raises(job.ConflictingOrder, match="net_amount incoming=400 stored=420"):
         run([tx(Net_Sales="£4.00"), tx(Transaction_ID="NEW")],
             [item(), item(Transaction_ID="NEW")], tag="2")
     assert [r["source_order_id"] for r in warehouse.orders().collect()] == ["TX-1"]
@@ -144,7 +144,7 @@ def test_changed_order_conflicts(run, warehouse):
 
 
 def test_failed_import_can_be_repeated_after_a_fix(run, warehouse):
-    rows, lines = [tx(Net_Sales="£3.65")], [item()]
+    rows, lines = [tx(Net_Sales="£4.20")], [item()]
     with pytest.raises(job.ReconciliationFailed, match="units ours=1 theirs=2"):
         run(rows, lines, [summary(Units_Sold="2")])
     assert warehouse.orders().isEmpty() and warehouse.import_files().isEmpty()
@@ -226,9 +226,9 @@ def test_coverage_is_in_local_days(run):
 
 
 def test_known_product_keeps_its_kind(run, warehouse):
-    run([tx()], [item(Category="Coffee")], tag="1")
+    run([tx()], [item(Category="Hot drinks")], tag="1")
     run([tx(Transaction_ID="T2")], [item(Transaction_ID="T2", Category="Tea")], tag="2")
-    assert [r["category"] for r in warehouse.products().collect()] == ["Coffee"]
+    assert [r["category"] for r in warehouse.products().collect()] == ["Hot drinks"]
 
 
 def test_many_files_of_a_role_are_one_extraction(spark, warehouse, tmp_path, export_dir):
@@ -250,7 +250,7 @@ def test_summary_of_our_own_lines_reconciles(run, warehouse, spark):
     ours = ingest.summarise_lines(lines)
     totals = ours.agg(F.sum("net_sales"), F.sum(F.col("items_sold") + F.col("items_refunded")),
                       F.sum(F.col("product_sales") + F.col("refunds"))).first()
-    assert tuple(totals) == (4660, 7, 4760)
+    assert tuple(totals) == (4880, 7, 4980)
 
 
 def test_wrong_file_fails_with_a_record(spark, warehouse, tmp_path, export_dir):
@@ -302,11 +302,11 @@ def test_refund_of_nothing_is_kept(spark):
 
 
 def test_differences_are_told_per_field(spark):
-    def order(order_id, net=365, count=1, payment="P"):
+    def order(order_id, net=420, count=1, payment="P"):
         return ("till", order_id, datetime(2026, 8, 15), "in_store", "payment", net, 0, net,
                 count, payment)
 
-    def line(order_id, name="Latte", total=365):
+    def line(order_id, name="Latte", total=420):
         return ("till", order_id, name, "Regular", 1, total, total, 0)
 
     columns = (*ingest.ORDER_KEY, *ingest.ORDER_FIELDS)
@@ -326,8 +326,8 @@ def test_differences_are_told_per_field(spark):
     got = {r["source_order_id"]: r["differences"] for r in ingest.compare_with_stored(
         new, new_lines, old, old_lines).collect()}
     assert got == {
-        "same": [], "net": ["gross_amount incoming=400 stored=365",
-                            "net_amount incoming=400 stored=365"],
+        "same": [], "net": ["gross_amount incoming=400 stored=420",
+                            "net_amount incoming=400 stored=420"],
         "lines": ["line_items differ"],
         "copies": ["item_count incoming=2 stored=1", "line_items differ"],
         "payment": ["source_payment_id incoming=NULL stored=P"]}

@@ -182,7 +182,7 @@ def test_month_partitions_serve_periods_of_another_zone(spark):
 
     orders_ = spark.createDataFrame(
         [(1, datetime(2026, 2, 1, 0, 30, tzinfo=timezone.utc), "payment", 1, 500, 500, 0, "2026-02")],
-        "order_id long, occurred_at timestamp, event_type string, net_units long,"
+        "order_id long, occurred_at timestamp, event_type string, item_count long,"
         " net_amount long, gross_amount long, discount_amount long, local_month string")
     items = spark.createDataFrame(
         [(1, 7, 1, 500, 0, "2026-02")], "order_id long, product_id long, quantity long,"

@@ -197,14 +197,15 @@ def test_resolving_names(spark, shop):
     assert catalogue.catalogue_size(shop.products).first()[0] == 3
 
 
-def test_only_the_first_candidates_are_kept(spark, shop):
+def test_candidates_are_cut_only_on_demand(spark, shop):
     for n in range(40):
         shop.product("Tea", f"{n:02d}")
     asked = spark.createDataFrame([(1, "tea", None)], "request_id int, name string,"
                                                       " variation string")
-    row = catalogue.resolve_products(asked, shop.products).first()
-    assert row["matches"] == 40
-    assert [c["variation"] for c in row["candidates"]] == [f"{n:02d}" for n in range(25)]
+    for limit, listed in ((None, 40), (25, 25)):
+        row = catalogue.resolve_products(asked, shop.products, limit).first()
+        assert row["matches"] == 40
+        assert [c["variation"] for c in row["candidates"]] == [f"{n:02d}" for n in range(listed)]
 
 
 # --- baskets --------------------------------------------------------------------------------
