@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tallyhouse.llm.common import Scratch
@@ -13,7 +13,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
     return (both.filter("b > a").join(least, "a")
-            .select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+            .select(F.col("b").alias("a"), F.col("m").alias("b")))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -32,12 +32,16 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """
     larger, smaller = F.greatest("a", "b"), F.least("a", "b")
     edges = links.filter("a <> b").select(larger.alias("a"), smaller.alias("b")).distinct()
-    edges, before, turn = scratch.put(f"{name}-0", edges), None, 0
+    before, turn = None, 0
     while True:
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        seen = Observation()
+        edges = scratch.put(f"{name}-{turn}", edges.observe(
+            seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")))
+        if turn:
+            scratch.drop(f"{name}-{turn - 1}")
+        now = seen.get
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
                 edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         before, turn = now, turn + 1
-        edges = scratch.put(f"{name}-{turn}", _small_star(_large_star(edges)))
-        scratch.drop(f"{name}-{turn - 1}")
+        edges = _small_star(_large_star(edges))

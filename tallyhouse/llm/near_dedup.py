@@ -15,7 +15,7 @@ Groups never become all their pairs:
   that are in different components even then. A missing link inside a component cannot change the result, so no component is lost
   to the shortcut.
 
-Candidates must agree in enough of `SKETCH_BITS` single bits of their signatures, and are then
+Candidates must agree in enough single bits of their signatures, one of each slot, and are then
 compared on their full sets. With 40 bands of 6 slots, a pair of similarity 0.8 shares no
 bucket with a chance of about 5 in a million; the bits turn it away with one of 1 in a million.
 """
@@ -38,9 +38,9 @@ _TURN = 0x9E3779B97F4A7C15
 _LOW = np.uint64(0xFFFFFFFF)
 _HALF = np.uint64(32)
 SPARSE_RANKS = 6
-SKETCH_BITS = 128
-PIVOTS = 4
-SIGNATURE = "doc long, n int, k1 long, k2 long, s1 long, s2 long, bands array<long>"
+SKETCH_BITS = 256
+SKETCH = ("s1", "s2", "s3", "s4")
+SIGNATURE = f"doc long, n int, k1 long, k2 long, {' long, '.join(SKETCH)} long, bands array<long>"
 
 
 def superminhash(values: np.ndarray, text: np.ndarray, texts: int, slots: int) -> np.ndarray:
@@ -93,9 +93,10 @@ def _signer(size: int, bands: int, rows: int):
                 count = np.diff(bounds)
                 table = superminhash(values, text, n_texts, bands * rows).reshape(
                     n_texts, bands, rows)
-                spots = table.reshape(n_texts, -1)[:, np.arange(SKETCH_BITS) % (bands * rows)]
-                sketch = np.packbits((mix(spots) & np.uint64(1)).astype(bool), axis=1)
-                sketch = np.ascontiguousarray(sketch).view(np.int64)
+                bits = np.zeros((n_texts, SKETCH_BITS), bool)
+                spots = table.reshape(n_texts, -1)[:, :SKETCH_BITS]
+                bits[:, : spots.shape[1]] = mix(spots) & np.uint64(1)
+                sketch = np.packbits(bits, axis=1).view(np.int64)
                 names = np.zeros((n_texts, bands), np.uint64)
                 for r in range(rows):
                     names = mix(names + table[:, :, r])
@@ -110,8 +111,8 @@ def _signer(size: int, bands: int, rows: int):
                 yield pa.RecordBatch.from_arrays(
                     [piece.column("doc"), pa.array(count, pa.int32()),
                      pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)),
-                     pa.array(sketch[:, 0]), pa.array(sketch[:, 1]), lists],
-                    names=["doc", "n", "k1", "k2", "s1", "s2", "bands"])
+                     *(pa.array(np.ascontiguousarray(c)) for c in sketch.T), lists],
+                    names=["doc", "n", "k1", "k2", *SKETCH, "bands"])
     return sign
 
 
@@ -184,59 +185,48 @@ def near_dedup(
     classes = scratch.put(
         "classes", sets.groupBy("k1", "k2", "n").agg(F.min("doc").alias("class_id")))
 
-    distinct = sets.select("doc", "n", "s1", "s2", "bands").join(
-        classes.select(F.col("class_id").alias("doc")).distinct(), "doc", "left_semi")
-    buckets = distinct.select("doc", "n", "s1", "s2", F.posexplode("bands").alias("band", "name"))
+    distinct = scratch.put("distinct", sets.select("doc", "n", *SKETCH, "bands").join(
+        classes.select(F.col("class_id").alias("doc")).distinct(), "doc", "left_semi"))
+    buckets = distinct.select("doc", F.posexplode("bands").alias("band", "name"))
     hubs = buckets.groupBy("band", "name").agg(
-        F.min(F.struct("doc", "n", "s1", "s2")).alias("hub"), F.max("doc").alias("last")
-    ).filter("hub.doc < last").drop("last")
+        F.min("doc").alias("hub"), F.max("doc").alias("last")).filter("hub < last").drop("last")
     shared = scratch.put("buckets", buckets.join(hubs, ["band", "name"]))
+    sketches = distinct.select("doc", "n", *SKETCH).dropDuplicates(["doc"])
 
     # Bits of unequal slots differ by a coin's toss; five deviations are allowed on top.
-    apart = SKETCH_BITS * (1 - percent / 100) / 2
-    most = apart + 5 * (SKETCH_BITS * (1 - percent / 100) / 2 * (1 + percent / 100) / 2) ** 0.5
+    odds = (1 - percent / 100) / 2
+    drawn = min(SKETCH_BITS, bands * rows)
+    most = int(drawn * odds + 5 * (drawn * odds * (1 - odds)) ** 0.5)
 
     def near(x: str, y: str):
         """Sets whose sizes or sketches differ more can't be similar enough."""
         return F.expr(
-            f"100 * least({x}n, {y}n) >= {percent} * greatest({x}n, {y}n) and "
-            f"bit_count({x}s1 ^ {y}s1) + bit_count({x}s2 ^ {y}s2) <= {int(most)}")
+            f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n) and "
+            + " + ".join(f"bit_count({x}.{s} ^ {y}.{s})" for s in SKETCH) + f" <= {most}")
 
-    star = shared.filter("doc <> hub.doc").filter(near("", "hub.")).select(
-        F.col("doc").alias("a"), F.col("hub.doc").alias("b")).distinct()
+    star = shared.filter("doc <> hub").select("doc", "hub").distinct()
+    star = star.join(sketches.alias("x"), "doc").join(
+        sketches.withColumnRenamed("doc", "hub").alias("y"), "hub").filter(near("x", "y")).select(
+        F.col("doc").alias("a"), F.col("hub").alias("b"))
     found = scratch.put("links-0", _verified(star, texts, words, percent))
 
-    def torn(frame: DataFrame, links: DataFrame, name: str) -> DataFrame:
-        """Rows of the buckets that hold several components of these links."""
-        reached = components(links, scratch, f"{name}-components").select(
-            F.col("node").alias("doc"), "component")
-        placed = frame.join(reached, "doc", "left").withColumn(
-            "component", F.coalesce("component", "doc"))
-        several = placed.groupBy("band", "name").agg(
-            F.min("component").alias("low"), F.max("component").alias("high")
-        ).filter("low < high").select("band", "name")
-        return scratch.put(f"{name}-torn", placed.join(several, ["band", "name"]))
-
-    open_ = torn(shared.drop("hub"), found, "first")
-    ids = open_.select("doc").distinct()
-    texts = scratch.put("open-texts", texts.join(ids, "doc", "left_semi"))
-    pivots = open_.groupBy("band", "name").agg(F.array_distinct(F.array(*[
-        F.min(F.struct(F.xxhash64("doc", F.lit(i)).alias("draw"), "doc", "n", "s1", "s2",
-                       "component")) for i in range(PIVOTS)])).alias("pivots")
-    ).select("band", "name", F.explode("pivots").alias("p"))
-    drawn = open_.join(pivots, ["band", "name"]).filter(
-        "component <> p.component").filter(near("", "p.")).select(
-        F.greatest("doc", "p.doc").alias("a"), F.least("doc", "p.doc").alias("b")).distinct()
-    more = scratch.put("links-1", _verified(drawn, texts, words, percent))
-
-    open_ = torn(open_.drop("component"), found.union(more), "second")
-    largest = open_.groupBy("band", "name", "component").agg(F.count("*").alias("size")).groupBy(
+    reached = components(found, scratch, "first").select(F.col("node").alias("doc"), "component")
+    placed = shared.join(reached, "doc", "left").withColumn(
+        "component", F.coalesce("component", "doc"))
+    several = placed.groupBy("band", "name").agg(
+        F.min("component").alias("low"), F.max("component").alias("high")).filter(
+        "low < high").select("band", "name")
+    torn = scratch.put("torn", placed.drop("hub").join(several, ["band", "name"]).join(
+        sketches, "doc"))
+    largest = torn.groupBy("band", "name", "component").agg(F.count("*").alias("size")).groupBy(
         "band", "name").agg(F.max(F.struct("size", "component")).alias("most"))
-    minor = open_.join(largest, ["band", "name"]).filter("component <> most.component")
+    minor = torn.join(largest, ["band", "name"]).filter("component <> most.component").drop("most")
+
     # Rows that have no partner left go first; the others get their sets, and the join tells
-    # links from mere candidates itself, so that only links come out of it.
-    x, y = minor.alias("x"), open_.alias("y")
-    likely = (F.col("x.component") != F.col("y.component")) & near("x.", "y.")
+    # links from mere candidates itself, in the first bucket that two classes share, so that
+    # only links come out of it.
+    x, y = minor.alias("x"), torn.alias("y")
+    likely = (F.col("x.component") != F.col("y.component")) & near("x", "y")
     place = (F.col("x.band") == F.col("y.band")) & (F.col("x.name") == F.col("y.name"))
     left = scratch.put("left", x.join(y, place & likely, "left_semi"))
     right = scratch.put("right", y.join(left.alias("x"), place & likely, "left_semi"))
@@ -245,12 +235,12 @@ def near_dedup(
         _set_lister(words), "doc long, members array<long>").join(
         distinct.select("doc", "bands").dropDuplicates(["doc"]), "doc"))
     x, y = left.join(full, "doc").alias("x"), right.join(full, "doc").alias("y")
+    first = F.expr("array_position(zip_with(x.bands, y.bands, (p, q) -> p = q), true) = x.band + 1")
     alike = F.expr(f"size(array_intersect(x.members, y.members)) * {100 + percent}L >= "
                    f"{percent}L * (x.n + y.n)")
-    first = F.expr("array_position(zip_with(x.bands, y.bands, (p, q) -> p = q), true) = x.band + 1")
-    last = scratch.put("links-2", x.join(y, place & likely & first & alike).select(
+    last = scratch.put("links-1", x.join(y, place & likely & first & alike).select(
         F.greatest("x.doc", "y.doc").alias("a"), F.least("x.doc", "y.doc").alias("b")).distinct())
-    links = found.union(more).union(last).distinct()
+    links = found.union(last)
     final = components(links, scratch, "last")
 
     degree = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy(
@@ -265,7 +255,9 @@ def near_dedup(
     one = known.filter("doc is not null").groupBy("doc").agg(
         F.min("n_shingles").alias("n_shingles"), F.min("class_id").alias("class_id"),
         F.min("component_id").alias("component_id"), F.max("n_links").alias("n_links"))
-    nameless = known.filter("doc is null").select(one.columns)
+    nameless = signed.filter("doc is null").selectExpr(
+        "doc", "cast(n as long) as n_shingles", "doc as class_id", "doc as component_id",
+        "0L as n_links")
     return one.union(nameless).select(
         F.col("doc").alias(id_col), "n_shingles", "component_id",
         F.coalesce(F.col("doc") == F.col("component_id"), F.lit(True)).alias("kept"),
