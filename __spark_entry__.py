@@ -286,6 +286,8 @@ def _registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "design_matrix": lambda s, d: features.design_matrix(_nations(s, d), True, True),
         "forecast_days": lambda s, d: series.forecast_days(_nations(s, d), 14),
         "folds": lambda s, d: backtest.folds(_nations(s, d)),
+        "short_series": lambda s, d: backtest.short_series(series.daily_series(
+            so(s, d), series="customer_id")),
         "baseline_forecasts": lambda s, d: _steps(backtest.baseline_folds(_nations(s, d))),
         "baseline_backtest": lambda s, d: _rounded(
             backtest.evaluate(backtest.baseline_folds(_nations(s, d)))),

@@ -27,11 +27,13 @@ def whole_prediction(value, target):
 
 
 def forecast(series: DataFrame, targets: tuple[str, ...] = ("net_sales_pence",),
-             horizon: int = MAX_HORIZON, with_accuracy: bool = True) -> DataFrame:
+             horizon: int = MAX_HORIZON, with_accuracy: bool = True,
+             strict: bool = False) -> DataFrame:
     """One row per series, target and future day.
 
-    Every series must be long enough for one backtest fold. Days already carry the last
-    training day, so rows can be told from observations by themselves.
+    Series too short for one backtest fold have no row; ``backtest.short_series`` lists them,
+    and ``strict`` raises for them. Days already carry the last training day, so rows can be
+    told from observations by themselves.
     """
     if not 1 <= horizon <= MAX_HORIZON:
         raise ValueError(f"horizon must be between 1 and {MAX_HORIZON}, got {horizon}")
@@ -39,14 +41,12 @@ def forecast(series: DataFrame, targets: tuple[str, ...] = ("net_sales_pence",),
     if unknown:
         raise ValueError(f"unknown targets {sorted(unknown)}")
     series = settled(series)
-    required = backtest.FIRST_ORIGIN + backtest.HORIZON
-    short = (
-        series.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") < required).take(5)
-    )
-    if short:
+    short = backtest.short_series(series)
+    first = short.take(5) if strict else []
+    if first:
         raise InsufficientHistory("; ".join(
-            f"{r.series_id}: {r.n} day(s), at least {required} required" for r in short))
+            f"{r.series_id}: {r.days} day(s), at least {r.required_days} required" for r in first))
+    series = series.join(short, "series_id", "left_anti")
 
     packed = histories(series, targets).withColumn("origins", F.array(F.size("values")))
     chosen = selected_paths(forecast_paths(packed, horizon), horizon)

@@ -292,13 +292,24 @@ def test_forecast_service(spark):
     assert totals["b"] == sum(r["predicted_value"] for r in one)
 
     with pytest.raises(forecast.InsufficientHistory, match="133 day"):
-        forecast.forecast(daily(spark, noisy(133)))
+        forecast.forecast(daily(spark, noisy(133)), strict=True)
     with pytest.raises(ValueError):
         forecast.forecast(both, horizon=15)
     with pytest.raises(ValueError):
         forecast.forecast(both, ("profit",))
 
 
+def test_short_series_stop_no_other(spark):
+    mixed = daily(spark, noisy(150)).withColumn("series_id", F.lit("long")).unionByName(
+        daily(spark, noisy(60)).withColumn("series_id", F.lit("short")))
+    assert rows(backtest.short_series(mixed), "series_id", "days", "required_days") == [
+        ("short", 60, 134)]
+    got = forecast.forecast(mixed, with_accuracy=False)
+    assert {r["series_id"] for r in got.collect()} == {"long"}
+    scored = backtest.run_backtest(mixed, targets=("net_units",))
+    assert {r["series_id"] for r in scored.collect()} == {"long"}
+
+
 def test_predictions_round_half_to_even(spark):
     frame = spark.createDataFrame([(2.5, "net_units"), (3.5, "net_units"), (-0.4, "net_units"),
                                    (-2.5, "net_sales_pence")], "v double, t string")
@@ -315,7 +326,7 @@ def test_backtest_report(spark):
     per_fold = backtest.fold_scores(backtest.baseline_folds(daily(spark, noisy(150))))
     assert per_fold.count() == 2 * 3 * 3
     with pytest.raises(ops.SeriesIntegrityError, match="134 required"):
-        backtest.run_backtest(daily(spark, range(100)))
+        backtest.run_backtest(daily(spark, range(100)), strict=True)
     with pytest.raises(ops.SeriesIntegrityError, match="same_weekday_mean_4 needs 28"):
         backtest.baseline_folds(daily(spark, range(200)), first=20)
 
