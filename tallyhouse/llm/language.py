@@ -27,6 +27,7 @@ SIZES = (3, 4)
 _GRAM_BITS, _GRAM_MASK = np.uint64(36), np.uint64((1 << 36) - 1)
 PROBES = 3
 CELLS = 1 << 20
+PIECE_BYTES = 1 << 18
 UNKNOWN = "und"
 # Bytes of letters keep their value, others become a space; bytes above ASCII belong to letters.
 _FOLD = np.full(256, 0x20, np.uint8)
@@ -144,7 +145,7 @@ def language_hits(filters: Filters, texts: pa.Array) -> tuple[np.ndarray, np.nda
 def _predictor(filters: Filters):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", PIECE_BYTES):
                 hits, n = language_hits(filters, piece.column("text"))
                 best = hits.argmax(axis=1)
                 most = hits[np.arange(len(best)), best]
