@@ -20,8 +20,6 @@ from pyspark.sql import types as T
 from tallyhouse.llm.common import Scratch
 from tallyhouse.llm.wordstream import count_words, pieces
 
-HISTOGRAM_ROWS = 1 << 16
-
 
 def bucket_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
     """Upper bounds of at most `buckets` buckets with the least padding in all.
@@ -86,17 +84,15 @@ def pack(
     batch unfilled; `batch` is `bucket-shard-number`.
 
     Empty and null texts have no tokens and need no place: bucket, padded_to, batch,
-    n_in_batch are null, n_padding is 0. Null ids and repeated rows are texts like others. Past 65,536
-    distinct lengths, lengths are rounded up to a common step for choosing boundaries.
+    n_in_batch are null, n_padding is 0. Null ids and repeated rows are texts like others.
+    Boundaries are chosen over the exact lengths. Distinct ones add up to no more than all words,
+    so there are at most about the root of twice the words: 100,000 in five thousand million.
     """
     scratch = Scratch(docs.sparkSession, "packing")
     read = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     sized = scratch.put("sizes", read.mapInArrow(_counter, T.StructType(
         [read.schema["doc"], T.StructField("n_tokens", T.LongType())])))
-    longest = sized.agg(F.max("n_tokens")).first()[0] or 0
-    step = max(1, -(-longest // HISTOGRAM_ROWS))
-    rounded = (F.ceil(F.col("n_tokens") / step) * step).cast("long")
-    histogram = sized.filter("n_tokens > 0").groupBy(rounded.alias("length")).count() \
+    histogram = sized.filter("n_tokens > 0").groupBy(F.col("n_tokens").alias("length")).count() \
         .toPandas().sort_values("length")
     lengths, counts = histogram["length"].to_numpy(), histogram["count"].to_numpy()
     bounds = bucket_boundaries(lengths, counts, buckets)

@@ -48,3 +48,10 @@ def test_empty(spark):
     assert pack(frame(spark, [])).count() == 0
     assert [tuple(r)[1:] for r in pack(frame(spark, [(1, None)])).collect()] == [
         (0, None, None, None, None, 0)]
+
+
+def test_one_long_text_leaves_other_boundaries_exact(spark):
+    rows = [(i, "w " * (2 * (i % 10) + 3)) for i in range(100)] + [(100, "w " * 200_001)]
+    got = pack(frame(spark, rows), buckets=16).collect()
+    assert len(got) == len(rows) and sum(r["n_padding"] for r in got) == 0
+    assert {r["padded_to"] for r in got} == {*range(3, 22, 2), 200_001}
