@@ -296,8 +296,8 @@ def _registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             backtest.run_backtest(_nations(s, d))),
         "forecast": lambda s, d: forecast.forecast(_nations(s, d), series.TARGETS),
         "forecast_totals": lambda s, d: scoring.forecast_total(
-            forecast.forecast(_nations(s, d), with_accuracy=False)),
-        "boosted_forecast": lambda s, d: boosting.boosted_forecast(_nations(s, d), trees=50),
+            forecast.forecast(_nations(s, d), series.TARGETS, with_accuracy=False)),
+        "boosted_forecast": lambda s, d: boosting.boosted_forecast(_nations(s, d), series.TARGETS),
     }
 
 

@@ -7,7 +7,9 @@ pools the series, and Spark's trees have no leaf penalty, so its numbers are its
 from __future__ import annotations
 
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
@@ -43,35 +45,44 @@ def _next_day_features(values: Column, day: Column) -> list[Column]:
 def boosted_forecast(series: DataFrame, targets: Sequence[str] = ("net_sales_pence",),
                      horizon: int = 14, trees: int = TREES) -> DataFrame:
     """``series_id, target, date, predicted_value`` for the days after each series."""
-    series = settled(series)
+    series, targets = settled(series), tuple(targets)
     names = feature_names(include_holiday=True)
     assembler = VectorAssembler(inputCols=names, outputCol="features")
-    rows = assembler.transform(design_matrix(series, include_holiday=True))
+    # Built once for all targets; the fits read their own rows of it.
+    rows = settled(assembler.transform(
+        design_matrix(series, include_holiday=True).filter(F.col("target").isin(*targets))
+    ).select("target", "features", "value"))
     # Only the last 28 values are ever looked back on.
-    ahead = histories(series, tuple(targets)).select(
+    state = histories(series, targets).select(
         "series_id", "target", F.date_add("first_day", F.size("values") - 1).alias("last"),
         F.slice("values", -MIN_HISTORY, MIN_HISTORY).alias("values"))
 
-    forecasts = None
-    for target in targets:
-        model = GBTRegressor(
+    def fitted(target: str):
+        return GBTRegressor(
             featuresCol="features", labelCol="value", predictionCol="predicted",
             maxDepth=MAX_DEPTH, maxIter=trees, stepSize=LEARNING_RATE,
             minInstancesPerNode=MIN_LEAF, seed=SEED,
-        ).fit(rows.filter(F.col("target") == target).select("features", "value"))
-        state = ahead.filter(F.col("target") == target)
-        for step in range(1, horizon + 1):
-            day = F.date_add("last", step)
-            scored = model.transform(assembler.transform(
-                state.select("*", *_next_day_features(F.col("values"), day))))
+        ).fit(rows.filter(F.col("target") == target))
+
+    # A fit is a long chain of small jobs, so the targets' chains run beside each other.
+    run = inheritable_thread_target(series.sparkSession)
+    with ThreadPool(max(1, len(targets))) as pool:
+        models = dict(zip(targets, pool.map(run(fitted), targets)))
+    for step in range(1, horizon + 1):
+        ready = assembler.transform(state.select(
+            "*", *_next_day_features(F.col("values"), F.date_add("last", step))))
+        scored = None
+        for target, model in models.items():
+            own = model.transform(ready.filter(F.col("target") == target))
             value = F.greatest("predicted", F.lit(0.0)) if target in FLOORED else F.col("predicted")
-            # Cutting each step keeps the recursion from nesting into one plan.
-            state = settled(scored.select(
-                "series_id", "target", "last", F.array_append("values", value).alias("values")))
-        forecasts = state if forecasts is None else forecasts.unionByName(state)
+            own = own.select(
+                "series_id", "target", "last", F.array_append("values", value).alias("values"))
+            scored = own if scored is None else scored.unionByName(own)
+        # Cutting each step keeps the recursion from nesting into one plan.
+        state = settled(scored)
 
     steps = F.slice("values", MIN_HISTORY + 1, horizon)
-    return forecasts.select(
+    return state.select(
         "series_id", "target", "last", F.posexplode(steps).alias("at", "value")
     ).select("series_id", "target", F.date_add("last", F.col("at") + 1).alias("date"),
              whole_prediction(F.col("value"), F.col("target")).alias("predicted_value"))

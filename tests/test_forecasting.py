@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as registry
 from tallyhouse.operators import baselines, features, ridge, scoring
 from tallyhouse.operators import series as ops
 from tallyhouse.plans import backtest, boosting, forecast
@@ -335,3 +336,20 @@ def test_boosted_challenger_follows_the_week(spark):
     got = boosting.boosted_forecast(daily(spark, WEEKLY * 12), horizon=7, trees=30)
     values = [r["predicted_value"] for r in got.orderBy("date").collect()]
     assert len(values) == 7 and values[5] > values[0]
+
+
+def test_registered_forecasts_are_the_whole_job(spark, monkeypatch):
+    monkeypatch.setattr(registry, "_nations", lambda s, d: daily(spark, noisy(140)))
+    totals = registry.queries()["forecast_totals"](spark, "")
+    assert {r["target"] for r in totals.collect()} == set(ops.TARGETS)
+
+    asked, regressor = [], boosting.GBTRegressor
+
+    def small(**given):
+        asked.append(given["maxIter"])
+        return regressor(**given | {"maxIter": 2})
+
+    monkeypatch.setattr(boosting, "GBTRegressor", small)
+    got = registry.queries()["boosted_forecast"](spark, "").groupBy("target").count()
+    assert dict(rows(got, "target", "count")) == {t: 14 for t in ops.TARGETS}
+    assert asked == [boosting.TREES] * 3 == [200] * 3
