@@ -11,11 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyhouse.llm.common import Scratch
+
 MASKS = ("11101011", "110100111")
 PASSAGE = 13
 SUBSTITUTIONS = 2
 MIN_ITEM = 5
-BROADCAST_SEEDS = 500_000
+BROADCAST_BYTES = 32 << 20
+ROW_BYTES = 64
 
 
 def word_hashes(text: Column) -> Column:
@@ -30,13 +33,20 @@ def _seed(words: Column, at: Column, mask: str) -> Column:
 
 
 def _seeds(frame: DataFrame, masks: list[str]) -> DataFrame:
-    """A row per word and mask: the seed there and the one before, along with all columns."""
+    """A row per word and mask: `at`, the seed there and the one before, beside the id alone."""
     each = frame.select("*", F.explode(F.sequence(F.lit(0), F.size("words") - 1)).alias("at"))
     at, words = F.col("at"), F.col("words")
     both = F.explode(F.array(*[
         F.struct(_seed(words, at, m).alias("seed"), _seed(words, at - 1, m).alias("before"))
         for m in masks])).alias("s")
-    return each.select("*", both).select(*each.columns, "s.*").filter("seed is not null")
+    return each.select(frame.columns[0], "at", both).select(
+        frame.columns[0], "at", "s.*").filter("seed is not null")
+
+
+def _broadcast(frame: DataFrame, size: Column) -> DataFrame:
+    """The frame, marked for broadcasting if the `size` of all its rows is small enough."""
+    total = frame.agg(F.sum(size)).first()[0] or 0
+    return F.broadcast(frame) if total <= BROADCAST_BYTES else frame
 
 
 def contaminated(
@@ -53,8 +63,9 @@ def contaminated(
     item's first word falls (negative if the document cuts the item off).
 
     Null and empty texts and null ids on either side give no row; rows that repeat an id count
-    as one. Columns not named are not read. Seeds of the benchmark are broadcast up to
-    `BROADCAST_SEEDS` of them; beyond, both sides are shuffled by seed.
+    as one. Columns not named are not read. Seeds of the benchmark, its words and the alignments
+    found are broadcast up to `BROADCAST_BYTES` of each; beyond, both sides are shuffled. No row
+    of a seed holds words.
     """
     items = benchmark.select(
         F.col(item_col).alias("item"), word_hashes(F.col(item_text_col)).alias("words")
@@ -63,21 +74,26 @@ def contaminated(
     short = sorted(r[0] for r in items.filter(F.size("words") < longest).select(
         F.size("words")).distinct().collect())
     masks = [*MASKS, *("1" * n for n in short)]
-    seeds = _seeds(items, masks).select(
-        "item", F.col("words").alias("item_words"), F.col("at").alias("item_at"), "seed",
-        F.col("before").alias("item_before"))
-    if seeds.count() <= BROADCAST_SEEDS:
-        seeds = F.broadcast(seeds)
-    read = docs.select(F.col(id_col).alias("doc"), word_hashes(F.col(text_col)).alias("words"))
-    hits = _seeds(read.filter("doc is not null"), masks).join(seeds, "seed").filter(
+    name = F.length(F.col("item").cast("string")) + ROW_BYTES
+    seeds = _broadcast(_seeds(items, masks).select(
+        "item", F.col("at").alias("item_at"), "seed", F.col("before").alias("item_before")), name)
+    read = docs.select(F.col(id_col).alias("doc"), word_hashes(F.col(text_col)).alias("words")) \
+        .filter("doc is not null")
+    hits = _seeds(read, masks).join(seeds, "seed").filter(
         ~F.coalesce(F.col("before") == F.col("item_before"), F.lit(False)))
-    # A hit leaves the join with the few words beside it and not with the whole text, and each
-    # alignment is looked at once.
-    shift, n = F.col("at") - F.col("item_at"), F.size("item_words")
-    beside = F.slice("words", F.greatest(shift, F.lit(0)) + 1, n + F.least(shift, F.lit(0)))
-    aligned = hits.select("doc", "item", "item_words", shift.alias("shift"), beside.alias("beside")) \
-        .groupBy("doc", "item", "shift").agg(
-        F.first("item_words").alias("item_words"), F.first("beside").alias("beside")
+    # Each alignment is looked at once; only then do the words of both sides come in.
+    found = Scratch(docs.sparkSession, "decontaminate").put("alignments", hits.select(
+        "doc", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct())
+    ids = found.select("doc").distinct()
+    texts = read.join(_broadcast(ids, F.length(F.col("doc").cast("string")) + ROW_BYTES),
+                      "doc", "left_semi")
+    item_words = _broadcast(items.select("item", F.col("words").alias("item_words")).distinct(),
+                            name + 8 * F.size("item_words"))
+    shift, n = F.col("shift"), F.size("item_words")
+    beside = F.slice("words", F.greatest(shift, F.lit(0)) + 1,
+                     F.greatest(n + F.least(shift, F.lit(0)), F.lit(0)))
+    aligned = found.join(item_words, "item").join(texts, "doc").select(
+        "doc", "item", "shift", "item_words", beside.alias("beside")
     ).select("doc", "item", "shift", F.size("item_words").alias("n"), F.expr(
         "transform(item_words, (x, i) -> if(get(beside, i + least(shift, 0)) <=> x, 1, 0))"
     ).alias("same"))

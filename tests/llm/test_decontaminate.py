@@ -4,6 +4,7 @@ import itertools
 
 from tests.llm.helpers import frame
 
+from tallyhouse.llm import decontaminate
 from tallyhouse.llm.decontaminate import contaminated
 
 ITEM = [f"q{i}" for i in range(24)]
@@ -37,3 +38,17 @@ def test_short_items_and_best_alignment(spark):
 def test_empty_tables(spark):
     assert contaminated(frame(spark, []), items(spark, "a b c d e f")).count() == 0
     assert contaminated(frame(spark, [(1, "a b c d e f")]), items(spark).filter("false")).count() == 0
+
+
+def test_seed_rows_hold_no_words_and_every_join_may_shuffle(spark, monkeypatch):
+    assert decontaminate._seeds(spark.sql("select 1 as doc, array(1L, 2L, 3L, 4L, 5L) as words"),
+                                ["111"]).columns == ["doc", "at", "seed", "before"]
+    long = [f"v{i}" for i in range(400)]
+    rows = [(1, " ".join(["x"] * 30 + long[50:300])), (2, " ".join(long[:10])),
+            (3, " ".join(ITEM)), (4, "")]
+    got = []
+    for most in (decontaminate.BROADCAST_BYTES, -1):
+        monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", most)
+        got.append(sorted(tuple(r) for r in contaminated(
+            frame(spark, rows), items(spark, " ".join(long), " ".join(ITEM))).collect()))
+    assert got == [[(1, 0, -20, 250, 400), (3, 1, 0, 24, 24)]] * 2
