@@ -117,3 +117,90 @@ SELECT page_id, n AS payload_bytes, digest AS payload_digest,
   CASE WHEN n >= 100 AND first_id < page_id THEN first_id END AS refers_to
 FROM p JOIN f USING (digest)""",
 }
+
+FILTER_AUDIT = f"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+    {WORDS.format("coalesce(text, '')")} AS w FROM documents),
+firsts AS (SELECT t, min(doc_id) AS first_doc FROM texts GROUP BY t),
+known AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good,
+    max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+failed AS (
+  SELECT doc_id, part, list_filter(['A', 'B', 'C', 'D', 'E'], lambda x: CASE x
+    WHEN 'A' THEN len(w) < 100
+    WHEN 'B' THEN 100 * len(list_distinct(w)) < 80 * len(w)
+    WHEN 'C' THEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t)
+    WHEN 'D' THEN regexp_matches(t, '[#$%&*|]')
+    ELSE doc_id > first_doc END) AS fails
+  FROM texts JOIN firsts USING (t)),
+groups AS (
+  SELECT part, fails, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+  FROM failed LEFT JOIN known USING (doc_id) GROUP BY part, fails),
+parts AS (SELECT DISTINCT part FROM groups),
+orders AS (
+  SELECT '' AS o
+  UNION ALL
+  SELECT o || x FROM orders, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE NOT contains(o, x)),
+steps AS (
+  SELECT o AS filter_order, CAST(s AS INTEGER) AS step, substr(o, s, 1) AS f,
+    string_split(CASE WHEN s = 1 THEN '-' ELSE substr(o, 1, s - 1) END, '') AS before
+  FROM (SELECT o FROM orders WHERE length(o) = 5), range(1, 6) r(s)),
+rows AS (
+  SELECT part, filter_order, step, f,
+    coalesce(sum(n) FILTER (NOT list_has_any(fails, before) AND NOT list_contains(fails, f)), 0) AS kept,
+    coalesce(sum(n) FILTER (NOT list_has_any(fails, before) AND list_contains(fails, f)), 0) AS removed,
+    coalesce(sum(n) FILTER (list_has_any(fails, before) AND list_contains(fails, f)), 0) AS redundant,
+    coalesce(sum(n) FILTER (fails = [f]), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (NOT list_has_any(fails, before) AND list_contains(fails, f)), 0) AS good_lost,
+    coalesce(sum(toxic) FILTER (NOT list_has_any(fails, before) AND list_contains(fails, f)), 0) AS toxic_lost
+  FROM groups, steps GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM rows"""
+STATEMENTS["op11_filter_audit"] = FILTER_AUDIT
+
+
+def _vector_codes(rounds: int = 4) -> str:
+    """Four chained rounds of assignment and means, then the last assignment."""
+    nearest = """near{r} AS MATERIALIZED (
+  SELECT vec_id, part, x, arg_min(entry, (d, entry)) AS entry, min(d) AS d
+  FROM (SELECT p.vec_id, p.part, p.x, b.entry,
+      list_sum(list_transform(list_zip(p.x, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+    FROM cut p JOIN book{r} b USING (part)) GROUP BY vec_id, part, x)"""
+    moved = """book{s} AS MATERIALIZED (
+  SELECT part, entry, coalesce(m.c, b.c) AS c FROM book{r} b LEFT JOIN (
+    SELECT part, entry, list(v ORDER BY i) AS c FROM (
+      SELECT part, entry, i, CAST((sum(v) - ((sum(v) % count(*)) + count(*)) % count(*)) // count(*)
+        AS BIGINT) AS v
+      FROM (SELECT part, entry, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM near{r})
+      GROUP BY part, entry, i) GROUP BY part, entry) m USING (part, entry))"""
+    steps = [s for r in range(rounds) for s in (nearest.format(r=r), moved.format(r=r, s=r + 1))]
+    steps.append(nearest.format(r=rounds))
+    return """
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda v: CAST(floor(1024 * v) AS BIGINT)) AS q
+  FROM embeddings WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+cut AS MATERIALIZED (
+  SELECT vec_id, part, q[part * len(q) // 4 + 1 : (part + 1) * len(q) // 4] AS x
+  FROM kept, range(4) t(part)),
+book0 AS MATERIALIZED (
+  SELECT part, entry, x AS c FROM cut JOIN (
+    SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept) USING (vec_id)
+  WHERE entry < 256),
+""" + ",\n".join(steps) + """,
+digest AS (
+  SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256
+  FROM book{r}),
+coded AS (
+  SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code,
+    CAST(sum(d) AS BIGINT) AS error FROM near{r} GROUP BY vec_id)
+SELECT vec_id, code, error,
+  CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded JOIN kept USING (vec_id), digest""".format(r=rounds)
+
+
+STATEMENTS["op12_vector_codes"] = _vector_codes()

@@ -9,14 +9,17 @@ from pyspark.sql import functions as F
 
 from tallyhouse.llm.common import held_out, table
 from tallyhouse.llm.decontaminate import contaminated
+from tallyhouse.llm.filter_audit import filter_audit
 from tallyhouse.llm.language import detect_language, fit_filters
 from tallyhouse.llm.near_dedup import near_dedup
 from tallyhouse.llm.neighbours import nearest
 from tallyhouse.llm.packing import pack
 from tallyhouse.llm.quality import fit_quality, score_quality
+from tallyhouse.llm.simhash import simhash_dedup
 from tallyhouse.llm.substring_dedup import substring_dedup
 from tallyhouse.llm.token_counts import count_tokens, load_vocabulary
 from tallyhouse.llm.url_filter import judge_urls
+from tallyhouse.llm.vector_codes import books_digest, compress
 from tallyhouse.llm.web_archive import archived
 
 
@@ -79,10 +82,28 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
                         table(spark, folder, "benchmark", "item_id", "text"))
 
 
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """What five filters remove from every language, in every order."""
+    return filter_audit(table(spark, folder, "documents", "doc_id", "text", "lang"),
+                        table(spark, folder, "labels", "doc_id", "quality", "toxic"))
+
+
+def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector's four-part code, and its error."""
+    coded, books = compress(table(spark, folder, "embeddings", "vec_id", "embedding", "label"))
+    return coded.withColumn("codebooks_sha256", F.lit(books_digest(books)))
+
+
+def op13_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """SimHash of every document and its component at three bits."""
+    return simhash_dedup(table(spark, folder, "documents", "doc_id", "text")).drop("class_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_near_dedup, op2_quality, op3_neighbours, op4_url_filter,
                                       op5_packing, op6_substring_dedup, op7_language_id,
-                                      op8_web_archive, op9_token_counts, op10_decontamination)}
+                                      op8_web_archive, op9_token_counts, op10_decontamination,
+                                      op11_filter_audit, op12_vector_codes, op13_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
