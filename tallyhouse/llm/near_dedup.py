@@ -7,17 +7,18 @@ early stop). Bands of slots name buckets.
 
 Groups never become all their pairs:
 
-* texts with equal shingle sets are one class, represented by the smallest id;
-* in a bucket every class is compared with the bucket's hub, the smallest id (a star);
-* verified links form components; where a bucket still holds several, its classes are
-  compared with a few pivots of it, and components are formed again;
-* only classes outside a bucket's largest component are compared with all others of the bucket
-  that are in different components even then. A missing link inside a component cannot change the result, so no component is lost
-  to the shortcut.
+* rows with equal shingle sets are one class, and only classes get into buckets;
+* a class stays in a bucket only if its sketch is close to that of some other class there;
+* each class is compared with the hub of its bucket (a star), and verified links form
+  components;
+* where a bucket then holds several components, the classes outside its largest one are
+  compared with all of the bucket that are in other components. A missing link inside a
+  component cannot change the result, so no component is lost to the shortcut.
 
 Candidates must agree in enough single bits of their signatures, one of each slot, and are then
-compared on their full sets. With 40 bands of 6 slots, a pair of similarity 0.8 shares no
-bucket with a chance of about 5 in a million; the bits turn it away with one of 1 in a million.
+compared on their full sets, inside joins that give out links alone. With 40 bands of 6 slots, a
+pair of similarity 0.8 shares no bucket with a chance of about 5 in a million; the bits turn it
+away with one of 1 in a million.
 """
 
 from __future__ import annotations
@@ -40,6 +41,7 @@ _HALF = np.uint64(32)
 SPARSE_RANKS = 6
 SKETCH_BITS = 256
 SKETCH = ("s1", "s2", "s3", "s4")
+SETS = "row long, class_id long, n int, members array<long>"
 SIGNATURE = f"doc long, n int, k1 long, k2 long, {' long, '.join(SKETCH)} long, bands array<long>"
 
 
@@ -84,6 +86,16 @@ def superminhash(values: np.ndarray, text: np.ndarray, texts: int, slots: int) -
     return table.reshape(texts, slots)
 
 
+def _set_keys(values: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    """Two sums over the members of each set, which name it whatever their order; 0 of none."""
+    filled = np.diff(bounds) > 0
+    keys = [np.zeros(len(filled), np.uint64), np.zeros(len(filled), np.uint64)]
+    for key, salt in zip(keys, (np.uint64(0x51ED270B), np.uint64(0xA24BAED4))):
+        if len(values):
+            key[filled] = np.add.reduceat(mix(values ^ salt), bounds[:-1][filled])
+    return keys
+
+
 def _signer(size: int, bands: int, rows: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,10 +113,7 @@ def _signer(size: int, bands: int, rows: int):
                 for r in range(rows):
                     names = mix(names + table[:, :, r])
                 filled = count > 0
-                keys = [np.zeros(n_texts, np.uint64), np.zeros(n_texts, np.uint64)]
-                for key, salt in zip(keys, (np.uint64(0x51ED270B), np.uint64(0xA24BAED4))):
-                    if len(values):
-                        key[filled] = np.add.reduceat(mix(values ^ salt), bounds[:-1][filled])
+                keys = _set_keys(values, bounds)
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.concatenate([[0], np.cumsum(filled * bands)]), pa.int32()),
                     pa.array(names[filled].ravel().view(np.int64)))
@@ -117,49 +126,27 @@ def _signer(size: int, bands: int, rows: int):
 
 
 def _set_lister(size: int):
+    """Sets of the classes wanted. Texts of one id lie in one task, so a class is given once,
+    or once for each piece where Spark splits a task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given: set[int] = set()
         for batch in batches:
             for piece in pieces(batch, "text"):
                 values, _, bounds = shingle_sets(words_of(piece.column("text"), True), size)
+                right = np.ones(piece.num_rows, bool)  # an id may stand for other sets as well
+                for key, name in zip(_set_keys(values, bounds), ("k1", "k2")):
+                    right &= key.view(np.int64) == np.asarray(piece.column(name))
+                for at, row in enumerate(piece.column("row").to_pylist()):
+                    right[at] &= row not in given
+                    if right[at]:
+                        given.add(row)
+                sets = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values.view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc"), pa.ListArray.from_arrays(
-                        pa.array(bounds, pa.int32()), pa.array(values.view(np.int64)))],
-                    names=["doc", "members"])
+                    [piece.column("row"), piece.column("doc"), piece.column("n"), sets],
+                    names=["row", "class_id", "n", "members"]).filter(pa.array(right))
     return run
 
 
-def _checker(size: int, percent: int):
-    """Keeps the pairs (a, b) whose full sets are similar enough."""
-    def sets_of(ids: pa.Array, texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
-        """Sets of the distinct (id, text) and the place of each row among them; rows of one hub lie together."""
-        ids = np.asarray(ids)
-        fresh = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-        values, _, bounds = shingle_sets(words_of(texts.take(pa.array(fresh)), True), size)
-        place = np.repeat(np.arange(len(fresh)), np.diff(np.append(fresh, len(ids))))
-        return [values[x:y] for x, y in zip(bounds[:-1], bounds[1:])], place
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in pieces(batch, "text_a"):
-                a, at_a = sets_of(piece.column("a"), piece.column("text_a"))
-                b, at_b = sets_of(piece.column("b"), piece.column("text_b"))
-                good = np.zeros(piece.num_rows, bool)
-                for i, (x, y) in enumerate(zip(at_a, at_b)):
-                    u, v = (a[x], b[y]) if len(a[x]) < len(b[y]) else (b[y], a[x])
-                    at = np.minimum(np.searchsorted(v, u), len(v) - 1)
-                    both = int((v[at] == u).sum()) if len(v) else 0
-                    good[i] = both > 0 and 100 * both >= percent * (len(u) + len(v) - both)
-                yield piece.select(["a", "b"]).filter(pa.array(good))
-    return check
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links among pairs (a, b). Rows of one hub b reach a task together."""
-    a, b = (texts.select(F.col("doc").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(
-        _checker(size, percent), "a long, b long")
-
-
 def near_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
     percent: int = 80, bands: int = 40, rows: int = 6,
@@ -172,26 +159,23 @@ def near_dedup(
     with an equal set, `component_id` the smallest id reachable over links, `kept` tells
     whether the row is that one. `n_links` counts verified links of the class.
 
-    Null, empty or blank texts have no set: they are linked with nothing and kept. Rows with
-    a null id likewise, each of them (component null). Rows that repeat an id are one
-    document and give one row, with the smallest set size and component among them. Columns
-    other than the two named are not read.
+    Null, empty or blank texts have no set: they are linked with nothing and kept. Texts of any
+    length count whole. Rows with a null id are linked with nothing and kept, each of them
+    (component null). Rows that repeat an id are one document and give one row: all their sets
+    belong to it, whatever links one of them links the document, and the row has the smallest
+    set size and class among them. Columns other than the two named are not read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-dedup")
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    signed = scratch.put("signatures", texts.mapInArrow(_signer(words, bands, rows), SIGNATURE))
+    signed = scratch.put("signatures", texts.mapInArrow(_signer(words, bands, rows), SIGNATURE).withColumn(
+        "row", F.monotonically_increasing_id()))
     sets = signed.filter("n > 0 and doc is not null")
-    classes = scratch.put(
-        "classes", sets.groupBy("k1", "k2", "n").agg(F.min("doc").alias("class_id")))
-
-    distinct = scratch.put("distinct", sets.select("doc", "n", *SKETCH, "bands").join(
-        classes.select(F.col("class_id").alias("doc")).distinct(), "doc", "left_semi"))
-    buckets = distinct.select("doc", F.posexplode("bands").alias("band", "name"))
-    hubs = buckets.groupBy("band", "name").agg(
-        F.min("doc").alias("hub"), F.max("doc").alias("last")).filter("hub < last").drop("last")
-    shared = scratch.put("buckets", buckets.join(hubs, ["band", "name"]))
-    sketches = distinct.select("doc", "n", *SKETCH).dropDuplicates(["doc"])
+    # The stored row number of a class is its name until links are found.
+    classes = scratch.put("classes", sets.groupBy("k1", "k2", "n").agg(
+        F.min("doc").alias("class_id"), F.min("row").alias("row")))
+    distinct = scratch.put("distinct", sets.select("row", "n", *SKETCH, "bands").join(
+        classes.select("row", "class_id"), "row"))
 
     # Bits of unequal slots differ by a coin's toss; five deviations are allowed on top.
     odds = (1 - percent / 100) / 2
@@ -204,48 +188,76 @@ def near_dedup(
             f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n) and "
             + " + ".join(f"bit_count({x}.{s} ^ {y}.{s})" for s in SKETCH) + f" <= {most}")
 
-    star = shared.filter("doc <> hub").select("doc", "hub").distinct()
-    star = star.join(sketches.alias("x"), "doc").join(
-        sketches.withColumnRenamed("doc", "hub").alias("y"), "hub").filter(near("x", "y")).select(
-        F.col("doc").alias("a"), F.col("hub").alias("b"))
-    found = scratch.put("links-0", _verified(star, texts, words, percent))
-
-    reached = components(found, scratch, "first").select(F.col("node").alias("doc"), "component")
-    placed = shared.join(reached, "doc", "left").withColumn(
-        "component", F.coalesce("component", "doc"))
-    several = placed.groupBy("band", "name").agg(
-        F.min("component").alias("low"), F.max("component").alias("high")).filter(
-        "low < high").select("band", "name")
-    torn = scratch.put("torn", placed.drop("hub").join(several, ["band", "name"]).join(
-        sketches, "doc"))
-    largest = torn.groupBy("band", "name", "component").agg(F.count("*").alias("size")).groupBy(
-        "band", "name").agg(F.max(F.struct("size", "component")).alias("most"))
-    minor = torn.join(largest, ["band", "name"]).filter("component <> most.component").drop("most")
-
-    # Rows that have no partner left go first; the others get their sets, and the join tells
-    # links from mere candidates itself, in the first bucket that two classes share, so that
-    # only links come out of it.
-    x, y = minor.alias("x"), torn.alias("y")
-    likely = (F.col("x.component") != F.col("y.component")) & near("x", "y")
+    def alike(x: str, y: str):
+        """The full sets are similar enough."""
+        return F.expr(f"size(array_intersect({x}.members, {y}.members)) * {100 + percent}L >= "
+                      f"{percent}L * ({x}.n + {y}.n)")
+
     place = (F.col("x.band") == F.col("y.band")) & (F.col("x.name") == F.col("y.name"))
-    left = scratch.put("left", x.join(y, place & likely, "left_semi"))
-    right = scratch.put("right", y.join(left.alias("x"), place & likely, "left_semi"))
-    ids = left.select("doc").union(right.select("doc")).distinct()
-    full = scratch.put("sets", texts.join(ids, "doc", "left_semi").dropDuplicates(["doc"]).mapInArrow(
-        _set_lister(words), "doc long, members array<long>").join(
-        distinct.select("doc", "bands").dropDuplicates(["doc"]), "doc"))
-    x, y = left.join(full, "doc").alias("x"), right.join(full, "doc").alias("y")
+    buckets = distinct.select("row", F.posexplode("bands").alias("band", "name"))
+    shared = scratch.put("shared", buckets.groupBy("band", "name").agg(
+        F.count("*").alias("size")).filter("size > 1").drop("size"))
+    filled = scratch.put("filled", buckets.join(shared, ["band", "name"]).join(
+        distinct.drop("bands"), "row"))
+    other = F.col("x.row") != F.col("y.row")
+    alive = scratch.put("alive", filled.alias("x").join(
+        filled.select("row", "band", "name", "n", *SKETCH).alias("y"),
+        place & other & near("x", "y"), "left_semi"))
+    scratch.drop("shared", "filled")
+
+    # The only time that texts move: those of classes with a partner become sets.
+    wanted = classes.join(alive.select("row").distinct(), "row").select(
+        F.col("class_id").alias("doc"), "k1", "k2", "n", "row")
+    members = scratch.put("sets", texts.join(wanted, "doc").mapInArrow(_set_lister(words), SETS))
+
+    hubs = scratch.put("hubs", alive.groupBy("band", "name").agg(
+        F.min(F.struct("row", "n", *SKETCH)).alias("y")))
+    star = alive.alias("x").join(hubs, ["band", "name"]).filter(
+        F.col("row") != F.col("y.row")).filter(near("x", "y")).select(
+        F.col("x.row").alias("from"), F.col("y.row").alias("to")).distinct()
+    x, y = members.alias("x"), members.alias("y")
+    found = scratch.put("links-0", star.join(x, F.col("from") == F.col("x.row")).join(
+        y, (F.col("to") == F.col("y.row")) & alike("x", "y")).select(
+        F.greatest("x.class_id", "y.class_id").alias("a"), F.least("x.class_id", "y.class_id").alias("b")))
+
+    reached = components(found, scratch, "first").select(F.col("node").alias("class_id"), "component")
+    placed = scratch.put("placed", alive.join(reached, "class_id", "left").withColumn(
+        "component", F.coalesce("component", "class_id")))
+    several = scratch.put("several", placed.groupBy("band", "name", "component").agg(
+        F.count("*").alias("size")).groupBy("band", "name").agg(
+        F.count("*").alias("parts"), F.max(F.struct("size", "component")).alias("most")).filter(
+        "parts > 1").select("band", "name", F.col("most.component").alias("largest")))
+    torn = scratch.put("torn", placed.join(several, ["band", "name"]).join(
+        distinct.select("row", "bands"), "row"))
+    minor = torn.filter("component <> largest")
+    scratch.drop("alive", "hubs", "placed", "several")
+
+    # Two classes are compared in the first bucket they share; rows without a partner left go
+    # before sets come in.
+    x, y = minor.alias("x"), torn.alias("y")
     first = F.expr("array_position(zip_with(x.bands, y.bands, (p, q) -> p = q), true) = x.band + 1")
-    alike = F.expr(f"size(array_intersect(x.members, y.members)) * {100 + percent}L >= "
-                   f"{percent}L * (x.n + y.n)")
-    last = scratch.put("links-1", x.join(y, place & likely & first & alike).select(
-        F.greatest("x.doc", "y.doc").alias("a"), F.least("x.doc", "y.doc").alias("b")).distinct())
-    links = found.union(last)
-    final = components(links, scratch, "last")
+    likely = place & (F.col("x.component") != F.col("y.component")) & near("x", "y") & first
+    left = scratch.put("left", x.join(y, likely, "left_semi"))
+    right = scratch.put("right", y.join(left.alias("x"), likely, "left_semi"))
+    full = members.select("row", "members")
+    x, y = left.join(full, "row").alias("x"), right.join(full, "row").alias("y")
+    last = scratch.put("links-1", x.join(y, likely & alike("x", "y")).select(
+        F.greatest("x.class_id", "y.class_id").alias("a"),
+        F.least("x.class_id", "y.class_id").alias("b")).distinct())
+    scratch.drop("torn", "left", "right", "sets", "distinct")
+
+    # Sets of rows that repeat an id belong together.
+    several = sets.groupBy("doc").agg(F.min("row").alias("low"), F.max("row").alias("high")).filter(
+        "low < high").select("doc")
+    own = sets.join(several, "doc").join(classes, ["k1", "k2", "n"]).select("doc", "class_id").distinct()
+    tied = own.join(own.groupBy("doc").agg(F.min("class_id").alias("least")), "doc").filter(
+        "class_id > least").select(F.col("class_id").alias("a"), F.col("least").alias("b"))
+    links = scratch.put("links", found.unionByName(last).filter("a <> b").distinct())
+    final = components(links.unionByName(tied), scratch, "last")
 
     degree = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy(
         "class_id").agg(F.count("*").alias("n_links"))
-    by_class = classes.join(degree, "class_id", "left").join(
+    by_class = classes.drop("row").join(degree, "class_id", "left").join(
         final.withColumnRenamed("node", "class_id"), "class_id", "left")
     known = signed.select("doc", "n", "k1", "k2").join(by_class, ["k1", "k2", "n"], "left").select(
         "doc", F.col("n").cast("long").alias("n_shingles"),

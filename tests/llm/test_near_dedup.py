@@ -79,3 +79,25 @@ def test_signatures_equal_the_element_wise_algorithm():
     text = np.repeat(np.arange(len(sizes)), sizes)
     got = superminhash(np.concatenate(sets), text, len(sizes), 24)
     assert [list(map(int, row)) for row in got] == [element_wise(map(int, s), 24) for s in sets]
+
+
+def test_rows_of_one_id_with_different_texts_belong_together(spark):
+    rng = np.random.default_rng(6)
+    a, b, c = (" ".join(f"w{x}" for x in rng.integers(0, 10 ** 6, 60)) for _ in range(3))
+    near_b, near_a, near_c = b + " more", a + " more", c + " more"
+    for rows, component in [
+        ([(1, a), (1, b), (2, near_b), (3, c)], {1: 1, 2: 1, 3: 3}),
+        ([(5, a), (5, b), (2, near_b), (4, near_a), (3, c), (9, near_c)], {2: 2, 3: 3, 4: 2, 5: 2, 9: 3}),
+        ([(7, a), (7, b), (7, c), (7, c), (3, near_c), (8, b), (1, near_a)], {1: 1, 3: 1, 7: 1, 8: 1}),
+    ]:
+        for turn in range(2):
+            dealt = frame(spark, rows[::-1] if turn else rows).repartition(3 + turn)
+            got = {r["doc_id"]: r["component_id"] for r in near_dedup(dealt, words=2).collect()}
+            assert got == component
+
+
+def test_a_very_long_text_counts_whole(spark):
+    long = " ".join(f"q{i}" for i in range(250_000))
+    rows = [(1, long), (2, long.replace("q7 ", "x ")), (3, long[: len(long) // 2])]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup(frame(spark, rows), words=2).collect()}
+    assert got[2] == (249_999, 1) and got[3][1] == 3
