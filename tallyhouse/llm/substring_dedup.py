@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,11 +74,7 @@ def _summariser(length: int):
         for batch in batches:
             for piece in pieces(batch, "text"):
                 words = words_of(piece.column("text"))
-                data, start, end = _spaced(words)
-                digests = []
-                for a, b in zip(words.bounds[:-1], words.bounds[1:]):
-                    own = data[start[a]: end[b - 1]].tobytes() if b > a else b""
-                    digests.append(hashlib.sha256(own).hexdigest())
+                digests = _digests(words)
                 anchor, _, _, text = _runs(words, length)
                 yield pa.RecordBatch.from_arrays(
                     [piece.column("doc"), pa.array(np.diff(words.bounds), pa.int64()),
@@ -87,6 +84,21 @@ def _summariser(length: int):
     return run
 
 
+def _digests(words: Words) -> list[str]:
+    """Digest of each text's words, joined by one space."""
+    data, start, end = _spaced(words)
+    return [hashlib.sha256(data[start[a]: end[b - 1]].tobytes() if b > a else b"").hexdigest()
+            for a, b in zip(words.bounds[:-1], words.bounds[1:])]
+
+
+def _matcher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keeps the rows whose text has the digest that came with its id."""
+    for batch in batches:
+        for piece in pieces(batch, "text"):
+            own = pa.array(_digests(words_of(piece.column("text"))), pa.string())
+            yield piece.filter(pc.equal(own, piece.column("sha")))
+
+
 def _spanner(length: int):
     """Spans of the anchors that other documents hold too, as text and as two hashes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,11 +126,11 @@ def _spanner(length: int):
                     len(size), pa.py_buffer(offsets),
                     pa.py_buffer(data[np.repeat(a, size) + inner]))
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc").take(pa.array(text)),
+                    [*(piece.column(c).take(pa.array(text)) for c in ("doc", "sha")),
                      pa.array(first - words.bounds[text], pa.int32()),
                      pa.array(count, pa.int32()), pa.array(anchor.view(np.int64)), spans,
                      *(pa.array(k.view(np.int64)) for k in _span_keys(words, first, count, length))],
-                    names=["doc", "start", "windows", "anchor", "span", "k1", "k2"])
+                    names=["doc", "sha", "start", "windows", "anchor", "span", "k1", "k2"])
     return run
 
 
@@ -216,7 +228,7 @@ def _window_lister(length: int):
 
 
 def _cutter(length: int):
-    """Removes covered words: (doc, n_removed, kept text, its digest)."""
+    """Removes covered words: (doc, digest of the text's words, n_removed, kept text, its digest)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "text"):
@@ -238,10 +250,10 @@ def _cutter(length: int):
                          for a, b in zip(edges[:-1], edges[1:])]
                 counts = np.concatenate([[0], np.cumsum(~left)])[words.bounds]
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc"), pa.array(np.diff(counts), pa.int64()),
+                    [piece.column("doc"), piece.column("sha"), pa.array(np.diff(counts), pa.int64()),
                      pa.array([t.decode("utf-8") for t in texts], pa.string()),
                      pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())],
-                    names=["doc", "n_removed", "kept_text", "kept_sha256"])
+                    names=["doc", "sha", "n_removed", "kept_text", "kept_sha256"])
     return run
 
 
@@ -259,7 +271,8 @@ def substring_dedup(
 
     Null, empty and short texts lose nothing. Rows with a null id are neither source nor
     target of a removal and give a row each. Rows that repeat an id are one document: every
-    window of any of them counts, and the row with the smallest digest is returned. Columns
+    window of any of them counts against larger ids, and the row whose words have the smallest
+    digest is returned, cut by its own windows. Texts of any length are read whole. Columns
     other than the two named are not read.
     """
     spark = docs.sparkSession
@@ -271,21 +284,23 @@ def substring_dedup(
     named = summary.filter("doc is not null")
     firsts = named.filter(F.col("n_words") >= min_words).groupBy("sha").agg(
         F.min("doc").alias("first_doc"))
-    sole = named.select("doc", "anchors").join(
+    sole = named.select("doc", "sha", "anchors").join(
         firsts.select(F.col("first_doc").alias("doc")).distinct(), "doc", "left_semi")
-    held = sole.select("doc", F.explode("anchors").alias("anchor"))
-    common = held.groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter(
-        "a < b").select("anchor")
-    shared = scratch.put("shared", held.join(common, "anchor", "left_semi").groupBy("doc").agg(
+    held = sole.select("doc", "sha", F.explode("anchors").alias("anchor"))
+    # Stored first: a join with a table is split where an anchor is hot, one with an aggregate is not.
+    common = scratch.put("common", held.groupBy("anchor").agg(
+        F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a < b").select("anchor"))
+    shared = scratch.put("shared", held.join(common, "anchor", "left_semi").groupBy("doc", "sha").agg(
         F.collect_set("anchor").alias("shared")))
     digests = scratch.put("digests", summary.drop("anchors"))
     firsts = scratch.put("firsts", firsts)
-    scratch.drop("summaries")
-    affected = scratch.put("affected", texts.join(shared, "doc"))
+    scratch.drop("summaries", "common")
+    affected = scratch.put("affected", texts.join(shared, "doc").mapInArrow(
+        _matcher, "doc long, text string, sha string, shared array<long>"))
 
     spans = scratch.put("spans", affected.mapInArrow(
         _spanner(min_words),
-        "doc long, start int, windows int, anchor long, span string, k1 long, k2 long"))
+        "doc long, sha string, start int, windows int, anchor long, span string, k1 long, k2 long"))
     distinct = scratch.put("distinct", spans.groupBy("anchor", "span", "k1", "k2").agg(
         F.min("doc").alias("low"), F.max("doc").alias("high")))
     large = scratch.put("large", distinct.groupBy("anchor").agg(F.count("*").alias("n")).filter(
@@ -305,20 +320,20 @@ def substring_dedup(
     nodes = scratch.put("nodes", trees.union(whole))
     scratch.drop("distinct")
 
-    covered = spans.select("doc", "start", "k1", "k2").join(nodes, ["k1", "k2"]).select(
-        "doc", F.expr("filter(transform(firsts, (f, i) -> if(f < doc, start + i, -1)), s -> s >= 0)")
+    covered = spans.select("doc", "sha", "start", "k1", "k2").join(nodes, ["k1", "k2"]).select(
+        "doc", "sha", F.expr("filter(transform(firsts, (f, i) -> if(f < doc, start + i, -1)), s -> s >= 0)")
         .alias("starts")).filter("size(starts) > 0")
-    starts = scratch.put("starts", covered.groupBy("doc").agg(
+    starts = scratch.put("starts", covered.groupBy("doc", "sha").agg(
         F.flatten(F.collect_list("starts")).alias("starts")))
     scratch.drop("spans", "nodes")
-    cut = affected.select("doc", "text").join(starts, "doc").mapInArrow(
-        _cutter(min_words), "doc long, n_removed long, kept_text string, kept_sha256 string")
-    cut = scratch.put("cut", cut.groupBy("doc").agg(F.min(
+    cut = affected.select("doc", "sha", "text").join(starts, ["doc", "sha"]).mapInArrow(
+        _cutter(min_words), "doc long, sha string, n_removed long, kept_text string, kept_sha256 string")
+    cut = scratch.put("cut", cut.groupBy("doc", "sha").agg(F.min(
         F.struct("kept_sha256", "n_removed", "kept_text")).alias("cut")))
     scratch.drop("affected", "starts")
 
     one = digests.filter("doc is not null").groupBy("doc").agg(F.min(F.struct("sha", "n_words")).alias("own")).select(
-        "doc", "own.sha", "own.n_words").join(firsts, "sha", "left").join(cut, "doc", "left")
+        "doc", "own.sha", "own.n_words").join(firsts, "sha", "left").join(cut, ["doc", "sha"], "left")
     copy = F.col("first_doc") < F.col("doc")
     result = one.select(
         F.col("doc").alias(id_col), "n_words",

@@ -54,3 +54,16 @@ def test_nulls_and_repeated_rows(spark):
                   substring_dedup(frame(spark, rows)).collect()), key=str)
     assert got == sorted([(4, 20, 0), (9, 20, 20), (5, 0, 0), (6, 0, 0), (None, 20, 0)], key=str)
     assert substring_dedup(frame(spark, [])).count() == 0
+
+
+def test_rows_of_one_id_with_different_texts_are_cut_by_their_own_windows(spark):
+    shared = " ".join(f"s{i}" for i in range(20))
+    one = shared + " " + " ".join(f"a{i}" for i in range(5))
+    for size in range(28, 34):  # whichever of the two digests is smaller
+        two = " ".join(f"b{size}x{i}" for i in range(size))
+        rows = [(1, "x " + shared), (2, one), (2, two), (3, two)]
+        got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring_dedup(
+            frame(spark, rows)).collect()}
+        digests = {t: hashlib.sha256(t.encode()).hexdigest() for t in (one, two)}
+        assert got[2] == ((25, 20) if digests[one] < digests[two] else (size, 0))
+        assert got[3] == (size, size) and got[1] == (21, 0)
