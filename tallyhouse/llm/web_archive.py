@@ -35,6 +35,8 @@ RECORD_DATE = "2024-01-01T00:00:00Z"
 MIN_SHARED = 100
 PACKAGE_BYTES = 64 << 20
 RANGE_BYTES = 2 << 20
+TASK_BYTES = 32 << 20
+FEED_BYTES = 1 << 15
 _EDGE = b"\r\n\r\n"
 
 
@@ -85,7 +87,7 @@ def _page(text: str | None):
 
 
 def _writer(folder: str, package_bytes: int):
-    """Writes rows to packages and reports (path, records)."""
+    """Writes rows to packages and reports (path, records, bytes)."""
     class Package:
         def __init__(self, store, root: str) -> None:
             self.name = f"{folder}/{uuid.uuid4().hex}.zip"
@@ -123,19 +125,20 @@ def _writer(folder: str, package_bytes: int):
                                          refers_to.as_py()), page_id.as_py())
                 if package.at >= package_bytes:
                     package.close()
-                    done.append((package.name, package.count))
+                    done.append((package.name, package.count, package.at))
                     package = None
         if package is not None:
             package.close()
-            done.append((package.name, package.count))
+            done.append((package.name, package.count, package.at))
         yield pa.RecordBatch.from_arrays(
             [pa.array([d[0] for d in done], pa.string()),
-             pa.array([d[1] for d in done], pa.int64())], names=["path", "records"])
+             *(pa.array([d[i] for d in done], pa.int64()) for i in (1, 2))],
+            names=["path", "records", "bytes"])
     return run
 
 
 def write_packages(pages: DataFrame, folder: str, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
-    """(path, records) of the packages written for (page_id, url, html); reading it writes.
+    """(path, records, bytes) of the packages written for (page_id, url, html); reading it writes.
 
     Of pages with equal payloads of at least `MIN_SHARED` bytes, the one with the smallest id
     becomes a response and the others revisit it. Null payloads are empty; null ids refer to
@@ -153,7 +156,7 @@ def write_packages(pages: DataFrame, folder: str, package_bytes: int = PACKAGE_B
     again = keys.join(first, "digest").filter("page_id > refers_to").distinct()
     full = named.join(again, ["page_id", "digest"], "left").select(
         "page_id", "url", F.col("html").cast("binary").alias("html"), "digest", "refers_to")
-    return full.mapInArrow(_writer(folder, package_bytes), "path string, records long")
+    return full.mapInArrow(_writer(folder, package_bytes), "path string, records long, bytes long")
 
 
 def _ranges(range_bytes: int):
@@ -189,6 +192,26 @@ def _ranges(range_bytes: int):
     return run
 
 
+def _unpacked(data: bytes, begin: int, path: str) -> tuple[bytes, int]:
+    """(record, place after it) of the gzip member that begins at a place, fed in short steps so
+    that what follows it is not copied."""
+    unpack, out = zlib.decompressobj(wbits=31), []
+    while not unpack.eof:
+        step = data[begin: begin + FEED_BYTES]
+        if not step:
+            raise DamagedArchive(f"{path}: record is cut off")
+        out.append(unpack.decompress(step))
+        begin += len(step) - len(unpack.unused_data)
+    return b"".join(out), begin
+
+
+def read_tasks(packages: DataFrame) -> int:
+    """Tasks that read packages: one for about `TASK_BYTES`, and no fewer than shuffles have."""
+    size = F.sum("bytes") if "bytes" in packages.columns else F.count("*") * PACKAGE_BYTES
+    usual = int(packages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(usual, -(-(packages.agg(size).first()[0] or 0) // TASK_BYTES))
+
+
 def _reader(with_payload: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,12 +220,10 @@ def _reader(with_payload: bool):
                 with store.open_input_file(name) as file:
                     data = file.read_at(size, at)
                 out: list[tuple] = []
-                while data:
-                    unpack = zlib.decompressobj(wbits=31)
-                    fields, block = parse_record(unpack.decompress(data) + unpack.flush())
-                    if not unpack.eof:
-                        raise DamagedArchive(f"{path}: record is cut off")
-                    data = unpack.unused_data
+                begin = 0
+                while begin < len(data):
+                    record, begin = _unpacked(data, begin, path)
+                    fields, block = parse_record(record)
                     head, _, payload = block.partition(_EDGE)
                     kind = fields["warc-type"]
                     digest = fields["warc-payload-digest"].removeprefix("sha256:")
@@ -231,14 +252,17 @@ def read_packages(packages: DataFrame, with_payload: bool = False,
     record_type, refers_to, url, and with `with_payload` the payload (empty for revisits).
 
     Directories and indexes are read first, then ranges of about `range_bytes` of whole
-    records. Payloads are held against their digests; a damaged package raises.
+    records. Payloads are held against their digests; a damaged package raises. Range rows are
+    tiny, so they are dealt to a number of tasks that follows the bytes of the packages (column
+    `bytes`; taken as `PACKAGE_BYTES` each where it is missing), which adaptive execution keeps.
     """
     ship(packages.sparkSession)
+    tasks = read_tasks(packages)
     ranges = packages.select("path").mapInArrow(
         _ranges(range_bytes), "path string, at long, size long")
     schema = ("page_id long, payload_bytes long, payload_digest string, record_type string,"
               " refers_to long, url string" + ", payload binary" * with_payload)
-    return ranges.repartition("path", "at").mapInArrow(_reader(with_payload), schema)
+    return ranges.repartition(tasks, "path", "at").mapInArrow(_reader(with_payload), schema)
 
 
 def archived(pages: DataFrame) -> DataFrame:

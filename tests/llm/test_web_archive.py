@@ -103,3 +103,13 @@ def test_damage_is_an_error(spark, tmp_path):
     open(path, "wb").write(data)
     with pytest.raises(PythonException):
         read_packages(spark.createDataFrame(found)).collect()
+
+
+def test_reading_is_dealt_to_tasks_by_bytes(spark):
+    sized = [("a", 1, 10 * web_archive.TASK_BYTES), ("b", 1, web_archive.TASK_BYTES + 1)]
+    packages = spark.createDataFrame(sized, "path string, records long, bytes long")
+    assert web_archive.read_tasks(packages) == 12
+    assert web_archive.read_tasks(packages.select("path")) == 4  # two packages of 64 MB
+    assert web_archive.read_tasks(packages.limit(0)) == 4
+    plan = read_packages(packages)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and ", 12)" in plan
