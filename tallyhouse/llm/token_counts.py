@@ -4,7 +4,8 @@ A piece of the table is cut into pre-tokens (runs without white space, led by U+
 distinct pre-tokens are sorted, which lays out their trie: at each depth, neighbours with
 equal prefixes are one node. The best score of a node follows from its ancestors' and from the
 vocabulary pieces that end there, and is computed once for all pre-tokens below it. What a
-pre-token's last node holds is its token count, and texts add up those.
+pre-token's last node holds is its token count, and texts add up those. A pre-token of over
+`LONGEST` bytes shares nearly nothing with others and goes through the same recurrence alone.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyhouse.llm.wordstream import Words, pieces, substring_sums, words_of
+from tallyhouse.llm.wordstream import pieces, substring_sums, words_of
 from tallyhouse.session import ship
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -62,7 +63,7 @@ class _Lookup:
         best: dict[bytes, float] = {}
         for piece, score in zip(vocabulary.pieces, vocabulary.scores):
             best[piece] = max(score, best.get(piece, -np.inf))
-        self.byte_score = vocabulary.byte_score
+        self.byte_score, self.best = vocabulary.byte_score, best
         self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for size in sorted({len(p) for p in best if p}):
             own = [p for p in best if len(p) == size]
@@ -79,26 +80,26 @@ class _Lookup:
         return np.where(keys[at] == named, scores[at], -np.inf)
 
 
-def _cut(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pre-tokens (start, end, text): words, the overlong ones in parts of whole characters."""
-    start, end, text = words.start, words.end, words.text
-    long = np.flatnonzero(end - start > LONGEST)
-    if not len(long):
-        return start, end, text
-    parts = []
-    for w in long:
-        at = int(start[w])
-        while at < end[w]:
-            upto = min(at + LONGEST, int(end[w]))
-            while upto < end[w] and words.data[upto] & 0xC0 == 0x80:
-                upto -= 1
-            parts.append((at, upto, int(text[w])))
-            at = upto
-    a, b, t = (np.array(x) for x in zip(*parts))
-    short = np.ones(len(start), bool)
-    short[long] = False
-    return (np.concatenate([start[short], a]), np.concatenate([end[short], b]),
-            np.concatenate([text[short], t]))
+def long_count(token: bytes, lookup: _Lookup) -> int:
+    """Pieces on the best path of one long pre-token, by the recurrence of `trie_counts` over a
+    window as wide as the longest piece."""
+    data = LEAD + token
+    sizes, window = list(lookup.tables), max(lookup.tables, default=1) + 1
+    score, count = [0.0] * window, [0] * window  # of the places before, by place modulo window
+    for end in range(1, len(data) + 1):
+        before = (end - 1) % window
+        best, steps = score[before] + lookup.byte_score, count[before] + 1
+        for size in sizes:
+            if size > end:
+                break
+            own = lookup.best.get(data[end - size: end])
+            if own is not None:
+                at = (end - size) % window
+                found, more = score[at] + own, count[at] + 1
+                if found > best or (found == best and more < steps):
+                    best, steps = found, more
+        score[end % window], count[end % window] = best, steps
+    return count[len(data) % window]
 
 
 def _distinct(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[pa.Array, np.ndarray]:
@@ -164,13 +165,16 @@ def _tally(vocabulary: Vocabulary):
         for batch in batches:
             for piece in pieces(batch, "text", PIECE_BYTES):
                 words = words_of(piece.column("text"))
-                start, end, text = _cut(words)
                 total = np.zeros(piece.num_rows, np.int64)
-                if len(start):
-                    tokens, place = _distinct(words.data, start, end)
-                    np.add.at(total, text, trie_counts(tokens, lookup)[place])
+                short = words.end - words.start <= LONGEST
+                if short.any():
+                    tokens, place = _distinct(words.data, words.start[short], words.end[short])
+                    np.add.at(total, words.text[short], trie_counts(tokens, lookup)[place])
+                for w in np.flatnonzero(~short):
+                    token = words.data[words.start[w]: words.end[w]].tobytes()
+                    total[words.text[w]] += long_count(token, lookup)
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc"), pa.array(np.bincount(text, minlength=piece.num_rows)),
+                    [piece.column("doc"), pa.array(np.diff(words.bounds), pa.int64()),
                      pa.array(total)], names=["doc", "n_pretokens", "n_tokens"])
     return run
 
@@ -179,8 +183,7 @@ def count_tokens(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id"
                  text_col: str = "text") -> DataFrame:
     """One row per row: id, n_pretokens, n_tokens.
 
-    A pre-token is U+2581 and a run without white space, in parts of at most 1,024 bytes. Its
-    tokens are the pieces of the segmentation with the largest summed log probability; a byte
+    A pre-token is U+2581 and a run without white space, whatever its length. Its tokens are the pieces of the segmentation with the largest summed log probability; a byte
     that no piece covers is a token of low probability. Null and empty texts count 0; null
     ids and repeated rows are counted like others. Columns not named are not read.
     """

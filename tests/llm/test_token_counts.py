@@ -45,19 +45,12 @@ def test_counts_match_a_search_per_word(spark):
     assert count_tokens(frame(spark, []), vocabulary).count() == 0
 
 
-def test_overlong_words_are_cut_at_characters(spark):
-    vocabulary = small_vocabulary()
-    text = "wé" * LONGEST
-    data, parts, at = text.encode(), [], 0
-    while at < len(data):
-        upto = min(at + LONGEST, len(data))
-        while upto < len(data) and data[upto] & 0xC0 == 0x80:
-            upto -= 1
-        parts.append(data[at:upto])
-        at = upto
-    (row,) = count_tokens(frame(spark, [(1, text)]), vocabulary).collect()
-    assert (row["n_pretokens"], row["n_tokens"]) == (
-        len(parts), sum(by_word(vocabulary, p) for p in parts))
+def test_long_words_are_counted_whole(spark):
+    vocabulary, rng = small_vocabulary(), random.Random(5)
+    texts = ["wé" * LONGEST, "".join(rng.choice("wxé123€") for _ in range(5000)), "w" * LONGEST, "x" * (LONGEST + 1)]
+    rows = [(i, t) for i, t in enumerate([*texts, f"w1 {texts[1]} é {texts[0]}"])]
+    got = {r["doc_id"]: (r["n_pretokens"], r["n_tokens"]) for r in count_tokens(frame(spark, rows), vocabulary).collect()}
+    assert got == {i: (len(words(t)), sum(by_word(vocabulary, w.encode()) for w in words(t))) for i, t in rows}
 
 
 def test_public_vocabulary():
