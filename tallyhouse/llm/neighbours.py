@@ -226,8 +226,11 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "neighbours")
+    # Single precision stays as it is, all else is compared as doubles.
+    kind = vectors.schema[vector_col].dataType.simpleString()
+    kind = kind if kind == "array<float>" else "array<double>"
     sound = vectors.select(F.col(id_col).cast("long").alias("id"),
-                           F.col(vector_col).cast("array<float>").alias("v")).filter(
+                           F.col(vector_col).cast(kind).alias("v")).filter(
         "id is not null and v is not null and size(v) > 0 and "
         "forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and "
         "exists(v, x -> x <> 0)")
@@ -251,7 +254,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec
         sample = groups.select("v").limit(FIT_ROWS).toPandas()["v"]
     curves = _fitted(np.stack(sample.to_list()).astype(float), float(facts[1]) ** 0.5, facts[0])
     points = scratch.put("points", groups.select("pid", "v").mapInArrow(
-        _indexer(curves), "pid long, v array<float>, blocks array<int>"))
+        _indexer(curves), f"pid long, v {kind}, blocks array<int>"))
 
     queries = scratch.put("queries", sound.filter(F.pmod("id", F.lit(every)) == 0).join(
         groups.select("pid", "v"), "v").select(F.col("id").alias("query_id"), "pid"))
