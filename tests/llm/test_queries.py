@@ -3,6 +3,7 @@
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 from tests import oracle
 
 import corpus_pipeline
@@ -63,3 +64,16 @@ def test_stages_on_odd_rows_and_empty_tables(spark):
 def test_held_out_is_a_third(spark):
     share = spark.range(3000).select(held_out("id").cast("int").alias("x")).agg({"x": "avg"}).first()[0]
     assert 0.3 < share < 0.37
+
+
+def test_language_stage_rejects_what_no_filter_knows(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    odd = spark.createDataFrame(
+        [(-1, "Съешь же ещё этих мягких французских булок", None, "x", 1),
+         (-2, "これは学習されていない言語の文章です。何も知られていません", "ja2", "x", 1), (-3, "A.", None, "x", 1)],
+        docs.schema).withColumn("lang", F.lit(None).cast("string"))
+    kept = corpus_pipeline.known_language(spark, docs.unionByName(odd), FOLDER)
+    ids = {r["doc_id"] for r in kept.select("doc_id").collect()}
+    assert not ids & {-1, -2} and -3 in ids
+    lettered = docs.filter(F.col("text").rlike("\\p{L}")).count()
+    assert len(ids) == lettered + 1
