@@ -19,19 +19,22 @@ from tallyhouse.llm.substring_dedup import substring_dedup
 
 
 # Held-out documents of the learnt languages have a coverage of 0.56 and more, texts of other
-# scripts under 0.01; texts of fewer characters hold too few n-grams to tell.
-MIN_COVERAGE, MIN_CHARS = 0.05, 16
+# scripts under 0.01; texts of fewer characters hold too few n-grams to tell, and filters of
+# fewer labelled texts know too little to reject by.
+MIN_COVERAGE, MIN_CHARS, MIN_LABELLED = 0.05, 16, 100
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language learnt from the labelled ones.
 
     Texts without letters go, and texts of which the best language's filter knows less than
-    `MIN_COVERAGE` of the n-grams, unless they have under `MIN_CHARS` characters.
+    `MIN_COVERAGE` of the n-grams, unless they have under `MIN_CHARS` characters or there are
+    under `MIN_LABELLED` labelled texts.
     """
     filters = fit_filters(docs.select(F.col("doc_id").alias("key"), "text", "lang"))
     found = detect_language(docs, filters, carry=True)
-    covered = (F.col("coverage") >= MIN_COVERAGE) | (F.char_length("row.text") < MIN_CHARS)
+    learnt = docs.filter(F.col("lang").isNotNull()).limit(MIN_LABELLED).count() == MIN_LABELLED
+    covered = (F.col("coverage") >= MIN_COVERAGE) | (F.char_length("row.text") < MIN_CHARS) | F.lit(not learnt)
     return found.filter((F.col("lang_pred") != UNKNOWN) & covered).select("row.*")
 
 
