@@ -270,32 +270,47 @@ ORDER_FIELDS = ("occurred_at", "channel", "event_type", "gross_amount", "discoun
 ORDER_KEY = ["source", "source_order_id"]
 
 
-def line_multiset(lines: DataFrame) -> DataFrame:
-    """Distinct lines per order with their number: an order-free picture of its content.
+NO_LINES = "0"
+_SALTS = (11, 23)
 
-    Orders are compared by joining these rows, so no order's lines are ever collected.
+
+def line_digest(lines: DataFrame) -> DataFrame:
+    """One row per order: its key and an order-free digest of its lines.
+
+    Lines are hashed under two salts and the halves of the hashes are summed, with the number
+    of lines beside them, so equal multisets of lines have equal digests in any sequence.
+    Sums combine before the shuffle; no order's lines are ever collected or joined.
     """
-    return lines.groupBy(*ORDER_KEY, *LINE_FIELDS).agg(F.count(F.lit(1)).alias("copies"))
+    # Hashes pass over nulls and tell integer widths apart.
+    fields = [x for c in LINE_FIELDS for x in (
+        F.col(c).cast("string" if c in ("name", "variation") else "bigint"), F.col(c).isNull())]
+    hashes = [F.xxhash64(F.lit(salt), *fields) for salt in _SALTS]
+    halves = [h for x in hashes for h in (
+        x.bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint")), F.shiftrightunsigned(x, 32))]
+    return lines.groupBy(*ORDER_KEY).agg(F.concat_ws(
+        "-", F.count(F.lit(1)), *(F.sum(h) for h in halves)).alias("line_digest"))
+
+
+def with_line_digest(orders: DataFrame, lines: DataFrame) -> DataFrame:
+    """Orders with the digest of their lines; `NO_LINES` where they have none."""
+    return orders.join(line_digest(lines), ORDER_KEY, "left").fillna(NO_LINES, ["line_digest"])
 
 
 def compare_with_stored(incoming: DataFrame, lines: DataFrame, stored: DataFrame,
                         stored_lines: DataFrame) -> DataFrame:
+    """`compare_orders` of orders whose digests are not stored yet."""
+    return compare_orders(with_line_digest(incoming, lines), with_line_digest(stored, stored_lines))
+
+
+def compare_orders(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     """Orders present on both sides, with the fields in which they differ.
 
-    ``incoming``/``stored`` hold the order key and fields, the line frames the key and line
-    fields. An empty ``differences`` array means an identical re-delivery.
+    Both hold the order key, the order fields and `line_digest`. An empty ``differences``
+    array means an identical re-delivery; no line is read for it.
     """
-    both = incoming.select(*ORDER_KEY, *[F.col(c).alias(f"new_{c}") for c in ORDER_FIELDS]
-                           ).join(stored.select(*ORDER_KEY, *ORDER_FIELDS), ORDER_KEY)
-    keys = both.select(*ORDER_KEY)
-    new = line_multiset(lines.join(keys, ORDER_KEY, "left_semi"))
-    old = line_multiset(stored_lines.join(keys, ORDER_KEY, "left_semi"))
-    same = [*ORDER_KEY, *LINE_FIELDS, "copies"]
-    changed = (
-        new.join(old, same, "left_anti").select(*ORDER_KEY)
-        .unionByName(old.join(new, same, "left_anti").select(*ORDER_KEY)).distinct()
-        .withColumn("lines_differ", F.lit(True))
-    )
+    fields = (*ORDER_FIELDS, "line_digest")
+    both = incoming.select(*ORDER_KEY, *[F.col(c).alias(f"new_{c}") for c in fields]
+                           ).join(stored.select(*ORDER_KEY, *fields), ORDER_KEY)
 
     def shown(value: Column) -> Column:
         return F.coalesce(value.cast("string"), F.lit("NULL"))
@@ -306,8 +321,9 @@ def compare_with_stored(incoming: DataFrame, lines: DataFrame, stored: DataFrame
             shown(F.col(c))))
         for c in ORDER_FIELDS
     ]
-    told.append(F.when(F.col("lines_differ"), F.lit("line_items differ")))
-    return both.join(changed, ORDER_KEY, "left").select(
+    told.append(F.when(~F.col("new_line_digest").eqNullSafe(F.col("line_digest")),
+                       F.lit("line_items differ")))
+    return both.select(
         *ORDER_KEY, F.filter(F.array(*told), lambda d: d.isNotNull()).alias("differences"))
 
 

@@ -17,7 +17,7 @@ from tallyhouse.functions.clock import local_day, local_month
 from tallyhouse.operators import ingest
 from tallyhouse.schemas import DEFAULT_ZONE, SKIP
 from tallyhouse.sources import exports
-from tallyhouse.sources.exports import SourceFormatError, SourceSchemaError
+from tallyhouse.sources.exports import SourceFormatError
 from tallyhouse.sources.warehouse import Warehouse
 
 REPORTED = 5
@@ -72,12 +72,16 @@ def import_exports(
     files = {"transactions": transactions, "items_detail": items}
     if summary:
         files["items_summary"] = summary
-    batch_id = warehouse.next_batch_id()
-    manifest = _manifest(spark, warehouse, files, batch_id)
-    _reject_known(warehouse, manifest)
+    batch_id = warehouse.claim_batch()
+    try:
+        manifest = _manifest(spark, warehouse, files, batch_id)
+        _reject_known(warehouse, manifest)
+    except Exception:
+        warehouse.release_claim(batch_id)
+        raise
     try:
         return _run(spark, warehouse, files, manifest, batch_id, label, source, zone, multiline)
-    except (ImportFailed, SourceFormatError, SourceSchemaError) as error:
+    except Exception as error:
         # No checksums are recorded for a failed batch, so it can be tried again.
         supplied = manifest.select("role", "name", "checksum").orderBy("role", "name").collect()
         log = f"{type(error).__name__}: {error}\n\nfiles supplied:\n" + "\n".join(
@@ -143,16 +147,17 @@ def _run(spark, warehouse, files, manifest, batch_id, label, source, zone, multi
         "payment(s) have no channel")
 
     # --- orders against themselves and the stored ones ------------------------------------
+    lines = ingest.sound(items)
     built = warehouse.staged(
-        ingest.build_orders(parsed, items, source)
-        .withColumn("local_month", local_month(F.col("occurred_at"), zone)),
+        ingest.with_line_digest(
+            ingest.build_orders(parsed, items, source)
+            .withColumn("local_month", local_month(F.col("occurred_at"), zone)),
+            lines.withColumn("source", F.lit(source))),
         batch_id, "orders")
     _fail_if_any(
         ingest.repeated_keys(built), RepeatedOrder,
         lambda r: f"{r['source_order_id']} ({r['n']} times)", "order id(s) repeat")
-    lines = ingest.sound(items)
-    compared = warehouse.staged(
-        _compared(warehouse, built, lines, source), batch_id, "compared")
+    compared = warehouse.staged(_compared(warehouse, built), batch_id, "compared")
     _fail_if_any(
         compared.filter(F.size("differences") > 0), ConflictingOrder,
         lambda r: f"{r['source_order_id']}: " + ", ".join(r["differences"]),
@@ -185,18 +190,31 @@ def _run(spark, warehouse, files, manifest, batch_id, label, source, zone, multi
     return outcome
 
 
-def _compared(warehouse: Warehouse, built: DataFrame, lines: DataFrame,
-              source: str) -> DataFrame:
-    stored = warehouse.orders()
-    key = stored.select("order_id", *ingest.ORDER_KEY)
-    stored_lines = (
-        warehouse.order_items().select(
-            "order_id", "product_id", "quantity", "unit_price", "line_total", "discount_amount")
-        .join(key, "order_id")
-        .join(warehouse.products().select("product_id", "name", "variation"), "product_id")
-    )
-    return ingest.compare_with_stored(
-        built, lines.withColumn("source", F.lit(source)), stored, stored_lines)
+def _compared(warehouse: Warehouse, built: DataFrame) -> DataFrame:
+    """Incoming orders against stored ones, by their fields and line digests.
+
+    Orders stored without a digest get it from their lines, of which only those orders'
+    months are read.
+    """
+    stored = warehouse.orders().join(
+        built.select(*ingest.ORDER_KEY), ingest.ORDER_KEY, "left_semi")
+    old = stored.filter("line_digest is null")
+    months = [r["local_month"] for r in old.select("local_month").distinct().collect()]
+    if months:
+        lines = (
+            stored_lines(warehouse, months)
+            .join(old.select("order_id", *ingest.ORDER_KEY), "order_id")
+        )
+        stored = stored.filter("line_digest is not null").unionByName(
+            ingest.with_line_digest(old.drop("line_digest"), lines))
+    return ingest.compare_orders(built, stored)
+
+
+def stored_lines(warehouse: Warehouse, months: list[str]) -> DataFrame:
+    """Lines of orders of some months, with the names of their products."""
+    return warehouse.order_items().filter(F.col("local_month").isin(months)).select(
+        "order_id", "product_id", "quantity", "unit_price", "line_total", "discount_amount"
+    ).join(warehouse.products().select("product_id", "name", "variation"), "product_id")
 
 
 def _reconcile(orders: DataFrame, lines: DataFrame, summary: DataFrame) -> bool:

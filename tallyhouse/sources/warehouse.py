@@ -2,14 +2,21 @@
 
 Every table is partitioned by import batch, and a batch exists once its row in
 ``import_batches`` says ``completed``. That row is written last, so readers see all of an
-import or nothing, and files of a failed attempt are never read. One writer at a time.
+import or nothing, and files of a failed attempt are never read.
+
+One import runs at a time: it claims its batch by creating a file that must not exist yet, and
+is refused while an earlier claim has no batch row. Ids that continue from the stored maximum
+are therefore never given out twice. The file system has to create files exclusively, as HDFS,
+local disks and object stores with conditional writes do.
 """
 
 from __future__ import annotations
 
 import posixpath
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +25,14 @@ from tallyhouse import schemas
 
 _BATCH = T.StructField("import_batch_id", T.LongType(), True)
 _MONTH = T.StructField("local_month", T.StringType(), True)
+# Null where the order was stored before digests were.
+_DIGEST = T.StructField("line_digest", T.StringType(), True)
+# Rows of file offsets that may be sent to all tasks: about 16 MB of paths.
+MOST_FILES = 100_000
+
+
+class ImportInProgress(Exception):
+    """Another import has claimed its batch and not finished."""
 
 
 def _with(schema: T.StructType, *fields: T.StructField) -> T.StructType:
@@ -34,11 +49,15 @@ class Warehouse:
 
     # --- reading ---------------------------------------------------------------------
 
+    def _path(self, path: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _system(self, path):
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
     def _exists(self, path: str) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        return where.getFileSystem(conf).exists(where)
+        where = self._path(path)
+        return self._system(where).exists(where)
 
     def _table(self, name: str, schema: T.StructType) -> DataFrame:
         if not self._exists(self.path(name)):
@@ -51,7 +70,8 @@ class Warehouse:
         return self._table(name, schema).join(done, "import_batch_id", "left_semi")
 
     def orders(self) -> DataFrame:
-        return self._committed("orders", _with(schemas.ORDERS, _BATCH, _MONTH))
+        """Committed orders, with their batch, month and line digest."""
+        return self._committed("orders", _with(schemas.ORDERS, _DIGEST, _BATCH, _MONTH))
 
     def order_items(self) -> DataFrame:
         return self._committed("order_items", _with(schemas.ORDER_ITEMS, _BATCH, _MONTH))
@@ -64,7 +84,7 @@ class Warehouse:
 
     def written(self, name: str, batch_id: int) -> DataFrame:
         """What one batch wrote to a table, committed or not."""
-        schema = {"orders": _with(schemas.ORDERS, _MONTH), "products": schemas.PRODUCTS,
+        schema = {"orders": _with(schemas.ORDERS, _DIGEST, _MONTH), "products": schemas.PRODUCTS,
                   "issues": schemas.ISSUES}[name]
         return self.spark.read.schema(schema).parquet(
             self.path(name, f"import_batch_id={batch_id}"))
@@ -78,8 +98,44 @@ class Warehouse:
 
     # --- writing ---------------------------------------------------------------------
 
-    def next_batch_id(self) -> int:
-        return (self.import_batches().agg(F.max("batch_id")).first()[0] or 0) + 1
+    def _claims(self) -> set[int]:
+        folder = self._path(self.path("_claims"))
+        system = self._system(folder)
+        if not system.exists(folder):
+            return set()
+        return {int(f.getPath().getName()) for f in system.listStatus(folder)
+                if f.getPath().getName().isdigit()}
+
+    def claim_batch(self) -> int:
+        """The next batch id, for this import alone, or `ImportInProgress`.
+
+        Whoever lists the claims before another import makes its own finds that file there
+        when it creates the same one; whoever lists them later sees it open.
+        """
+        rows = {r["batch_id"] for r in self.import_batches().select("batch_id").distinct().collect()}
+        claims = self._claims()
+        if unfinished := sorted(claims - rows):
+            raise ImportInProgress(
+                f"batch {unfinished[0]} is not finished; abandon_batch({unfinished[0]}) gives it up")
+        batch_id = max(rows | claims, default=0) + 1
+        file = self._path(self.path("_claims", str(batch_id)))
+        try:
+            self._system(file).create(file, False).close()
+        except Py4JJavaError as error:
+            if self._system(file).exists(file):
+                raise ImportInProgress(f"batch {batch_id} was claimed just now") from error
+            raise
+        return batch_id
+
+    def release_claim(self, batch_id: int) -> None:
+        """Takes back a claim of an import that was never started."""
+        file = self._path(self.path("_claims", str(batch_id)))
+        self._system(file).delete(file, False)
+
+    def abandon_batch(self, batch_id: int) -> None:
+        """Closes the batch of an import whose driver is gone, as failed; its files are never read."""
+        self.append_batch((batch_id, None, None, None, "failed", datetime.now(timezone.utc),
+                           "abandoned"))
 
     def append(self, frame: DataFrame, name: str, batch_id: int, *by: str) -> None:
         # Each batch owns its partition, so a repeated attempt replaces only its own files.
@@ -105,8 +161,9 @@ class Warehouse:
     def numbered(self, staged: DataFrame, column: str, base: int) -> DataFrame:
         """Dense ids above ``base`` for a staged table, from each row's place in its file.
 
-        The same files always give the same ids, nothing is shuffled but one row per file,
-        and no ordering of the table is needed.
+        The same files always give the same ids and no ordering of the table is needed. There
+        is one offset per file; up to `MOST_FILES` of them go to all tasks, so that the table
+        itself is not shuffled, and more are joined like any table.
         """
         placed = staged.select(
             "*", F.col("_metadata.file_path").alias("_path"),
@@ -115,6 +172,9 @@ class Warehouse:
         before = Window.orderBy("_path").rowsBetween(Window.unboundedPreceding, -1)
         starts = counts.select("_path", F.coalesce(F.sum("_rows").over(before), F.lit(0))
                                .alias("_before"))
+        few = starts.limit(MOST_FILES + 1).collect()
+        if len(few) <= MOST_FILES:
+            starts = F.broadcast(self.spark.createDataFrame(few, starts.schema))
         number = F.col("_before") + F.col("_index") + F.lit(base + 1)
         return placed.join(starts, "_path").withColumn(
             column, number.cast("bigint")).drop("_path", "_index", "_before")

@@ -9,7 +9,7 @@ from tallyhouse import schemas
 from tallyhouse.operators import ingest
 from tallyhouse.plans import import_job as job
 from tallyhouse.sources import exports
-from tallyhouse.sources.warehouse import Warehouse
+from tallyhouse.sources.warehouse import ImportInProgress, Warehouse
 from tests.conftest import TX_COLUMNS, item, summary, tx, write_export
 
 
@@ -331,3 +331,67 @@ def test_differences_are_told_per_field(spark):
         "lines": ["line_items differ"],
         "copies": ["item_count incoming=2 stored=1", "line_items differ"],
         "payment": ["source_payment_id incoming=NULL stored=P"]}
+
+
+def test_line_digests_tell_multisets_apart(spark):
+    lines = spark.createDataFrame(
+        [("till", "a", "Tea", "", 1, 5, 5, 0), ("till", "a", "Tea", "", 1, 5, 5, 0),
+         ("till", "b", "Tea", "", 1, 5, 5, 0), ("till", "c", "Tea", "", 1, 5, 5, 0),
+         ("till", "c", "Pie", "", 1, 5, 5, 0), ("till", "d", "Pie", "", 1, 5, 5, 0),
+         ("till", "d", "Tea", "", 1, 5, 5, 0), ("till", "e", "", "Tea", 1, 5, 5, 0),
+         ("till", "f", "Tea", "", 1, 5, None, 5), ("till", "g", "Tea", "", 1, 5, 5, None)],
+        "source string, source_order_id string, name string, variation string, quantity int,"
+        " unit_price int, line_total long, discount_amount long")
+    got = {r["source_order_id"]: r["line_digest"] for r in ingest.line_digest(lines).collect()}
+    assert got["c"] == got["d"] and len(set(got.values())) == 6
+
+
+def test_redelivery_reads_no_stored_lines_and_old_orders_only_their_months(run, warehouse, spark):
+    run([tx(Transaction_ID="A", Net_Sales="£4.20")], [item(Transaction_ID="A")], tag="1")
+    run([tx(Transaction_ID="B", Date="2026-06-02")], [item(Transaction_ID="B", Date="2026-06-02")], tag="2")
+    built = warehouse.orders().drop("order_id", "import_batch_id")
+    assert all(r["line_digest"] for r in built.collect())
+    plan = job._compared(warehouse, built)._jdf.queryExecution().toString()
+    assert "order_items" not in plan
+    lines = job.stored_lines(warehouse, ["2026-06"])
+    assert lines.count() == 1
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "local_month" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+    # Orders stored before digests were: the same rows without the column.
+    for batch in (1, 2):
+        plain = warehouse.written("orders", batch).drop("line_digest").collect()
+        schema = warehouse.written("orders", batch).drop("line_digest").schema
+        warehouse.append(spark.createDataFrame(plain, schema), "orders", batch, "local_month")
+    assert {r["line_digest"] for r in warehouse.orders().collect()} == {None}
+    again = run([tx(Transaction_ID="A", Net_Sales="£4.20"), tx(Transaction_ID="C")],
+                [item(Transaction_ID="A"), item(Transaction_ID="C")], tag="3")
+    assert again.orders_created == 1 and again.issue_counts == {"duplicate_order": 1}
+    with pytest.raises(job.ConflictingOrder, match="A: line_items differ"):
+        run([tx(Transaction_ID="A", Net_Sales="£4.20"), tx(Transaction_ID="D")],
+            [item(Transaction_ID="A", Item="Cake"), item(Transaction_ID="D")], tag="4")
+
+
+def test_second_import_at_the_same_time_is_refused(run, warehouse):
+    claimed = warehouse.claim_batch()
+    with pytest.raises(ImportInProgress, match="batch 1 is not finished"):
+        run([tx()], [item()])
+    assert warehouse.import_batches().isEmpty() and warehouse.orders().isEmpty()
+    warehouse.abandon_batch(claimed)
+    assert run([tx()], [item()]).batch_id == 2
+    assert sorted(r["status"] for r in warehouse.import_batches().collect()) == ["completed", "failed"]
+
+
+def test_of_two_claims_made_together_one_fails(warehouse, monkeypatch):
+    monkeypatch.setattr(Warehouse, "_claims", lambda self: set())  # both listed before either claimed
+    assert warehouse.claim_batch() == 1
+    with pytest.raises(ImportInProgress, match="claimed just now"):
+        warehouse.claim_batch()
+
+
+def test_numbering_does_not_shuffle_the_table(spark, warehouse):
+    staged = warehouse.staged(spark.range(1000).repartition(7), 1, "numbers")
+    numbered = warehouse.numbered(staged, "n", 40)
+    assert sorted(r["n"] for r in numbered.collect()) == list(range(41, 1041))
+    plan = numbered._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
