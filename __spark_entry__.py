@@ -288,6 +288,8 @@ def _registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "folds": lambda s, d: backtest.folds(_nations(s, d)),
         "short_series": lambda s, d: backtest.short_series(series.daily_series(
             so(s, d), series="customer_id")),
+        "series_status": lambda s, d: backtest.series_status(series.daily_series(
+            so(s, d), series="customer_id", training_days=None)),
         "baseline_forecasts": lambda s, d: _steps(backtest.baseline_folds(_nations(s, d))),
         "baseline_backtest": lambda s, d: _rounded(
             backtest.evaluate(backtest.baseline_folds(_nations(s, d)))),

@@ -11,14 +11,9 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions.text import SPACES, stripped
 
-# Accepted shapes of a money cell (optional pound sign, a minus on either
-# side of it, optional thousands groups) and of a quantity cell.
-MONEY_SHAPE = (
-    f"^-?[{SPACES}]*£?[{SPACES}]*"
-    r"(-?\d{1,3}(,\d{3})*(\.\d+)?|-?\d+(\.\d+)?)$"
-)
+# Fixed value: accepted shape of a quantity cell.
 QUANTITY_SHAPE = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
-
+_DIGITS = "0123456789"
 
 
 def money_to_pence(raw: Column) -> Column:
@@ -26,19 +21,45 @@ def money_to_pence(raw: Column) -> Column:
     return clean_pence(stripped(raw))
 
 
+def _without(text: Column, mark: str) -> Column:
+    """The text without a mark it begins with."""
+    return F.when(text.startswith(mark), F.substring(text, 2, 1 << 30)).otherwise(text)
+
+
+def _digits_only(text: Column) -> Column:
+    return (text != "") & (F.translate(text, _DIGITS, "") == "")
+
+
+def _grouped(whole: Column) -> Column:
+    """Digits whose commas, if any, stand before every third digit from the right."""
+    groups = F.split(whole, ",")
+    parts_fit = (F.length(groups[0]) <= 3) & F.forall(
+        F.slice(groups, 2, 1 << 30), lambda g: F.length(g) == 3)
+    return F.when(F.instr(whole, ",") > 0, parts_fit & F.forall(groups, _digits_only)).otherwise(
+        _digits_only(whole))
+
+
 def clean_pence(text: Column) -> Column:
-    """The same for text already stripped; a column, because it is used several times."""
-    digits = F.translate(text, "£,-" + SPACES, "")
-    point = F.instr(digits, ".")
-    # Past two decimals only zeros are whole pence; short fractions skip the pattern.
-    sub_penny = (point > 0) & (F.length(digits) > point + 2) & digits.rlike(r"\.\d{2}\d*[1-9]")
-    pence = digits.try_cast("decimal(36,2)") * F.lit(100)
-    # One minus before the sign and one after cancel out.
-    minuses = F.length(text) - F.length(F.replace(text, F.lit("-")))
-    signed = F.when(minuses % 2 == 1, -pence).otherwise(pence)
+    """The same for text already stripped; a column, because it is used several times.
+
+    A cell is a minus, a pound sign, a second minus, whole digits with or without thousands
+    commas and a decimal part, all but the whole digits optional. Two minuses cancel out.
+    """
+    blanks = F.lit(SPACES)
+    unsigned = _without(F.ltrim(_without(text, "-"), blanks), "£")
+    inner = F.ltrim(unsigned, blanks)
+    number = _without(inner, "-")
+    whole = F.substring_index(number, ".", 1)
+    fraction = F.substring(number, F.length(whole) + 2, F.lit(1 << 30))
+    sound = _grouped(whole) & F.when(F.instr(number, ".") > 0, _digits_only(fraction)).otherwise(
+        F.lit(True))
+    # Past two decimals only zeros are whole pence.
+    whole_pennies = F.translate(F.substring(fraction, 3, 1 << 30), "0", "") == ""
+    pence = F.concat(F.translate(whole, ",", ""), F.rpad(F.substring(fraction, 1, 2), 2, "0")
+                     ).try_cast("bigint")
+    negative = text.startswith("-") != inner.startswith("-")
     return F.when(text == "", F.lit(0).cast("bigint")).when(
-        text.rlike(MONEY_SHAPE) & ~sub_penny, signed.try_cast("bigint")
-    )
+        sound & whole_pennies, F.when(negative, -pence).otherwise(pence))
 
 
 def whole_quantity(raw: Column) -> Column:

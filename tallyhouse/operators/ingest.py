@@ -64,7 +64,7 @@ def parse_transactions(raw: DataFrame) -> DataFrame:
         F.when(F.col("source_order_id") == "", _issue(
             "missing_transaction_id", "row carries no order id", "Transaction ID"))
         .when(F.col("event_type").isNull(), _issue(
-            "unknown_event_type", _quoted("unrecognised Event Type", F.col("Event Type")),
+            "unknown_event_type", _quoted("no known kind of event:", F.col("Event Type")),
             "Event Type"))
         .when(zone.isNull(), _issue(
             "unknown_time_zone", _quoted("unrecognised time zone", F.col("Time Zone")),
@@ -213,17 +213,17 @@ def transaction_issues(parsed: DataFrame, items: DataFrame) -> DataFrame:
     told = (
         F.when(inherited.isNotNull(), _issue(
             "refund_channel_inherited",
-            F.concat(_quoted("channel", inherited), F.lit(" inherited from payment "),
-                     F.col("source_payment_id")), "Payment ID", WARN))
+            F.concat(F.lit("refund of payment "), F.col("source_payment_id"),
+                     _quoted(" takes its channel", inherited)), "Payment ID", WARN))
         .when(own.isNotNull(), _issue(
             "refund_channel_derived",
-            F.concat(F.lit("payment not in this extraction; "), _quoted("channel", own),
-                     F.lit(" from the refund's own row: "), F.col("reason")),
+            F.concat(F.lit("no file holds its payment; "), _quoted("its own cells give channel", own),
+                     F.lit(": "), F.col("reason")),
             "Source/Dining Option", WARN))
         .otherwise(_issue(
             "refund_channel_unknown",
-            F.concat(F.lit("payment not in this extraction and "), F.col("reason"),
-                     F.lit("; kept as 'unknown'")), "Payment ID", WARN))
+            F.concat(F.lit("no file holds its payment, and "), F.col("reason"),
+                     F.lit("; its channel is stored as 'unknown'")), "Payment ID", WARN))
     )
     parts = [
         row_issues(parsed),

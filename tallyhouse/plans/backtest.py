@@ -17,6 +17,7 @@ from tallyhouse.plans.settle import settled
 HORIZON = 14
 FIRST_ORIGIN = 120
 RIDGE_METHOD = "ridge_holiday"
+SHORT = "insufficient_history"
 
 
 def fold_origins(length: Column, horizon: int = HORIZON, first: int = FIRST_ORIGIN,
@@ -116,21 +117,39 @@ def short_series(series: DataFrame, first: int = FIRST_ORIGIN,
         "series_id", "days", F.lit(first + horizon).cast("bigint").alias("required_days"))
 
 
+def series_status(series: DataFrame, first: int = FIRST_ORIGIN, horizon: int = HORIZON) -> DataFrame:
+    """Every series with its days, the days required, its folds and `evaluated` or `SHORT`."""
+    spans = series.groupBy("series_id").agg(F.count(F.lit(1)).alias("days"))
+    return spans.select(
+        "series_id", "days", F.lit(first + horizon).cast("bigint").alias("required_days"),
+        F.size(fold_origins(F.col("days"), horizon, first)).cast("bigint").alias("folds"),
+        F.when(F.col("days") < first + horizon, F.lit(SHORT)).otherwise(F.lit("evaluated")).alias("status"))
+
+
+def with_short_series(found: DataFrame, short: DataFrame, targets: Sequence[str]) -> DataFrame:
+    """Results with a status, and a row of nulls for each target of each series too short for any."""
+    missing = short.select("series_id", F.explode(F.array(*map(F.lit, targets))).alias("target"),
+                           F.lit(SHORT).alias("status"))
+    return found.withColumn("status", F.lit("evaluated")).unionByName(missing, allowMissingColumns=True)
+
+
 def run_backtest(series: DataFrame, horizon: int = HORIZON, first: int = FIRST_ORIGIN,
                  step: int | None = None, targets: Sequence[str] = TARGETS,
                  strict: bool = False) -> DataFrame:
     """All baselines and the ridge on the same folds.
 
-    Series without a fold have no row; ``short_series`` lists them, and ``strict`` raises for
-    them. The series is settled first: it is tiny next to the orders it came from, and several
+    Series without a fold have one row per target with a status and nulls; ``strict`` raises
+    for them. The series is settled first: it is tiny next to the orders it came from, and several
     branches read it.
     """
     series = settled(series)
-    short = short_series(series, first, horizon).take(5) if strict else []
-    if short:
+    short = short_series(series, first, horizon)
+    named = short.take(5) if strict else []
+    if named:
         raise SeriesIntegrityError("; ".join(
             f"{r.series_id}: {r.days} day(s) of history, {first + horizon} required"
-            for r in short))
-    return evaluate(
+            for r in named))
+    scored = evaluate(
         baseline_folds(series, horizon=horizon, first=first, step=step, targets=targets)
         .unionByName(ridge_folds(series, horizon, first, step, targets)))
+    return with_short_series(scored, short, targets)

@@ -31,8 +31,8 @@ def forecast(series: DataFrame, targets: tuple[str, ...] = ("net_sales_pence",),
              strict: bool = False) -> DataFrame:
     """One row per series, target and future day.
 
-    Series too short for one backtest fold have no row; ``backtest.short_series`` lists them,
-    and ``strict`` raises for them. Days already carry the last training day, so rows can be
+    Series too short for one backtest fold have one row per target with a status and nulls;
+    ``strict`` raises for them. Days already carry the last training day, so rows can be
     told from observations by themselves.
     """
     if not 1 <= horizon <= MAX_HORIZON:
@@ -65,11 +65,12 @@ def forecast(series: DataFrame, targets: tuple[str, ...] = ("net_sales_pence",),
                      F.col("target")).alias("unit"),
     )
     if not with_accuracy:
-        return points
+        return backtest.with_short_series(points, short, targets)
     measured = backtest.evaluate(backtest.ridge_folds(series, targets=targets)).select(
         "series_id", "target", F.col("wape_percent").alias("historical_wape_percent"),
         F.col("mae").alias("historical_mae"), F.col("folds").alias("backtest_folds"),
         F.lit(backtest.HORIZON).alias("backtest_horizon_days"),
         (F.col("folds") * backtest.HORIZON).alias("evaluated_days"),
     )
-    return points.join(measured, ["series_id", "target"], "left")
+    return backtest.with_short_series(
+        points.join(measured, ["series_id", "target"], "left"), short, targets)

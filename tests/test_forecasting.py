@@ -12,7 +12,7 @@ from tallyhouse.operators import series as ops
 from tallyhouse.plans import backtest, boosting, forecast
 from tests.test_orders import rows
 
-WEEKLY = [100, 110, 120, 130, 200, 400, 380]
+WEEKLY = [90, 140, 125, 160, 230, 390, 305]
 SERIES = "series_id string, day date, net_sales_pence long, payment_order_count long, net_units long"
 MONDAY = date(2026, 1, 5)
 
@@ -300,15 +300,22 @@ def test_forecast_service(spark):
         forecast.forecast(both, ("profit",))
 
 
-def test_short_series_stop_no_other(spark):
+def test_short_series_stop_no_other_and_have_a_row(spark):
     mixed = daily(spark, noisy(150)).withColumn("series_id", F.lit("long")).unionByName(
         daily(spark, noisy(60)).withColumn("series_id", F.lit("short")))
     assert rows(backtest.short_series(mixed), "series_id", "days", "required_days") == [
         ("short", 60, 134)]
-    got = forecast.forecast(mixed, with_accuracy=False)
-    assert {r["series_id"] for r in got.collect()} == {"long"}
+    assert sorted(rows(backtest.series_status(mixed), "series_id", "days", "folds", "status")) == [
+        ("long", 150, 2, "evaluated"), ("short", 60, 0, "insufficient_history")]
+    got = forecast.forecast(mixed, with_accuracy=False).collect()
+    assert [(r["target"], r["predicted_value"], r["status"]) for r in got if r["series_id"] == "short"] == [
+        ("net_sales_pence", None, "insufficient_history")]
+    assert len(got) == 15 and all(r["status"] == "evaluated" for r in got if r["series_id"] == "long")
     scored = backtest.run_backtest(mixed, targets=("net_units",))
-    assert {r["series_id"] for r in scored.collect()} == {"long"}
+    assert sorted(rows(scored, "series_id", "method", "status"), key=str) == [
+        ("long", "ridge_holiday", "evaluated"), ("long", "same_weekday_mean_4", "evaluated"),
+        ("long", "seasonal_naive", "evaluated"), ("long", "trailing_mean_28", "evaluated"),
+        ("short", None, "insufficient_history")]
 
 
 def test_predictions_round_half_to_even(spark):
