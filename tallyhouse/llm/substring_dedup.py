@@ -78,9 +78,9 @@ def _summariser(length: int):
                 anchor, _, _, text = _runs(words, length)
                 yield pa.RecordBatch.from_arrays(
                     [piece.column("doc"), pa.array(np.diff(words.bounds), pa.int64()),
-                     pa.array(digests, pa.string()),
+                     pa.array(digests, pa.string()), _tags(digests),
                      _lists(anchor.view(np.int64), text, piece.num_rows, pa.int64())],
-                    names=["doc", "n_words", "sha", "anchors"])
+                    names=["doc", "n_words", "sha", "tag", "anchors"])
     return run
 
 
@@ -91,12 +91,17 @@ def _digests(words: Words) -> list[str]:
             for a, b in zip(words.bounds[:-1], words.bounds[1:])]
 
 
+def _tags(digests: list[str]) -> pa.Array:
+    """The first eight bytes of digests, enough to tell the rows of one id apart."""
+    return pa.array(np.array([int(d[:16], 16) for d in digests], np.uint64).view(np.int64))
+
+
 def _matcher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keeps the rows whose text has the digest that came with its id."""
+    """Keeps the rows whose text has the tag that came with its id."""
     for batch in batches:
         for piece in pieces(batch, "text"):
-            own = pa.array(_digests(words_of(piece.column("text"))), pa.string())
-            yield piece.filter(pc.equal(own, piece.column("sha")))
+            own = _tags(_digests(words_of(piece.column("text"))))
+            yield piece.filter(pc.equal(own, piece.column("tag")))
 
 
 def _spanner(length: int):
@@ -126,11 +131,11 @@ def _spanner(length: int):
                     len(size), pa.py_buffer(offsets),
                     pa.py_buffer(data[np.repeat(a, size) + inner]))
                 yield pa.RecordBatch.from_arrays(
-                    [*(piece.column(c).take(pa.array(text)) for c in ("doc", "sha")),
+                    [*(piece.column(c).take(pa.array(text)) for c in ("doc", "tag")),
                      pa.array(first - words.bounds[text], pa.int32()),
                      pa.array(count, pa.int32()), pa.array(anchor.view(np.int64)), spans,
                      *(pa.array(k.view(np.int64)) for k in _span_keys(words, first, count, length))],
-                    names=["doc", "sha", "start", "windows", "anchor", "span", "k1", "k2"])
+                    names=["doc", "tag", "start", "windows", "anchor", "span", "k1", "k2"])
     return run
 
 
@@ -228,7 +233,7 @@ def _window_lister(length: int):
 
 
 def _cutter(length: int):
-    """Removes covered words: (doc, digest of the text's words, n_removed, kept text, its digest)."""
+    """Removes covered words: (doc, tag of the text's words, n_removed, kept text, its digest)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "text"):
@@ -250,10 +255,10 @@ def _cutter(length: int):
                          for a, b in zip(edges[:-1], edges[1:])]
                 counts = np.concatenate([[0], np.cumsum(~left)])[words.bounds]
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc"), piece.column("sha"), pa.array(np.diff(counts), pa.int64()),
+                    [piece.column("doc"), piece.column("tag"), pa.array(np.diff(counts), pa.int64()),
                      pa.array([t.decode("utf-8") for t in texts], pa.string()),
                      pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())],
-                    names=["doc", "sha", "n_removed", "kept_text", "kept_sha256"])
+                    names=["doc", "tag", "n_removed", "kept_text", "kept_sha256"])
     return run
 
 
@@ -279,28 +284,28 @@ def substring_dedup(
     scratch = Scratch(spark, "substring-dedup")
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     summary = scratch.put("summaries", texts.mapInArrow(
-        _summariser(min_words), "doc long, n_words long, sha string, anchors array<long>"))
+        _summariser(min_words), "doc long, n_words long, sha string, tag long, anchors array<long>"))
 
     named = summary.filter("doc is not null")
     firsts = named.filter(F.col("n_words") >= min_words).groupBy("sha").agg(
         F.min("doc").alias("first_doc"))
-    sole = named.select("doc", "sha", "anchors").join(
+    sole = named.select("doc", "tag", "anchors").join(
         firsts.select(F.col("first_doc").alias("doc")).distinct(), "doc", "left_semi")
-    held = sole.select("doc", "sha", F.explode("anchors").alias("anchor"))
+    held = sole.select("doc", "tag", F.explode("anchors").alias("anchor"))
     # Stored first: a join with a table is split where an anchor is hot, one with an aggregate is not.
     common = scratch.put("common", held.groupBy("anchor").agg(
         F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a < b").select("anchor"))
-    shared = scratch.put("shared", held.join(common, "anchor", "left_semi").groupBy("doc", "sha").agg(
+    shared = scratch.put("shared", held.join(common, "anchor", "left_semi").groupBy("doc", "tag").agg(
         F.collect_set("anchor").alias("shared")))
     digests = scratch.put("digests", summary.drop("anchors"))
     firsts = scratch.put("firsts", firsts)
     scratch.drop("summaries", "common")
     affected = scratch.put("affected", texts.join(shared, "doc").mapInArrow(
-        _matcher, "doc long, text string, sha string, shared array<long>"))
+        _matcher, "doc long, text string, tag long, shared array<long>"))
 
     spans = scratch.put("spans", affected.mapInArrow(
         _spanner(min_words),
-        "doc long, sha string, start int, windows int, anchor long, span string, k1 long, k2 long"))
+        "doc long, tag long, start int, windows int, anchor long, span string, k1 long, k2 long"))
     distinct = scratch.put("distinct", spans.groupBy("anchor", "span", "k1", "k2").agg(
         F.min("doc").alias("low"), F.max("doc").alias("high")))
     large = scratch.put("large", distinct.groupBy("anchor").agg(F.count("*").alias("n")).filter(
@@ -320,20 +325,20 @@ def substring_dedup(
     nodes = scratch.put("nodes", trees.union(whole))
     scratch.drop("distinct")
 
-    covered = spans.select("doc", "sha", "start", "k1", "k2").join(nodes, ["k1", "k2"]).select(
-        "doc", "sha", F.expr("filter(transform(firsts, (f, i) -> if(f < doc, start + i, -1)), s -> s >= 0)")
+    covered = spans.select("doc", "tag", "start", "k1", "k2").join(nodes, ["k1", "k2"]).select(
+        "doc", "tag", F.expr("filter(transform(firsts, (f, i) -> if(f < doc, start + i, -1)), s -> s >= 0)")
         .alias("starts")).filter("size(starts) > 0")
-    starts = scratch.put("starts", covered.groupBy("doc", "sha").agg(
+    starts = scratch.put("starts", covered.groupBy("doc", "tag").agg(
         F.flatten(F.collect_list("starts")).alias("starts")))
     scratch.drop("spans", "nodes")
-    cut = affected.select("doc", "sha", "text").join(starts, ["doc", "sha"]).mapInArrow(
-        _cutter(min_words), "doc long, sha string, n_removed long, kept_text string, kept_sha256 string")
-    cut = scratch.put("cut", cut.groupBy("doc", "sha").agg(F.min(
+    cut = affected.select("doc", "tag", "text").join(starts, ["doc", "tag"]).mapInArrow(
+        _cutter(min_words), "doc long, tag long, n_removed long, kept_text string, kept_sha256 string")
+    cut = scratch.put("cut", cut.groupBy("doc", "tag").agg(F.min(
         F.struct("kept_sha256", "n_removed", "kept_text")).alias("cut")))
     scratch.drop("affected", "starts")
 
-    one = digests.filter("doc is not null").groupBy("doc").agg(F.min(F.struct("sha", "n_words")).alias("own")).select(
-        "doc", "own.sha", "own.n_words").join(firsts, "sha", "left").join(cut, ["doc", "sha"], "left")
+    one = digests.filter("doc is not null").groupBy("doc").agg(F.min(F.struct("sha", "tag", "n_words")).alias("own")).select(
+        "doc", "own.sha", "own.tag", "own.n_words").join(firsts, "sha", "left").join(cut, ["doc", "tag"], "left")
     copy = F.col("first_doc") < F.col("doc")
     result = one.select(
         F.col("doc").alias(id_col), "n_words",
