@@ -18,6 +18,7 @@ from tallyhouse.operators import (  # noqa: E402
     baskets, catalogue, features, ingest, menu, orders, products, results, scoring, series,
 )
 from tallyhouse.plans import backtest, boosting, forecast  # noqa: E402
+from tallyhouse.plans.methods import METHODS  # noqa: E402
 from tallyhouse.plans.settle import settled  # noqa: E402
 from tallyhouse.session import configure, ship  # noqa: E402
 from tallyhouse.sources import derived_exports, warehouse_tables  # noqa: E402
@@ -295,7 +296,7 @@ def _registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             backtest.evaluate(backtest.baseline_folds(_nations(s, d)))),
         "ridge_backtest": ridge,
         "full_backtest": lambda s, d: scoring.ranked_methods(
-            backtest.run_backtest(_nations(s, d))),
+            backtest.run_backtest(_nations(s, d), methods=tuple(METHODS))),
         "forecast": lambda s, d: forecast.forecast(_nations(s, d), series.TARGETS),
         "forecast_totals": lambda s, d: scoring.forecast_total(
             forecast.forecast(_nations(s, d), series.TARGETS, with_accuracy=False)),

@@ -27,7 +27,7 @@ PATHS_SCHEMA = (
 )
 
 
-def _calendar_flags(days: np.ndarray, months: bool, holidays: bool) -> np.ndarray:
+def calendar_flags(days: np.ndarray, months: bool, holidays: bool) -> np.ndarray:
     """0/1 columns for an array of dates: weekday (Monday base), months, fixed holidays."""
     weekday = (days.astype(int) + 3) % 7
     flags = [(weekday == d) for d in range(1, 7)]
@@ -41,7 +41,7 @@ def _calendar_flags(days: np.ndarray, months: bool, holidays: bool) -> np.ndarra
     return np.column_stack(flags).astype(float)
 
 
-def _levels(trailing: np.ndarray) -> np.ndarray:
+def trailing_levels(trailing: np.ndarray) -> np.ndarray:
     """Lags and trailing means from the last 28 values of each row."""
     lags = [trailing[:, -k] for k in LAGS]
     return np.column_stack([*lags, trailing[:, -7:].mean(axis=1), trailing.mean(axis=1)])
@@ -68,13 +68,13 @@ def ridge_paths(values: np.ndarray, first_day, cut: int, horizon: int, floor: bo
     windows = np.lib.stride_tricks.sliding_window_view(known, MIN_HISTORY)[:-1]
     trained = start + np.arange(MIN_HISTORY, cut)
     centre, spread, weights, intercept = _fit(
-        _levels(windows), _calendar_flags(trained, months, holidays),
+        trailing_levels(windows), calendar_flags(trained, months, holidays),
         known[MIN_HISTORY:], alphas)
-    ahead = _calendar_flags(start + np.arange(cut, cut + horizon), months, holidays)
+    ahead = calendar_flags(start + np.arange(cut, cut + horizon), months, holidays)
     trailing = np.tile(known[-MIN_HISTORY:], (len(alphas), 1))
     path = np.empty((len(alphas), horizon))
     for step in range(horizon):
-        x = np.hstack([(_levels(trailing) - centre) / spread,
+        x = np.hstack([(trailing_levels(trailing) - centre) / spread,
                        np.tile(ahead[step], (len(alphas), 1))])
         predicted = (x * weights).sum(axis=1) + intercept
         path[:, step] = np.maximum(predicted, 0.0) if floor else predicted

@@ -8,15 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.operators.baselines import BASELINES
-from tallyhouse.operators.features import MIN_HISTORY
-from tallyhouse.operators.ridge import forecast_paths, selected_paths
 from tallyhouse.operators.scoring import pooled, score_totals
 from tallyhouse.operators.series import TARGETS, SeriesIntegrityError, histories
+from tallyhouse.plans.methods import Method, chosen, method_folds, ridge_method
 from tallyhouse.plans.settle import settled
 
 HORIZON = 14
 FIRST_ORIGIN = 120
 RIDGE_METHOD = "ridge_holiday"
+# What a backtest compares unless told otherwise; other methods are asked for by name.
+DEFAULT_METHODS = (*BASELINES, RIDGE_METHOD)
 SHORT = "insufficient_history"
 
 
@@ -49,12 +50,24 @@ def folds(series: DataFrame, horizon: int = HORIZON, first: int = FIRST_ORIGIN,
     )
 
 
-def _check(methods: Sequence[str], first: int) -> None:
-    for method in methods:
-        needed = BASELINES[method][1] if method in BASELINES else MIN_HISTORY + HORIZON
-        if first < needed:
-            raise SeriesIntegrityError(
-                f"{method} needs {needed} days but the first fold trains on {first}")
+def fold_histories(
+    series: DataFrame, horizon: int = HORIZON, first: int = FIRST_ORIGIN,
+    step: int | None = None, targets: Sequence[str] = TARGETS,
+) -> DataFrame:
+    """Each series and target as one array with the training lengths of its folds."""
+    return histories(series, tuple(targets)).withColumn(
+        "origins", fold_origins(F.size("values"), horizon, first, step)
+    ).filter(F.size("origins") > 0)
+
+
+def _methods(names: Sequence[str | Method], first: int) -> list[Method]:
+    """The methods asked for, none of which needs more days than the first fold has."""
+    found = chosen(names)
+    for method in found:
+        if first < method.min_history:
+            raise SeriesIntegrityError(f"{method.name} needs {method.min_history} days but the "
+                                       f"first fold trains on {first}")
+    return found
 
 
 def baseline_folds(
@@ -62,24 +75,8 @@ def baseline_folds(
     first: int = FIRST_ORIGIN, step: int | None = None, targets: Sequence[str] = TARGETS,
 ) -> DataFrame:
     """Forecast and held-out arrays of the baselines, one row per fold and method."""
-    _check(methods, first)
-    packed = histories(series, tuple(targets))
-    origins = fold_origins(F.size("values"), horizon, first, step)
-    split = packed.select(
-        "series_id", "target", "values", F.explode(origins).alias("origin")
-    ).select(
-        "series_id", "target", "origin",
-        F.slice("values", F.lit(1), F.col("origin")).alias("history"),
-        F.slice("values", F.col("origin") + 1, F.lit(horizon)).alias("actual"),
-    )
-    tried = F.array(*[
-        F.struct(F.lit(m).alias("method"),
-                 BASELINES[m][0](F.col("history"), horizon).alias("forecast"))
-        for m in methods
-    ])
-    return split.select("series_id", "target", "origin", "actual", F.explode(tried).alias("t")
-                        ).select("series_id", "target", "origin", "t.method", "t.forecast",
-                                 "actual")
+    return method_folds(fold_histories(series, horizon, first, step, targets),
+                        _methods(methods, first), horizon)
 
 
 def ridge_folds(
@@ -88,15 +85,9 @@ def ridge_folds(
     include_month: bool = False, include_holiday: bool = True,
 ) -> DataFrame:
     """The same for ridge, with the penalty chosen inside each training window."""
-    _check([RIDGE_METHOD], first)
-    packed = histories(series, tuple(targets)).withColumn(
-        "origins", fold_origins(F.size("values"), horizon, first, step))
-    paths = forecast_paths(packed.filter(F.size("origins") > 0), horizon,
-                           include_month=include_month, include_holiday=include_holiday)
-    method = "ridge" + ("_month" if include_month else "") + (
-        "_holiday" if include_holiday else "")
-    return selected_paths(paths, horizon).select(
-        "series_id", "target", "origin", F.lit(method).alias("method"), "forecast", "actual")
+    method = ridge_method(include_month, include_holiday)
+    return method_folds(fold_histories(series, horizon, first, step, targets),
+                        _methods([method], first), horizon)
 
 
 def fold_scores(folded: DataFrame) -> DataFrame:
@@ -135,13 +126,15 @@ def with_short_series(found: DataFrame, short: DataFrame, targets: Sequence[str]
 
 def run_backtest(series: DataFrame, horizon: int = HORIZON, first: int = FIRST_ORIGIN,
                  step: int | None = None, targets: Sequence[str] = TARGETS,
-                 strict: bool = False) -> DataFrame:
-    """All baselines and the ridge on the same folds.
+                 strict: bool = False, methods: Sequence[str | Method] = DEFAULT_METHODS,
+                 ) -> DataFrame:
+    """Methods, by name or as `Method`, on the same folds.
 
     Series without a fold have one row per target with a status and nulls; ``strict`` raises
-    for them. The series is settled first: it is tiny next to the orders it came from, and several
-    branches read it.
+    for them. The histories are settled first: they are tiny next to the orders they came from,
+    and every method reads them.
     """
+    tried = _methods(methods, first)
     series = settled(series)
     short = short_series(series, first, horizon)
     named = short.take(5) if strict else []
@@ -149,7 +142,5 @@ def run_backtest(series: DataFrame, horizon: int = HORIZON, first: int = FIRST_O
         raise SeriesIntegrityError("; ".join(
             f"{r.series_id}: {r.days} day(s) of history, {first + horizon} required"
             for r in named))
-    scored = evaluate(
-        baseline_folds(series, horizon=horizon, first=first, step=step, targets=targets)
-        .unionByName(ridge_folds(series, horizon, first, step, targets)))
-    return with_short_series(scored, short, targets)
+    shared = settled(fold_histories(series, horizon, first, step, targets))
+    return with_short_series(evaluate(method_folds(shared, tried, horizon)), short, targets)

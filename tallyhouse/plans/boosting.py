@@ -1,88 +1,40 @@
-"""Gradient-boosted challenger: one Spark ML model per target over all series.
+"""Gradient-boosted challenger: the days after each series, by one model per series and target.
 
-Kept for comparison with the ridge. It uses the same features and the same recursion, but
-pools the series, and Spark's trees have no leaf penalty, so its numbers are its own.
+Kept for comparison with the ridge: it has the same features and the same recursion. All series
+and targets are fitted in one job, each by a task of its own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.functions.clock import is_fixed_holiday
-from tallyhouse.operators.features import LAGS, MEANS, MIN_HISTORY, design_matrix, feature_names
-from tallyhouse.operators.ridge import FLOORED
 from tallyhouse.operators.series import histories
+from tallyhouse.operators.trees import TREES, boosted_paths
+from tallyhouse.plans.backtest import SHORT
 from tallyhouse.plans.forecast import whole_prediction
-from tallyhouse.plans.settle import settled
-
-# Depth, trees, learning rate, smallest leaf and seed of the challenger.
-MAX_DEPTH, TREES, LEARNING_RATE, MIN_LEAF, SEED = 3, 200, 0.05, 10, 0
-
-
-def _next_day_features(values: Column, day: Column) -> list[Column]:
-    def flag(condition: Column) -> Column:
-        return condition.cast("double")
-
-    def mean(days: int) -> Column:
-        recent = F.slice(values, -days, days)
-        return F.aggregate(recent, F.lit(0.0), lambda acc, v: acc + v) / days
-
-    return (
-        [flag(F.weekday(day) == d).alias(f"weekday_{d}") for d in range(1, 7)]
-        + [F.element_at(values, -k).alias(f"lag_{k}") for k in LAGS]
-        + [mean(k).alias(f"trailing_mean_{k}") for k in MEANS]
-        + [flag(is_fixed_holiday(day)).alias("is_fixed_holiday")]
-    )
+from tallyhouse.plans.methods import FITTED_HISTORY
 
 
 def boosted_forecast(series: DataFrame, targets: Sequence[str] = ("net_sales_pence",),
                      horizon: int = 14, trees: int = TREES) -> DataFrame:
-    """``series_id, target, date, predicted_value`` for the days after each series."""
-    series, targets = settled(series), tuple(targets)
-    names = feature_names(include_holiday=True)
-    assembler = VectorAssembler(inputCols=names, outputCol="features")
-    # Built once for all targets; the fits read their own rows of it.
-    rows = settled(assembler.transform(
-        design_matrix(series, include_holiday=True).filter(F.col("target").isin(*targets))
-    ).select("target", "features", "value"))
-    # Only the last 28 values are ever looked back on.
-    state = histories(series, targets).select(
-        "series_id", "target", F.date_add("first_day", F.size("values") - 1).alias("last"),
-        F.slice("values", -MIN_HISTORY, MIN_HISTORY).alias("values"))
-
-    def fitted(target: str):
-        return GBTRegressor(
-            featuresCol="features", labelCol="value", predictionCol="predicted",
-            maxDepth=MAX_DEPTH, maxIter=trees, stepSize=LEARNING_RATE,
-            minInstancesPerNode=MIN_LEAF, seed=SEED,
-        ).fit(rows.filter(F.col("target") == target))
-
-    # A fit is a long chain of small jobs, so the targets' chains run beside each other.
-    run = inheritable_thread_target(series.sparkSession)
-    with ThreadPool(max(1, len(targets))) as pool:
-        models = dict(zip(targets, pool.map(run(fitted), targets)))
-    for step in range(1, horizon + 1):
-        ready = assembler.transform(state.select(
-            "*", *_next_day_features(F.col("values"), F.date_add("last", step))))
-        scored = None
-        for target, model in models.items():
-            own = model.transform(ready.filter(F.col("target") == target))
-            value = F.greatest("predicted", F.lit(0.0)) if target in FLOORED else F.col("predicted")
-            own = own.select(
-                "series_id", "target", "last", F.array_append("values", value).alias("values"))
-            scored = own if scored is None else scored.unionByName(own)
-        # Cutting each step keeps the recursion from nesting into one plan.
-        state = settled(scored)
-
-    steps = F.slice("values", MIN_HISTORY + 1, horizon)
-    return state.select(
-        "series_id", "target", "last", F.posexplode(steps).alias("at", "value")
-    ).select("series_id", "target", F.date_add("last", F.col("at") + 1).alias("date"),
-             whole_prediction(F.col("value"), F.col("target")).alias("predicted_value"))
+    """``series_id, target, date, predicted_value, status`` for the days after each series.
+
+    A series shorter than `FITTED_HISTORY` days has one row per target with nulls and a status.
+    """
+    packed = histories(series, tuple(targets)).withColumn("origin", F.size("values"))
+    enough = F.col("origin") >= FITTED_HISTORY
+    paths = boosted_paths(packed.filter(enough).withColumn("origins", F.array("origin")),
+                          horizon, trees)
+    last = F.date_add("first_day", F.col("origin") - 1)
+    # An outer join keeps the short series: they have no path and one row of nulls.
+    joined = packed.select("series_id", "target", last.alias("last"), enough.alias("enough")).join(
+        paths.select("series_id", "target", "forecast"), ["series_id", "target"], "left")
+    return joined.select(
+        "series_id", "target", "last", "enough", F.posexplode_outer("forecast").alias("at", "value")
+    ).select(
+        "series_id", "target", F.date_add("last", F.col("at") + 1).alias("date"),
+        whole_prediction(F.col("value"), F.col("target")).alias("predicted_value"),
+        F.when(F.col("enough"), F.lit("forecast")).otherwise(F.lit(SHORT)).alias("status"))

@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as registry
-from tallyhouse.operators import baselines, features, ridge, scoring
+from tallyhouse.operators import baselines, features, ridge, scoring, trees
 from tallyhouse.operators import series as ops
-from tallyhouse.plans import backtest, boosting, forecast
+from tallyhouse.plans import backtest, boosting, forecast, methods
 from tests.test_orders import rows
 
 WEEKLY = [90, 140, 125, 160, 230, 390, 305]
@@ -350,13 +350,91 @@ def test_registered_forecasts_are_the_whole_job(spark, monkeypatch):
     totals = registry.queries()["forecast_totals"](spark, "")
     assert {r["target"] for r in totals.collect()} == set(ops.TARGETS)
 
-    asked, regressor = [], boosting.GBTRegressor
-
-    def small(**given):
-        asked.append(given["maxIter"])
-        return regressor(**given | {"maxIter": 2})
-
-    monkeypatch.setattr(boosting, "GBTRegressor", small)
     got = registry.queries()["boosted_forecast"](spark, "").groupBy("target").count()
     assert dict(rows(got, "target", "count")) == {t: 14 for t in ops.TARGETS}
-    assert asked == [boosting.TREES] * 3 == [200] * 3
+    assert trees.TREES == 200
+
+
+def plain_boost(x, y, count):
+    """The same trees by trying every split of every node on the rows themselves."""
+    edges = [trees.edges_of(x[:, j]) for j in range(x.shape[1])]
+
+    def grow(at, residual, depth):
+        def score(part):
+            return residual[part].sum() ** 2 / (len(part) + 1.0)
+
+        best, split = 1e-9, None
+        for j in range(x.shape[1]) if depth else ():
+            for edge in edges[j]:
+                low, high = at[x[at, j] <= edge], at[x[at, j] > edge]
+                if min(len(low), len(high)) >= 10:
+                    gain = score(low) + score(high) - score(at)
+                    if gain > best * (1 + 1e-9):
+                        best, split = gain, (j, edge, low, high)
+        if split is None:
+            value = 0.05 * residual[at].sum() / (len(at) + 1.0)
+            fitted[at] += value
+            return value
+        j, edge, low, high = split
+        return j, edge, grow(low, residual, depth - 1), grow(high, residual, depth - 1)
+
+    fitted, grown = np.full(len(y), y.mean()), []
+    for _ in range(count):
+        grown.append(grow(np.arange(len(y)), y - fitted, 3))
+
+    def predict(row):
+        def walk(tree):
+            return walk(tree[2 if row[tree[0]] <= tree[1] else 3]) if isinstance(tree, tuple) else tree
+        return y.mean() + sum(walk(tree) for tree in grown)
+
+    return predict
+
+
+def test_boosted_trees_agree_with_a_plain_implementation():
+    rng = np.random.default_rng(3)
+    x = np.column_stack([rng.normal(size=90), rng.integers(0, 2, 90), rng.normal(size=90).round(1)])
+    y = 3 * x[:, 0] + 2 * x[:, 1] * x[:, 2] + rng.normal(0, 0.1, 90)
+    model, plain = trees.boost(x, y, 20), plain_boost(x, y, 20)
+    assert [model.predict(r) for r in x] == pytest.approx([plain(r) for r in x], abs=1e-9)
+    flat = trees.boost(x, np.full(90, 4.0), 5)
+    assert flat.predict(x[0]) == 4.0
+    tiny = trees.boost(x[:5], y[:5], 5)
+    assert tiny.predict(x[0]) == pytest.approx(y[:5].mean())
+
+
+def test_boosted_forecast_has_rows_for_short_series(spark):
+    both = daily(spark, noisy(60), name="long").unionByName(daily(spark, noisy(20), name="short"))
+    got = boosting.boosted_forecast(both, horizon=3, trees=5)
+    counts = got.groupBy("series_id", "status").agg(F.count("predicted_value").alias("n"))
+    assert sorted(rows(counts, "series_id", "status", "n")) == [
+        ("long", "forecast", 3), ("short", "insufficient_history", 0)]
+
+
+def test_backtest_takes_registered_and_own_methods(spark):
+    last = methods.Method("last_day", 1, expression=lambda known, horizon: F.array_repeat(
+        F.element_at(known, -1).cast("double"), horizon))
+    values = noisy(150)
+    asked = ["seasonal_naive", "ridge_month_holiday", "gradient_boosting", last]
+    asked[0] = next(iter(baselines.BASELINES))
+    got = backtest.run_backtest(daily(spark, values), targets=["net_sales_pence"], methods=asked)
+    found = {r["method"]: r for r in got.collect()}
+    assert set(found) == {asked[0], "ridge_month_holiday", "gradient_boosting", "last_day"}
+    assert {r["folds"] for r in found.values()} == {2}
+    expected = sum(abs(int(v) - int(values[o - 1]))
+                   for o in (120, 134) for v in values[o:o + 14])
+    assert found["last_day"]["absolute_error_total"] == pytest.approx(expected)
+    path = trees.boosted_path(np.asarray(values[:120], dtype=float), MONDAY, 14, False)
+    second = trees.boosted_path(np.asarray(values[:134], dtype=float), MONDAY, 14, False)
+    assert found["gradient_boosting"]["absolute_error_total"] == pytest.approx(
+        np.abs(np.concatenate([path, second]) - values[120:148]).sum())
+
+
+def test_methods_are_checked(spark):
+    with pytest.raises(ValueError, match="unknown methods"):
+        backtest.run_backtest(daily(spark, WEEKLY), methods=["oracle"])
+    with pytest.raises(ValueError, match="distinct"):
+        backtest.run_backtest(daily(spark, WEEKLY), methods=["ridge_holiday"] * 2)
+    with pytest.raises(ValueError, match="registered already"):
+        methods.register(methods.METHODS["ridge_holiday"])
+    with pytest.raises(ValueError, match="either"):
+        methods.Method("nothing", 1)
