@@ -17,6 +17,7 @@ from tallyhouse.functions.clock import local_day, local_month
 from tallyhouse.operators import ingest
 from tallyhouse.schemas import DEFAULT_ZONE, SKIP
 from tallyhouse.sources import exports
+from tallyhouse.sources.adapters import SourceAdapter, TillExports
 from tallyhouse.sources.exports import SourceFormatError
 from tallyhouse.sources.warehouse import Warehouse
 
@@ -61,26 +62,33 @@ class ImportOutcome:
     net_sales_pence: int
     reconciled: bool
     issue_counts: dict[str, int] = field(default_factory=dict)
+    # Both sides' totals; None where there was no summary to compare with.
+    reconciliation: dict[str, int] | None = None
 
 
 def import_exports(
     spark: SparkSession, warehouse: Warehouse, transactions: list[str], items: list[str],
     summary: list[str] | None = None, label: str | None = None, source: str = "till",
     zone: str = DEFAULT_ZONE, multiline: bool | None = None,
+    adapter: SourceAdapter | None = None,
 ) -> ImportOutcome:
-    """Import one extraction. Each role takes any number of files."""
+    """Import one extraction. Each role takes any number of files.
+
+    An ``adapter`` reads another format than till exports, and brings its own source name.
+    """
+    adapter = adapter or TillExports(source, multiline)
     files = {"transactions": transactions, "items_detail": items}
     if summary:
         files["items_summary"] = summary
     batch_id = warehouse.claim_batch()
     try:
-        manifest = _manifest(spark, warehouse, files, batch_id)
+        manifest = _manifest(spark, warehouse, adapter, files, batch_id)
         _reject_known(warehouse, manifest)
     except Exception:
         warehouse.release_claim(batch_id)
         raise
     try:
-        return _run(spark, warehouse, files, manifest, batch_id, label, source, zone, multiline)
+        return _run(spark, warehouse, adapter, files, manifest, batch_id, label, zone)
     except Exception as error:
         # No checksums are recorded for a failed batch, so it can be tried again.
         supplied = manifest.select("role", "name", "checksum").orderBy("role", "name").collect()
@@ -94,10 +102,30 @@ def _now() -> datetime:
     return datetime.now(timezone.utc)
 
 
-def _manifest(spark, warehouse: Warehouse, files: dict[str, list[str]],
+def import_folder(
+    spark: SparkSession, warehouse: Warehouse, folder: str, resume: bool = False,
+    zone: str = DEFAULT_ZONE, adapter: SourceAdapter | None = None,
+) -> list[ImportOutcome]:
+    """Import every month of a folder in order, each as a batch labelled with its month.
+
+    A month that fails stops the later ones, which may rest on it. With ``resume``, months that
+    have a completed batch are passed over, so that a stopped import can be taken up again.
+    """
+    found = exports.discover_batches(spark, folder).collect()
+    done = set()
+    if resume:
+        done = {r["label"] for r in warehouse.import_batches().filter(
+            F.col("status") == "completed").select("label").distinct().collect()}
+    return [
+        import_exports(spark, warehouse, [r["transactions"]], [r["items_detail"]],
+                       [r["items_summary"]], label=r["month"], zone=zone, adapter=adapter)
+        for r in found if r["month"] not in done]
+
+
+def _manifest(spark, warehouse: Warehouse, adapter: SourceAdapter, files: dict[str, list[str]],
               batch_id: int) -> DataFrame:
     """Every supplied file with its role and checksum, staged: hashing reads all bytes."""
-    parts = [exports.file_manifest(spark, paths).withColumn("role", F.lit(role))
+    parts = [adapter.manifest(spark, paths).withColumn("role", F.lit(role))
              for role, paths in files.items()]
     whole = parts[0]
     for part in parts[1:]:
@@ -124,15 +152,15 @@ def _fail_if_any(problems: DataFrame, error: type[Exception], told, what: str) -
         raise error(f"{problems.count()} {what}: " + "; ".join(told(r) for r in first))
 
 
-def _run(spark, warehouse, files, manifest, batch_id, label, source, zone, multiline):
-    raw = {
-        role: exports.read_export(
-            spark, paths, role, manifest.filter(F.col("role") == role), multiline)
-        for role, paths in files.items()
-    }
+def _run(spark, warehouse, adapter, files, manifest, batch_id, label, zone):
+    def read(role: str, reader) -> DataFrame:
+        return reader(spark, files[role], manifest.filter(F.col("role") == role))
+
+    source = adapter.source
+    summary = read("items_summary", adapter.summary) if "items_summary" in files else None
     parsed = warehouse.staged(
-        ingest.parse_transactions(raw["transactions"]), batch_id, "transactions")
-    items = warehouse.staged(ingest.parse_items(raw["items_detail"]), batch_id, "items")
+        read("transactions", adapter.transactions), batch_id, "transactions")
+    items = warehouse.staged(read("items_detail", adapter.items), batch_id, "items")
 
     # --- channels ---------------------------------------------------------------------
     served, _ = ingest.zero_value_payments(parsed, items)
@@ -167,8 +195,7 @@ def _run(spark, warehouse, files, manifest, batch_id, label, source, zone, multi
         built.join(known, "source_order_id", "left_anti"), batch_id, "kept")
     kept_lines = lines.join(kept.select("source_order_id", "local_month"), "source_order_id")
 
-    reconciled = "items_summary" in files and _reconcile(
-        kept, kept_lines, raw["items_summary"])
+    reconciled = None if summary is None else _reconcile(kept, kept_lines, summary)
 
     # --- writes, invisible until the batch row ----------------------------------------------
     catalogue = warehouse.products().select("product_id", "name", "variation")
@@ -184,7 +211,7 @@ def _run(spark, warehouse, files, manifest, batch_id, label, source, zone, multi
 
     issues = _all_issues(parsed, items, built, compared)
     warehouse.append(issues, "issues", batch_id)
-    _append_files(warehouse, batch_id, manifest, raw, parsed, items, kept, kept_lines)
+    _append_files(warehouse, batch_id, manifest, summary, parsed, items, kept, kept_lines)
     outcome = _commit(warehouse, batch_id, label, zone, kept_lines, fresh, reconciled)
     warehouse.clear_staging(batch_id)
     return outcome
@@ -217,10 +244,11 @@ def stored_lines(warehouse: Warehouse, months: list[str]) -> DataFrame:
     ).join(warehouse.products().select("product_id", "name", "variation"), "product_id")
 
 
-def _reconcile(orders: DataFrame, lines: DataFrame, summary: DataFrame) -> bool:
+def _reconcile(orders: DataFrame, lines: DataFrame, summary: DataFrame) -> dict[str, int] | None:
+    """Both sides' totals, equal; None for a summary without rows."""
     row = ingest.reconciliation(orders, lines, summary).first()
     if row["summary_rows"] == 0:
-        return False
+        return None
     if row["unreadable_rows"]:
         raise SourceFormatError(f"{row['unreadable_rows']} summary row(s) cannot be read")
     if not row["matches"]:
@@ -229,7 +257,8 @@ def _reconcile(orders: DataFrame, lines: DataFrame, summary: DataFrame) -> bool:
         raise ReconciliationFailed(
             f"totals differ from the items summary: {told}. Orders already imported from an "
             "overlapping extraction are not counted on our side.")
-    return True
+    return {f"{c}_{side}": row[f"{c}_{side}"]
+            for c in ("net_sales", "line_totals", "units") for side in ("ours", "theirs")}
 
 
 def _append_items(warehouse: Warehouse, batch_id: int, lines: DataFrame,
@@ -260,14 +289,14 @@ def _all_issues(parsed, items, built, compared) -> DataFrame:
     )
 
 
-def _append_files(warehouse, batch_id, manifest, raw, parsed, items, kept, lines) -> None:
+def _append_files(warehouse, batch_id, manifest, summary, parsed, items, kept, lines) -> None:
     """Per file: rows read, rows that became orders or lines, and the rest."""
     def per_file(frame: DataFrame, name: str) -> DataFrame:
         return frame.groupBy("_file").agg(F.count(F.lit(1)).alias(name))
 
     read = per_file(parsed, "row_count").unionByName(per_file(items, "row_count"))
-    if "items_summary" in raw:
-        read = read.unionByName(per_file(raw["items_summary"], "row_count"))
+    if summary is not None:
+        read = read.unionByName(per_file(summary, "row_count"))
     used = per_file(kept, "rows_imported").unionByName(per_file(lines, "rows_imported"))
     # The scan and the listing spell a path's scheme differently; the name part agrees.
     tail = F.regexp_replace("path", r"^[a-z0-9]+:/*", "")
@@ -301,5 +330,5 @@ def _commit(warehouse, batch_id, label, zone, lines, fresh, reconciled) -> Impor
     return ImportOutcome(
         batch_id, label, totals["start"], totals["end"], totals["orders"], used["lines"],
         created, used["products"] - created,
-        sum(r["issues"] for r in counts if r["severity"] == SKIP), totals["net"], reconciled,
-        {r["code"]: r["issues"] for r in counts})
+        sum(r["issues"] for r in counts if r["severity"] == SKIP), totals["net"],
+        reconciled is not None, {r["code"]: r["issues"] for r in counts}, reconciled)

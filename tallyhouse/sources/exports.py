@@ -244,12 +244,17 @@ def _scan(spark: SparkSession, paths: list[str], role: str, kind, multiline: boo
         value = F.col(f"`{name}`") if name in columns else F.lit(None).cast("string")
         return F.coalesce(value, F.lit("")).alias(name)
 
-    return rows.select(
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_split"),
-        F.monotonically_increasing_id().alias("_seq"),
-        *[bound(c) for c in BOUND[role]],
-    )
+    return rows.select(*row_keys(), *[bound(c) for c in BOUND[role]])
+
+
+def row_keys() -> list[Column]:
+    """`ROW_KEYS` of a file scan: file, split, and a number that grows by one within a split.
+
+    They hold only where nothing but the scan lies under the select.
+    """
+    return [F.col("_metadata.file_path").alias("_file"),
+            F.col("_metadata.file_block_start").alias("_split"),
+            F.monotonically_increasing_id().alias("_seq")]
 
 
 def row_number_offsets(rows: DataFrame) -> DataFrame:

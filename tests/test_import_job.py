@@ -9,8 +9,11 @@ from tallyhouse import schemas
 from tallyhouse.operators import ingest
 from tallyhouse.plans import import_job as job
 from tallyhouse.sources import exports
+from tallyhouse.sources.adapters import SourceAdapter
 from tallyhouse.sources.warehouse import ImportInProgress, Warehouse
-from tests.conftest import TX_COLUMNS, item, summary, tx, write_export
+from tests.conftest import (
+    ITEM_COLUMNS, SUMMARY_COLUMNS, TX_COLUMNS, item, summary, tx, write_export,
+)
 
 
 @pytest.fixture
@@ -395,3 +398,97 @@ def test_numbering_does_not_shuffle_the_table(spark, warehouse):
     assert sorted(r["n"] for r in numbered.collect()) == list(range(41, 1041))
     plan = numbered._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
+# --- other formats and whole folders -----------------------------------------------------
+
+
+class JsonTickets(SourceAdapter):
+    """A second format: one JSON object a line, amounts in whole pence, one instant in UTC."""
+
+    source = "kiosk"
+
+    def manifest(self, spark, paths):
+        files = spark.read.format("binaryFile").load(paths)
+        return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"),
+                            "length", F.sha2("content", 256).alias("checksum"))
+
+    def _cells(self, spark, paths, schema, names):
+        def pounds(column):
+            sign = F.when(F.col(column) < 0, "-").otherwise("")
+            return F.concat(sign, F.lit("£"), F.format_string(
+                "%d.%02d", F.floor(F.abs(F.col(column)) / 100), F.abs(F.col(column)) % 100))
+
+        rows = spark.read.schema(schema).json(paths).select(*exports.row_keys(), "*")
+        given = {name: pounds(c) if name.endswith("Sales") else F.col(c) for name, c in names.items()}
+        usual = {"Date": F.substring("at", 1, 10), "Time": F.substring("at", 12, 8),
+                 "Time Zone": F.lit("London"), "Event Type": F.lit("Payment"),
+                 "Discounts": F.lit("£0.00"), "Source": F.lit("Register"),
+                 "Dining Option": F.lit("Eat in"), "Category": F.lit("None"),
+                 "Price Point Name": F.lit(""), "Modifiers Applied": F.lit("")}
+        return rows.select(*exports.ROW_KEYS, *[c.alias(n) for n, c in (usual | given).items()])
+
+    def transactions(self, spark, paths, manifest):
+        return ingest.parse_transactions(self._cells(
+            spark, paths, "ticket string, at string, paid long",
+            {"Transaction ID": "ticket", "Payment ID": "ticket", "Net Sales": "paid"}))
+
+    def items(self, spark, paths, manifest):
+        return ingest.parse_items(self._cells(
+            spark, paths, "ticket string, at string, dish string, n string, cost long",
+            {"Transaction ID": "ticket", "Item": "dish", "Qty": "n", "Product Sales": "cost"}))
+
+    def summary(self, spark, paths, manifest):
+        raise NotImplementedError
+
+
+def test_another_format_is_imported_through_its_adapter(spark, run, warehouse, tmp_path):
+    run([tx(Transaction_ID="K1", Net_Sales="£4.20")], [item(Transaction_ID="K1")])
+    tickets, dishes = tmp_path / "tickets.json", tmp_path / "dishes.json"
+    tickets.write_text('{"ticket": "K1", "at": "2026-08-15T09:00:00", "paid": 1250}\n')
+    dishes.write_text(
+        '{"ticket": "K1", "at": "2026-08-15T09:00:00", "dish": "Soup", "n": "2", "cost": 1000}\n'
+        '{"ticket": "K1", "at": "2026-08-15T09:00:00", "dish": "Bread", "n": "0", "cost": 1}\n'
+        '{"ticket": "K1", "at": "2026-08-15T09:00:00", "dish": "Tea", "n": "1", "cost": 250}\n')
+    outcome = job.import_exports(spark, warehouse, [str(tickets)], [str(dishes)],
+                                 adapter=JsonTickets())
+    # The same order id of another source is another order.
+    assert (outcome.orders_created, outcome.order_items_created) == (1, 2)
+    assert not outcome.reconciled and outcome.reconciliation is None
+    stored = {r["source"]: r["net_amount"] for r in warehouse.orders().collect()}
+    assert stored == {"till": 420, "kiosk": 1250}
+    skipped = warehouse.issues().filter(F.col("import_batch_id") == 2).collect()
+    # A JSON file has no header line, yet numbers follow the exports': its first row is row 2.
+    assert [(r["code"], r["row_number"]) for r in skipped] == [("unparsable_quantity", 3)]
+
+
+def _month(folder, month, amount, total):
+    name = f"M{month}"
+    write_export(folder / f"transactions-{month}.csv", TX_COLUMNS, [
+        tx(Transaction_ID=name, Date=f"{month}-10", Net_Sales=amount)])
+    write_export(folder / f"items-{month}.csv", ITEM_COLUMNS, [
+        item(Transaction_ID=name, Date=f"{month}-10", Product_Sales=amount)])
+    write_export(folder / f"item-sales-summary-{month}.csv", SUMMARY_COLUMNS, [
+        summary(Item_Name="Ginger Tea", Product_Sales=total, Net_Sales=total)])
+
+
+def test_a_folder_is_imported_month_by_month_and_taken_up_again(spark, warehouse, tmp_path):
+    folder = tmp_path / "drop"
+    folder.mkdir()
+    _month(folder, "2026-02", "£5.20", "£5.20")
+    _month(folder, "2026-01", "£4.20", "£4.20")
+    _month(folder, "2026-03", "£9.99", "£4.30")
+    with pytest.raises(job.ReconciliationFailed):
+        job.import_folder(spark, warehouse, str(folder))
+    done = warehouse.import_batches().orderBy("batch_id").collect()
+    assert [(b["label"], b["status"]) for b in done] == [
+        ("2026-01", "completed"), ("2026-02", "completed"), ("2026-03", "failed")]
+    with pytest.raises(job.ImportRejected):
+        job.import_folder(spark, warehouse, str(folder))
+    _month(folder, "2026-03", "£4.30", "£4.30")
+    again = job.import_folder(spark, warehouse, str(folder), resume=True)
+    assert [o.label for o in again] == ["2026-03"] and again[0].products_created == 0
+    assert again[0].reconciliation == {
+        "net_sales_ours": 430, "net_sales_theirs": 430, "line_totals_ours": 430,
+        "line_totals_theirs": 430, "units_ours": 1, "units_theirs": 1}
+    assert warehouse.orders().count() == 3
