@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import sys
+import uuid
 from collections.abc import Callable
 from datetime import date
 
@@ -15,12 +16,13 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from tallyhouse.functions.clock import Period, period  # noqa: E402
 from tallyhouse.functions.text import product_label  # noqa: E402
 from tallyhouse.operators import (  # noqa: E402
-    baskets, catalogue, features, ingest, menu, orders, products, results, scoring, series,
+    baskets, catalogue, daily, features, ingest, menu, orders, products, results, scoring, series,
 )
 from tallyhouse.plans import backtest, boosting, forecast  # noqa: E402
+from tallyhouse.plans.evaluations import EvaluationStore  # noqa: E402
 from tallyhouse.plans.methods import METHODS  # noqa: E402
 from tallyhouse.plans.settle import settled  # noqa: E402
-from tallyhouse.session import configure, ship  # noqa: E402
+from tallyhouse.session import configure, shared_folder, ship  # noqa: E402
 from tallyhouse.sources import derived_exports, warehouse_tables  # noqa: E402
 
 # The orders' whole span in London days; its later half, whose previous period is the
@@ -187,6 +189,30 @@ def _export_products(spark: SparkSession, folder: str) -> DataFrame:
     return ingest.new_products(ingest.sound(lines), known)
 
 
+def _import_days(found: DataFrame, *keys: str) -> DataFrame:
+    """Day totals as three imports would have kept them, each with its share of the orders."""
+    dealt = found.withColumn("import_batch_id", F.pmod("order_id", F.lit(3)))
+    return daily.day_totals(dealt, ALL.zone, "import_batch_id", *keys)
+
+
+def _series_of_days(spark: SparkSession, folder: str) -> DataFrame:
+    parts = _import_days(warehouse_tables.nation_orders(spark, folder), "series_id")
+    return series.filled_series(
+        daily.merged(parts, "series_id", "day").select("series_id", "day", *series.TARGETS))
+
+
+def _stored_backtest(spark: SparkSession, folder: str) -> DataFrame:
+    """The baselines a second time, after the nations up to the letter I got one more day."""
+    now = settled(_nations(spark, folder))
+    ends = now.groupBy("series_id").agg(F.max("day").alias("last"))
+    before = now.join(ends, "series_id").filter(
+        (F.col("series_id") >= "J") | (F.col("day") < F.col("last"))).drop("last")
+    store = EvaluationStore(spark, f"{shared_folder(spark)}/evaluations-{uuid.uuid4().hex}")
+    methods = ("seasonal_naive", "same_weekday_mean_4", "trailing_mean_28")
+    backtest.run_backtest(before, methods=methods, evaluations=store)
+    return _rounded(backtest.run_backtest(now, methods=methods, evaluations=store).drop("status"))
+
+
 # --- registry ---------------------------------------------------------------------------
 
 
@@ -281,6 +307,13 @@ def _registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "line_summary": _summaries,
         "reconciliation": _reconciled,
         "new_products": _export_products,
+        "candidate_rows": lambda s, d: catalogue.candidate_rows(
+            _requests(warehouse_tables.product_catalogue(s, d)),
+            warehouse_tables.product_catalogue(s, d)).select("request_id", "product_id"),
+        # day totals kept by imports
+        "revenue_of_days_by_week": lambda s, d: daily.revenue_of_days(
+            _import_days(so(s, d), "channel"), ALL, "week"),
+        "series_of_days": _series_of_days,
         # forecasting
         "daily_series": lambda s, d: _nations(s, d).withColumn("traded", series.traded()),
         "series_violations": lambda s, d: series.series_violations(_observed_days(s, d)),
@@ -294,6 +327,7 @@ def _registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "baseline_forecasts": lambda s, d: _steps(backtest.baseline_folds(_nations(s, d))),
         "baseline_backtest": lambda s, d: _rounded(
             backtest.evaluate(backtest.baseline_folds(_nations(s, d)))),
+        "stored_backtest": _stored_backtest,
         "ridge_backtest": ridge,
         "full_backtest": lambda s, d: scoring.ranked_methods(
             backtest.run_backtest(_nations(s, d), methods=tuple(METHODS))),

@@ -31,7 +31,11 @@ def daily_series(
     found = orders.groupBy(
         key.alias("series_id"), clock.local_day(F.col("occurred_at"), zone).alias("day")
     ).agg(*measures()).select("series_id", "day", *TARGETS)
+    return filled_series(found, training_days)
 
+
+def filled_series(found: DataFrame, training_days: int | None = TRAINING_DAYS) -> DataFrame:
+    """`daily_series` of days that are added up already, one row per series and observed day."""
     # A series is at most one row per day by now. Each observed day also emits the quiet
     # days up to the next one, so no calendar is joined.
     per_series = Window.partitionBy("series_id")

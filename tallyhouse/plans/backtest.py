@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyhouse.operators.baselines import BASELINES
 from tallyhouse.operators.scoring import pooled, score_totals
 from tallyhouse.operators.series import TARGETS, SeriesIntegrityError, histories
+from tallyhouse.plans.evaluations import EvaluationStore
 from tallyhouse.plans.methods import Method, chosen, method_folds, ridge_method
 from tallyhouse.plans.settle import settled
 
@@ -127,12 +128,13 @@ def with_short_series(found: DataFrame, short: DataFrame, targets: Sequence[str]
 def run_backtest(series: DataFrame, horizon: int = HORIZON, first: int = FIRST_ORIGIN,
                  step: int | None = None, targets: Sequence[str] = TARGETS,
                  strict: bool = False, methods: Sequence[str | Method] = DEFAULT_METHODS,
-                 ) -> DataFrame:
+                 evaluations: EvaluationStore | None = None) -> DataFrame:
     """Methods, by name or as `Method`, on the same folds.
 
     Series without a fold have one row per target with a status and nulls; ``strict`` raises
     for them. The histories are settled first: they are tiny next to the orders they came from,
-    and every method reads them.
+    and every method reads them. With ``evaluations``, results of unchanged histories are read
+    from there and ``reused`` tells which.
     """
     tried = _methods(methods, first)
     series = settled(series)
@@ -143,4 +145,6 @@ def run_backtest(series: DataFrame, horizon: int = HORIZON, first: int = FIRST_O
             f"{r.series_id}: {r.days} day(s) of history, {first + horizon} required"
             for r in named))
     shared = settled(fold_histories(series, horizon, first, step, targets))
-    return with_short_series(evaluate(method_folds(shared, tried, horizon)), short, targets)
+    scored = (evaluate(method_folds(shared, tried, horizon)) if evaluations is None
+              else evaluations.evaluate(shared, tried, horizon))
+    return with_short_series(scored, short, targets)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tallyhouse.operators.ridge import FLOORED, forecast_paths, selected_paths
 from tallyhouse.operators.series import TARGETS, histories
 from tallyhouse.plans import backtest
+from tallyhouse.plans.evaluations import EvaluationStore
+from tallyhouse.plans.methods import METHODS
 from tallyhouse.plans.settle import settled
 
 MAX_HORIZON = 14
@@ -28,12 +30,13 @@ def whole_prediction(value, target):
 
 def forecast(series: DataFrame, targets: tuple[str, ...] = ("net_sales_pence",),
              horizon: int = MAX_HORIZON, with_accuracy: bool = True,
-             strict: bool = False) -> DataFrame:
+             strict: bool = False, evaluations: EvaluationStore | None = None) -> DataFrame:
     """One row per series, target and future day.
 
     Series too short for one backtest fold have one row per target with a status and nulls;
     ``strict`` raises for them. Days already carry the last training day, so rows can be
-    told from observations by themselves.
+    told from observations by themselves. With ``evaluations``, the accuracy of a series that
+    was scored before is read from there, and only changed series are backtested.
     """
     if not 1 <= horizon <= MAX_HORIZON:
         raise ValueError(f"horizon must be between 1 and {MAX_HORIZON}, got {horizon}")
@@ -66,7 +69,12 @@ def forecast(series: DataFrame, targets: tuple[str, ...] = ("net_sales_pence",),
     )
     if not with_accuracy:
         return backtest.with_short_series(points, short, targets)
-    measured = backtest.evaluate(backtest.ridge_folds(series, targets=targets)).select(
+    if evaluations is None:
+        scored = backtest.evaluate(backtest.ridge_folds(series, targets=targets))
+    else:
+        scored = evaluations.evaluate(backtest.fold_histories(series, targets=targets),
+                                      [METHODS[backtest.RIDGE_METHOD]], backtest.HORIZON)
+    measured = scored.select(
         "series_id", "target", F.col("wape_percent").alias("historical_wape_percent"),
         F.col("mae").alias("historical_mae"), F.col("folds").alias("backtest_folds"),
         F.lit(backtest.HORIZON).alias("backtest_horizon_days"),

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.clock import local_day, local_month
-from tallyhouse.operators import ingest
+from tallyhouse.operators import daily, ingest
 from tallyhouse.schemas import DEFAULT_ZONE, SKIP
 from tallyhouse.sources import exports
 from tallyhouse.sources.adapters import SourceAdapter, TillExports
@@ -207,6 +207,9 @@ def _run(spark, warehouse, adapter, files, manifest, batch_id, label, zone):
     warehouse.append(
         warehouse.numbered(kept, "order_id", top).drop(*exports.ROW_KEYS),
         "orders", batch_id, "local_month")
+    warehouse.append(
+        daily.day_totals(warehouse.written("orders", batch_id), zone, "channel").withColumn(
+            "zone", F.lit(zone)), "day_totals", batch_id, "zone")
     _append_items(warehouse, batch_id, kept_lines, catalogue)
 
     issues = _all_issues(parsed, items, built, compared)

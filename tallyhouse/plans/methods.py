@@ -30,13 +30,15 @@ class Method:
 
     ``paths`` returns ``series_id, target, origin, forecast, actual`` for the ``origins`` of
     each row of ``series_id, target, first_day, values, origins``, and may use no value at or
-    after an origin for its forecast.
+    after an origin for its forecast. Whoever changes what a name computes raises its
+    ``version``, by which stored evaluations are told apart.
     """
 
     name: str
     min_history: int
     expression: Callable[[Column, int], Column] | None = None
     paths: Callable[[DataFrame, int], DataFrame] | None = None
+    version: int = 1
 
     def __post_init__(self):
         if (self.expression is None) == (self.paths is None):

@@ -65,6 +65,10 @@ IMPORT_FILES = _struct(
     "batch_id long, role string, filename string, file_checksum string,"
     " row_count long, rows_imported long, rows_skipped long"
 )
+DAY_TOTALS = _struct(
+    "day date, channel string, net_sales_pence long, gross_sales_pence long,"
+    " discounts_pence long, payment_order_count long, net_units long, refund_event_count long"
+)
 ISSUES = _struct(
     "row_number long, code string, severity string, message string,"
     " field string?, source_order_id string?"

@@ -22,9 +22,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyhouse import schemas
+from tallyhouse.operators import daily
 
 _BATCH = T.StructField("import_batch_id", T.LongType(), True)
 _MONTH = T.StructField("local_month", T.StringType(), True)
+_ZONE = T.StructField("zone", T.StringType(), True)
 # Null where the order was stored before digests were.
 _DIGEST = T.StructField("line_digest", T.StringType(), True)
 # Rows of file offsets that may be sent to all tasks: about 16 MB of paths.
@@ -92,6 +94,24 @@ class Warehouse:
     def import_files(self) -> DataFrame:
         return self._committed("import_files", _with(schemas.IMPORT_FILES, _BATCH))
 
+    def day_totals(self, zone: str = schemas.DEFAULT_ZONE) -> DataFrame:
+        """Committed totals by local day and channel, added up from those of each batch.
+
+        Orders are read only of batches imported in another zone or before totals were kept.
+        """
+        kept = self._committed("day_totals", _with(schemas.DAY_TOTALS, _BATCH, _ZONE)).filter(
+            F.col("zone") == zone)
+        done = {r["batch_id"] for r in self.import_batches().filter(
+            F.col("status") == "completed").select("batch_id").distinct().collect()}
+        without = sorted(done - {
+            r["import_batch_id"] for r in kept.select("import_batch_id").distinct().collect()})
+        columns = ("day", "channel", *daily.MEASURES)
+        parts = kept.select(*columns)
+        if without:
+            orders = self.orders().filter(F.col("import_batch_id").isin(without))
+            parts = parts.unionByName(daily.day_totals(orders, zone, "channel").select(*columns))
+        return daily.merged(parts, "day", "channel")
+
     def import_batches(self) -> DataFrame:
         """The latest state of every batch that was ever started."""
         return self._table("import_batches", schemas.IMPORT_BATCHES)
