@@ -13,7 +13,9 @@ from tallyhouse.functions.text import SPACES, stripped
 
 # Fixed value: accepted shape of a quantity cell.
 QUANTITY_SHAPE = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
-_DIGITS = "0123456789"
+# Fixed value: accepted shape of a money cell. Past two decimals only zeros are whole pence.
+MONEY_SHAPE = (
+    rf"^-?[{SPACES}]*£?[{SPACES}]*-?([0-9]+|[0-9]{{1,3}}(,[0-9]{{3}})+)(\.[0-9]{{1,2}}0*)?\z")
 
 
 def money_to_pence(raw: Column) -> Column:
@@ -21,45 +23,23 @@ def money_to_pence(raw: Column) -> Column:
     return clean_pence(stripped(raw))
 
 
-def _without(text: Column, mark: str) -> Column:
-    """The text without a mark it begins with."""
-    return F.when(text.startswith(mark), F.substring(text, 2, 1 << 30)).otherwise(text)
-
-
-def _digits_only(text: Column) -> Column:
-    return (text != "") & (F.translate(text, _DIGITS, "") == "")
-
-
-def _grouped(whole: Column) -> Column:
-    """Digits whose commas, if any, stand before every third digit from the right."""
-    groups = F.split(whole, ",")
-    parts_fit = (F.length(groups[0]) <= 3) & F.forall(
-        F.slice(groups, 2, 1 << 30), lambda g: F.length(g) == 3)
-    return F.when(F.instr(whole, ",") > 0, parts_fit & F.forall(groups, _digits_only)).otherwise(
-        _digits_only(whole))
-
-
 def clean_pence(text: Column) -> Column:
     """The same for text already stripped; a column, because it is used several times.
 
     A cell is a minus, a pound sign, a second minus, whole digits with or without thousands
     commas and a decimal part, all but the whole digits optional. Two minuses cancel out.
     """
-    blanks = F.lit(SPACES)
-    unsigned = _without(F.ltrim(_without(text, "-"), blanks), "£")
-    inner = F.ltrim(unsigned, blanks)
-    number = _without(inner, "-")
+    # The shape is tested once; a cell that has it is digits after its signs and blanks, so
+    # what follows are plain cuts and not steps that each repeat the ones before.
+    number = F.replace(F.ltrim(text, F.lit("-£" + SPACES)), F.lit(","), F.lit(""))
     whole = F.substring_index(number, ".", 1)
-    fraction = F.substring(number, F.length(whole) + 2, F.lit(1 << 30))
-    sound = _grouped(whole) & F.when(F.instr(number, ".") > 0, _digits_only(fraction)).otherwise(
-        F.lit(True))
-    # Past two decimals only zeros are whole pence.
-    whole_pennies = F.translate(F.substring(fraction, 3, 1 << 30), "0", "") == ""
-    pence = F.concat(F.translate(whole, ",", ""), F.rpad(F.substring(fraction, 1, 2), 2, "0")
-                     ).try_cast("bigint")
-    negative = text.startswith("-") != inner.startswith("-")
+    cents = F.substring(number, F.length(whole) + 2, F.lit(2))
+    two_places = F.substring(text, -3, 1) == "."
+    pence = F.when(two_places, F.replace(number, F.lit("."), F.lit(""))).otherwise(
+        F.concat(whole, F.rpad(cents, 2, "0"))).try_cast("bigint")
+    negative = F.length(F.replace(text, F.lit("-"), F.lit(""))) == F.length(text) - 1
     return F.when(text == "", F.lit(0).cast("bigint")).when(
-        sound & whole_pennies, F.when(negative, -pence).otherwise(pence))
+        text.rlike(MONEY_SHAPE), F.when(negative, -pence).otherwise(pence))
 
 
 def whole_quantity(raw: Column) -> Column:

@@ -27,6 +27,21 @@ def test_money(spark):
     assert dict(zip(MONEY, got)) == MONEY
 
 
+def test_money_reads_its_cell_a_few_times():
+    # Steps that each repeat the ones before took most of an import's time.
+    assert str(money.clean_pence(F.col("cell_text"))).count("cell_text") < 15
+
+
+def test_stripping_by_a_set_only_where_an_end_is_not_visible(spark):
+    cells = {"": "", " ": "", "a": "a", " a b ": "a b", "\u2003£5\t": "£5", "\u2003 a": "a",
+             "é": "é", " é\xa0": "é", "\x01a": "\x01a", "a\n": "a", "~": "~", "!": "!",
+             "£": "£", "5£": "5£", "a\u3000 ": "a"}
+    expression = text.stripped(F.col("t"))
+    assert "CASE WHEN" in str(expression)
+    got = apply(spark, [(k,) for k in cells], "t string", expression)
+    assert dict(zip(cells, got)) == cells
+
+
 def test_missing_money_is_zero(spark):
     assert apply(spark, [(None,)], "t string", money.money_to_pence(F.col("t"))) == [0]
 
