@@ -208,6 +208,38 @@ def test_candidates_are_cut_only_on_demand(spark, shop):
         assert [c["variation"] for c in row["candidates"]] == [f"{n:02d}" for n in range(listed)]
 
 
+def test_candidates_of_one_name_are_joined_in_several_tasks(spark, shop, monkeypatch):
+    monkeypatch.setattr(catalogue, "BLOCK", 4, raising=False)
+    for n in range(40):
+        shop.product("Tea", f"{n:02d}")
+    asked = spark.createDataFrame(
+        [(1, "tea", None), (2, "TEA ", None), (2, "TEA ", None), (3, "tea", "07"),
+         (4, "coffee", None), (None, "tea", "09")],
+        "request_id int, name string, variation string")
+    got = catalogue.candidate_rows(asked, shop.products).withColumn(
+        "task", F.spark_partition_id()).collect()
+    assert sorted((r["request_id"] or 0, r["product_id"]) for r in got) == sorted(
+        [(i, n) for i in (1, 2, 2) for n in range(1, 41)] + [(3, 8), (0, 10)])
+    assert len({r["task"] for r in got if r["request_id"] == 1}) > 1
+
+
+def test_answers_are_written_once_for_equal_requests(spark, shop):
+    for n in range(5):
+        shop.product("Tea", f"{n}")
+    asked = spark.createDataFrame(
+        [(1, "tea", None), (2, " TEA", None), (None, "tea", None), (3, "tea", "3"),
+         (4, "milk", None)], "request_id int, name string, variation string")
+
+    def ids(found):
+        return F.array_join(F.transform(found, lambda c: c["product_id"].cast("string")), ",")
+
+    got = catalogue.resolve_products(asked, shop.products, listed=ids)
+    assert {(r["request_id"], r["status"], r["product_id"], r["candidates"])
+            for r in got.collect()} == {
+        *((i, "ambiguous", None, "1,2,3,4,5") for i in (1, 2, None)),
+        (3, "resolved", 4, None), (4, "not_found", None, None)}
+
+
 # --- baskets --------------------------------------------------------------------------------
 
 
