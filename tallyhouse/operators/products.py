@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyhouse.functions import clock, money, ratios
@@ -201,13 +201,19 @@ def product_trends(
     step = F.expr("INTERVAL 1 DAY" if granularity == "day" else "INTERVAL 7 DAYS")
     if granularity == "week":
         first = clock.week_of(first)
-    # Zero rows are unioned in and merged by the aggregate, so the calendar never joins.
-    zeros = found.select("product_id").distinct().select(
-        "product_id", F.explode(F.sequence(first, last, step)).alias("period_start"),
-        *[F.lit(0).cast("bigint").alias(c) for c in MEASURES],
-    )
-    return found.unionByName(zeros).groupBy("product_id", "period_start").agg(
-        *[F.sum(c).alias(c) for c in MEASURES])
+    # Each row gives the empty periods up to the product's next one, the first row also those
+    # before it, so only periods with trade are ever shuffled and the calendar never joins.
+    ahead = Window.partitionBy("product_id").orderBy("period_start")
+    start, until = F.col("period_start"), F.col("until")
+    spans = found.withColumn("until", F.lead("period_start").over(ahead)).withColumn(
+        "since", F.when(F.lag("until").over(ahead).isNull(), first).otherwise(start))
+    filled = spans.withColumn("at", F.explode(F.filter(
+        F.sequence("since", F.coalesce(until, last), step),
+        lambda day: until.isNull() | (day < until))))
+    return filled.select(
+        "product_id", F.col("at").alias("period_start"),
+        *[F.when(F.col("at") == start, F.col(c)).otherwise(F.lit(0).cast("bigint")).alias(c)
+          for c in MEASURES])
 
 
 def trend_totals(trend: DataFrame) -> DataFrame:

@@ -176,6 +176,19 @@ def test_evidence_reads_lines_twice_whatever_the_catalogue(evidence):
     assert "CartesianProduct" not in plan
 
 
+def test_trends_shuffle_no_empty_periods(shop):
+    tea, milk = shop.product("Tea"), shop.product("Milk")
+    shop.order("2026-08-05 12:00", lines=[(tea, 1, 300)])
+    shop.order("2026-08-05 12:00", event="refund", lines=[(tea, -1, -100)])
+    shop.order("2026-08-31 12:00", lines=[(milk, 2, 500), (tea, 1, 300)])
+    found = ops.product_trends(shop.orders, shop.items, AUGUST, "day")
+    assert "Union" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["product_id"], r["period_start"].day): r["net_sales_pence"]
+           for r in found.collect()}
+    assert found.count() == len(got) == 62
+    assert {k: v for k, v in got.items() if v} == {(1, 5): 200, (1, 31): 300, (2, 31): 500}
+
+
 # --- catalogue ----------------------------------------------------------------------------
 
 
