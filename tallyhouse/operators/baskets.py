@@ -33,9 +33,14 @@ def basket_lines(
     paid = orders.filter(F.col("event_type") == "payment")
     wanted = products.filter(F.col("kind").isin(list(kinds))).select("product_id")
     # Kinds are settled before the order join, which then leaves rows placed by order for
-    # everything below: the distinct, the widths and the sets.
+    # everything below: the distinct lines, the widths and the sets.
     eligible = items.join(wanted, "product_id", "left_semi")
-    return lines_in_period(paid, eligible, period).select("order_id", "product_id").distinct()
+    lines = lines_in_period(paid, eligible, period).select("order_id", "product_id")
+    # Repeats are dropped along one sort by order and product, which the widths read on. On
+    # rows that are placed already, a hash distinct keeps all lines of a task twice beside
+    # that sort.
+    same = Window.partitionBy("order_id", "product_id").orderBy("product_id")
+    return lines.withColumn("nth", F.row_number().over(same)).filter("nth = 1").drop("nth")
 
 
 @dataclass(frozen=True)

@@ -331,6 +331,21 @@ def test_pair_points_and_search(four_baskets):
         ("A · Regular", "B · Regular")]
 
 
+def test_basket_lines_are_distinct_along_one_sort(four_baskets, capsys):
+    orders, items, products = tables(four_baskets)
+    lines = baskets.basket_lines(orders.union(orders), items.union(items), products, AUGUST)
+    got = [tuple(r) for r in lines.collect()]
+    assert sorted(got) == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 1), (3, 3), (4, 2), (4, 3)]
+    # A task holds the lines in sorts only, and widths are read along the order of the repeats.
+    capsys.readouterr()
+    lines.explain()
+    repeats = capsys.readouterr().out
+    baskets.baskets_of(lines).wide.explain()
+    widths = capsys.readouterr().out
+    assert "HashAggregate" not in repeats + widths
+    assert widths.count("+- Sort") == repeats.count("+- Sort") > 0
+
+
 def test_wide_and_hot_baskets_match_brute_force(spark):
     """One order with every product, one set shared by a third of the orders, and the rest."""
     wide = [(0, p) for p in range(60)]
