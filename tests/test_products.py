@@ -346,6 +346,22 @@ def test_basket_lines_are_distinct_along_one_sort(four_baskets, capsys):
     assert widths.count("+- Sort") == repeats.count("+- Sort") > 0
 
 
+def test_shuffled_rows_are_read_in_small_parts(spark):
+    """Two million short rows, about 20 MB, which the usual 64 MB would leave in one task."""
+    changed = {"spark.sql.shuffle.partitions": "40",
+               "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    usual = {key: spark.conf.get(key) for key in changed}
+    try:
+        for key, value in changed.items():
+            spark.conf.set(key, value)
+        ids = spark.range(2_000_000).groupBy(F.xxhash64("id").alias("key")).count()
+        tasks = ids.select(F.spark_partition_id().alias("task")).distinct().count()
+    finally:
+        for key, value in usual.items():
+            spark.conf.set(key, value)
+    assert 1 < tasks < 40
+
+
 def test_wide_and_hot_baskets_match_brute_force(spark):
     """One order with every product, one set shared by a third of the orders, and the rest."""
     wide = [(0, p) for p in range(60)]
