@@ -253,6 +253,48 @@ def test_answers_are_written_once_for_equal_requests(spark, shop):
         (3, "resolved", 4, None), (4, "not_found", None, None)}
 
 
+def test_lists_are_written_once_for_equal_requests(spark, tmp_path):
+    named = F.concat(F.lit("tea "), F.pmod("id", F.lit(60)).cast("string")).alias("name")
+    products = spark.range(240_000).select(
+        (F.col("id") + 10_000_000).alias("product_id"), named, F.lit("").alias("variation"),
+        F.lit("menu_item").alias("kind"))
+    asked = spark.range(1500).select(
+        F.col("id").alias("request_id"), named, F.lit(None).cast("string").alias("variation"))
+
+    def ids(found):
+        return F.array_join(F.transform(found, lambda c: c["product_id"].cast("string")), ",")
+
+    target = tmp_path / "resolved"
+    catalogue.resolve_products(asked, products, listed=ids).write.parquet(str(target))
+    got = spark.read.parquet(str(target))
+    text = F.length("candidates")
+    assert tuple(got.agg(F.count("*"), F.sum("matches"), F.sum(text)).first()) == (
+        1500, 1500 * 4000, 1500 * (4000 * 9 - 1))
+    assert got.select("candidates").distinct().count() == 60
+    # 54 MB of text, of which 2 MB differ.
+    assert sum(f.stat().st_size for f in target.glob("*.parquet")) < 5_000_000
+
+
+def test_requests_of_one_name_are_answered_in_several_tasks(spark, shop, monkeypatch):
+    monkeypatch.setattr(catalogue, "WRITTEN", 500, raising=False)
+    for n in range(5):
+        shop.product("Tea", f"{n}")
+    asked = spark.createDataFrame(
+        [*((n, "tea", None) for n in range(200)), (7, "tea", None), (None, "tea", None),
+         (None, "milk", None), (None, None, None), (201, "TEA", "3")],
+        "request_id int, name string, variation string")
+    got = catalogue.resolve_products(asked, shop.products, max_candidates=2).withColumn(
+        "task", F.spark_partition_id()).collect()
+    listed = sorted(r["request_id"] if r["request_id"] is not None else -1 for r in got
+                    if r["candidates"] and len(r["candidates"]) == 2 and r["matches"] == 5)
+    assert listed == sorted([*range(200), 7, -1])
+    assert len(got) == 205
+    assert {(r["request_id"], r["status"], r["product_id"], r["matches"]) for r in got
+            if r["candidates"] is None} == {
+        (None, "not_found", None, 0), (201, "resolved", 4, 1)}
+    assert len({r["task"] for r in got if r["candidates"]}) > 1
+
+
 # --- baskets --------------------------------------------------------------------------------
 
 
