@@ -236,6 +236,26 @@ def test_candidates_of_one_name_are_joined_in_several_tasks(spark, shop, monkeyp
     assert len({r["task"] for r in got if r["request_id"] == 1}) > 1
 
 
+def test_requests_of_one_name_are_joined_in_several_tasks(spark, shop, monkeypatch):
+    monkeypatch.setattr(catalogue, "PART", 10, raising=False)
+    for n in range(3):
+        shop.product("Tea", f"{n}")
+    asked = spark.createDataFrame(
+        [*((n, "tea", None) for n in range(100)), (5, "tea", None), (None, "tea", None),
+         (100, "tea", "1"), (101, "milk", None)],
+        "request_id int, name string, variation string")
+    # A variation that is the same constant in every row deals them no other way.
+    for requests in (asked, asked.withColumn("variation", F.lit(None).cast("string"))):
+        got = catalogue.candidate_rows(requests, shop.products).withColumn(
+            "task", F.spark_partition_id()).collect()
+        whole = 1 if requests is asked else 3
+        assert sorted((-1 if r["request_id"] is None else r["request_id"], r["product_id"])
+                      for r in got if r["request_id"] != 100) == sorted(
+            (i, n) for i in (*range(100), 5, -1) for n in (1, 2, 3))
+        assert sum(r["request_id"] == 100 for r in got) == whole
+        assert len({r["task"] for r in got if r["request_id"] != 100}) > 1
+
+
 def test_answers_are_written_once_for_equal_requests(spark, shop):
     for n in range(5):
         shop.product("Tea", f"{n}")
